@@ -17,6 +17,7 @@ gives no rows.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ from .common import shared_path, small_batches, text_of
 
 BLOCK_IDS = 65_536
 END_ID = 1
-MEMO = 300_000
+MEMO = 800_000
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -53,41 +54,110 @@ class Encoder:
     """Ids of texts by a tokenizers file whose pre-tokeniser drops white space.
 
     Such a tokenizer encodes the pieces between spaces on their own, so the ids of common pieces are
-    remembered (up to ``MEMO`` of them) and a batch's ids are gathered from one flat array.
+    remembered (up to ``MEMO`` of them) and a batch's ids are gathered from one flat array. New pieces are
+    encoded many in a text, with a control character between them whose id shows where each ends. Where it
+    lower-cases and splits words from punctuation, a text is lower-cased first, if that is the same, and a
+    new word that ends in a comma or full stop has the word's ids and the mark's.
     """
 
+    MARK, MANY = "\x01", 512
+    _own: dict[str, Encoder] = {}
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        mark = self._ids(self.MARK)
+        self.mark = int(mark[0]) if len(mark) == 1 and len(self._ids(f"a {self.MARK} a")) == 3 else None
+        self.specials = [str(t) for t in (x.content for x in self.tokenizer.get_added_tokens_decoder().values())]
+        # both hold if these agree
+        self.lowers = bool(np.array_equal(self._ids("TheRe"), self._ids("there"))) and bool(np.array_equal(self._ids("there,"), np.append(self._ids("there"), self._ids(","))))
         self.clear()
 
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        """This Python worker's encoder: what it has remembered serves later tasks too."""
+        if path not in cls._own:
+            cls._own[path] = cls(path)
+        return cls._own[path]
+
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.parts, self.used = [np.empty(0, dtype=np.uint32)], 0
+        self.flat, self.used = np.empty(1 << 20, dtype=np.uint32), 0
         self.starts, self.lengths = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+    def _text(self, text: str) -> list[str]:
+        if self.lowers and "\u03a3" not in text and unicodedata.is_normalized("NFC", text):
+            low = text.lower()
+            text = low if low.isascii() or unicodedata.is_normalized("NFC", low) else text
+        return text.replace("\n", " ").replace("\t", " ").split(" ")
+
+    def _learn(self, new: list[str]) -> None:
+        """Learn pieces, those that end in a mark from what stands before it."""
+        if self.lowers:
+            ended = [p for p in new if p[-1:] in (",", ".") and p[:-1].isalpha()]
+            if ended:
+                skip = set(ended)
+                heads = {p[:-1] for p in ended}
+                self._encode([p for p in heads.union(new, ",.") if p not in skip and p not in self.index])
+                place = np.array([(self.index[p[:-1]], self.index[p[-1]]) for p in ended])
+                n = self.lengths[place]
+                self._add(ended, np.concatenate([self.flat[self.starts[i] : self.starts[i] + self.lengths[i]] for i in place.reshape(-1)]), n.sum(axis=1))
+                return
+        self._encode(new)
+
+    def _add(self, names: list[str], got: np.ndarray, n: np.ndarray) -> None:
+        self.index.update(zip(names, range(len(self.index), len(self.index) + len(names))))
+        while self.used + len(got) > len(self.flat):
+            self.flat = np.append(self.flat, np.empty_like(self.flat))
+        self.flat[self.used : self.used + len(got)] = got
+        self.starts = np.append(self.starts, self.used + np.cumsum(n) - n)
+        self.lengths = np.append(self.lengths, n)
+        self.used += len(got)
+
+    def _encode(self, new: list[str]) -> None:
+        if not new:
+            return
+        plain = self.mark is not None
+        odd = [p for p in new if not plain or self.MARK in p or any(x in p for x in self.specials)]
+        if odd:
+            skip = set(odd)
+            new = [p for p in new if p not in skip]
+        names, parts, lengths = [], [], []
+        for i in range(0, len(new), self.MANY):
+            some = new[i : i + self.MANY]
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(some)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            marks = np.flatnonzero(ids == self.mark)
+            names += some
+            parts.append(ids[ids != self.mark])
+            lengths.append(np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1)
+        for p in odd:
+            names.append(p)
+            parts.append(self._ids(p))
+            lengths.append(np.array([len(parts[-1])]))
+        n, got = np.concatenate(lengths), np.concatenate(parts)
+        if len(n) != len(names) or n.sum() != len(got):
+            raise ValueError("the tokenizer joins pieces across the mark")
+        self._add(names, got, n)
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.index) > MEMO:
             self.clear()
-        pieces = [t.split(" ") for t in texts]
-        index = self.index
-        new = [p for p in dict.fromkeys(p for ps in pieces for p in ps) if p not in index]
-        if new:
-            ids = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            lengths = np.array([len(x) for x in ids], dtype=np.int64)
-            index.update(zip(new, range(len(index), len(index) + len(new))))
-            self.starts = np.append(self.starts, self.used + np.cumsum(lengths) - lengths)
-            self.lengths = np.append(self.lengths, lengths)
-            self.used += int(lengths.sum())
-            self.parts = [np.concatenate([*self.parts, *ids])]
-        flat, out = self.parts[0], []
-        for ps in pieces:
-            at = np.fromiter(map(index.__getitem__, ps), dtype=np.int64, count=len(ps))
-            n = self.lengths[at]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(flat[np.repeat(self.starts[at] - ends + n, n) + np.arange(total)])
+        out = []
+        for i in range(0, len(texts), 64):
+            pieces = list(map(self._text, texts[i : i + 64]))
+            index = self.index
+            new = [p for p in set().union(*pieces) if p not in index]
+            if new:
+                self._learn(new)
+            for ps in pieces:
+                at = np.fromiter(map(index.__getitem__, ps), dtype=np.int64, count=len(ps))
+                n = self.lengths[at]
+                ends = np.cumsum(n)
+                out.append(self.flat[np.repeat(self.starts[at] - ends + n, n) + np.arange(int(ends[-1]))])
         return out
 
 
@@ -106,7 +176,7 @@ def write_packed(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = E
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        encoder, shard = Encoder(tokenizer_path), TaskContext.get().partitionId()
+        encoder, shard = Encoder.of(tokenizer_path), TaskContext.get().partitionId()
         end = np.array([end_id], dtype=np.uint32)
         names, parts, held, first, number = [], [], 0, 0, 0
 
