@@ -69,6 +69,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         mark = self._ids(self.MARK)
         self.mark = int(mark[0]) if len(mark) == 1 and len(self._ids(f"a {self.MARK} a")) == 3 else None
+        # ids that end a word, where the vocabulary marks them: a word of letters is one such run
+        words = self.tokenizer.get_vocab(with_added_tokens=False)
+        ends = np.zeros(1 + max(self.tokenizer.get_vocab().values()), dtype=bool)
+        ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
+        self.ends = ends if [bool(ends[i]) for i in self._ids("a b")] == [True, True] else None
         self.specials = [str(t) for t in (x.content for x in self.tokenizer.get_added_tokens_decoder().values())]
         # both hold if these agree
         self.lowers = bool(np.array_equal(self._ids("TheRe"), self._ids("there"))) and bool(np.array_equal(self._ids("there,"), np.append(self._ids("there"), self._ids(","))))
@@ -104,8 +109,7 @@ class Encoder:
                 heads = {p[:-1] for p in ended}
                 self._encode([p for p in heads.union(new, ",.") if p not in skip and p not in self.index])
                 place = np.array([(self.index[p[:-1]], self.index[p[-1]]) for p in ended])
-                n = self.lengths[place]
-                self._add(ended, np.concatenate([self.flat[self.starts[i] : self.starts[i] + self.lengths[i]] for i in place.reshape(-1)]), n.sum(axis=1))
+                self._add(ended, self._gather(place.reshape(-1)), self.lengths[place].sum(axis=1))
                 return
         self._encode(new)
 
@@ -122,11 +126,25 @@ class Encoder:
         if not new:
             return
         plain = self.mark is not None
-        odd = [p for p in new if not plain or self.MARK in p or any(x in p for x in self.specials)]
+        odd = new if not plain else []
+        if plain and any(x in " ".join(new) for x in (self.MARK, *self.specials)):
+            odd = [p for p in new if any(x in p for x in (self.MARK, *self.specials))]
         if odd:
             skip = set(odd)
             new = [p for p in new if p not in skip]
         names, parts, lengths = [], [], []
+        if self.ends is not None:
+            alpha = [p for p in new if p.isalpha()]
+            for i in range(0, len(alpha), self.MANY):
+                some = alpha[i : i + self.MANY]
+                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+                last = np.flatnonzero(self.ends[ids])
+                if len(last) == len(some) and last[-1] == len(ids) - 1:
+                    names += some
+                    parts.append(ids)
+                    lengths.append(np.diff(np.append(-1, last)))
+            done = set(names)
+            new = [p for p in new if p not in done]
         for i in range(0, len(new), self.MANY):
             some = new[i : i + self.MANY]
             ids = np.array(self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(some)], add_special_tokens=False)[0].ids, dtype=np.uint32)
@@ -146,20 +164,23 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.index) > MEMO:
             self.clear()
-        out = []
+        get, out = self.index.get, []
         for i in range(0, len(texts), 64):
             pieces = list(map(self._text, texts[i : i + 64]))
-            index = self.index
-            new = [p for p in set().union(*pieces) if p not in index]
-            if new:
-                self._learn(new)
-            for ps in pieces:
-                at = np.fromiter(map(index.__getitem__, ps), dtype=np.int64, count=len(ps))
-                n = self.lengths[at]
-                ends = np.cumsum(n)
-                out.append(self.flat[np.repeat(self.starts[at] - ends + n, n) + np.arange(int(ends[-1]))])
+            places = [list(map(get, ps)) for ps in pieces]
+            missing = [(at, j, ps[j]) for ps, at in zip(pieces, places) if None in at for j, k in enumerate(at) if k is None]
+            if missing:
+                self._learn(list({p for _, _, p in missing}))
+                for at, j, p in missing:
+                    at[j] = get(p)
+            out += [self._gather(np.array(at, dtype=np.int64)) for at in places]
         return out
 
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        n = self.lengths[at]
+        ends = np.cumsum(n)
+        return self.flat[np.repeat(self.starts[at] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
 
 def vocabulary_bits(path: str) -> int:
     from tokenizers import Tokenizer
