@@ -92,23 +92,36 @@ class Sampler:
         rng = np.random.default_rng(seed)
         self.k = k
         self.odd = rng.integers(1, 1 << 63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        draws = np.sort(rng.gamma(2.0, 1.0, (64, 1 << 16)), axis=1).mean(axis=0)  # quantiles of Gamma(2, 1)
-        self.r, self.ln_c = draws.astype(np.float32), np.log(draws).astype(np.float32)
-        self.by_r = (1 / draws).astype(np.float32)
+        # quantiles of Gamma(2, 1), for r by 12 bits and for c by 14
+        self.r = self._gamma(rng, 12)
+        self.ln_c = np.log(self._gamma(rng, 14)).astype(np.float32)
+
+    @staticmethod
+    def _gamma(rng: np.random.Generator, bits: int) -> np.ndarray:
+        return np.sort(rng.gamma(2.0, 1.0, (64, 1 << bits)), axis=1).mean(axis=0).astype(np.float32)
 
     def __call__(self, h: np.ndarray, weight: np.ndarray) -> np.ndarray:
         best = best_a = None
         ln_w = np.log(weight).astype(np.float32)
+        k = np.arange(self.k)
         for i in range(0, len(h), self.CHUNK):
             z = h[i : i + self.CHUNK, None] * self.odd
             z ^= z >> np.uint64(32)
-            r_at, c_at = (z >> np.uint64(48)).astype(np.uint16), (z >> np.uint64(32)).astype(np.uint16)
-            beta = z.astype(np.uint32).astype(np.float32) * np.float32(2**-32)
-            t = np.floor(self.by_r[r_at] * ln_w[i : i + self.CHUNK, None] + beta)
-            a = self.ln_c[c_at] - self.r[r_at] * (t - beta + np.float32(1))
-            at = a.argmin(axis=0)
-            k = np.arange(self.k)
-            low = a[at, k]
+            beta = z.astype(np.uint32).astype(np.float32)
+            beta *= np.float32(2**-32)
+            z >>= np.uint64(38)
+            ln_c = self.ln_c.take((z & np.uint64(0x3FFF)).view(np.int64))
+            z >>= np.uint64(14)
+            r = self.r.take(z.view(np.int64))
+            t = ln_w[i : i + self.CHUNK, None] / r
+            t += beta
+            np.floor(t, out=t)
+            beta -= t
+            beta -= np.float32(1)
+            beta *= r
+            beta += ln_c  # ln c - r * (t - beta + 1)
+            at = beta.argmin(axis=0)
+            low = beta[at, k]
             got = mix(h[i + at] ^ mix(t[at, k].astype(np.int64).astype(np.uint64)))
             if best is None:
                 best, best_a = got, low
