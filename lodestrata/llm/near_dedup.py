@@ -3,13 +3,15 @@
 Three passes. (1) A count sketch of fixed size takes the document frequency of every 5-word shingle of
 every text. (2) Each text gets ``bands x rows`` improved consistent weighted samples of its TF-IDF
 weighted shingles; a band's samples make its bucket key. (3) In each bucket every distinct text is
-compared with the bucket's least one, its leader; texts that fail there but lie near enough for a
-partner elsewhere in the bucket (the distance is a metric, so most are ruled out exactly) are compared
-with each other unless already connected. Pairs are accepted at a weighted Jaccard similarity of
+compared with the bucket's least one, its leader; texts that fail there but may have a partner elsewhere
+in the bucket are compared with each other unless already connected. Two exact bounds rule most of those
+pairs out: the distance is a metric, and no text shares more than what other such texts have of it. Pairs are accepted at a weighted Jaccard similarity of
 ``threshold`` on the whole texts; classes are the connected components.
 
-Weights are tf * idf with idf = 1 + min(ln((1 + n) / (1 + df)), 8) / 8, so a shingle in every document
-weighs half of a rare one and no weight is 0.
+Accepted weights are tf * idf with idf = 1 + min(ln((1 + n) / (1 + df)), 8) / 8, so a shingle in every
+document weighs half of a rare one and no weight is 0. Samples are drawn by tf * ln((1 + n) / (1 + df)),
+at least a tenth, which keeps a passage that many documents share from filling buckets with texts that
+share nothing else; it only steers which pairs are compared.
 
 Defined results: a null text equals an empty one; equal texts are one node whatever their length; a text
 of under five words has no shingles and joins only equal texts; a row without doc_id takes part, and a
@@ -29,7 +31,7 @@ from .common import WordHasher, components, cut, mix, shingles, small_batches, t
 
 LOG2_SKETCH = 18
 SEGMENT = 1024
-BANDS, ROWS = 16, 5
+BANDS, ROWS = 16, 4
 THRESHOLD = 0.8
 _EPS = 1e-6
 
@@ -83,6 +85,11 @@ def idf_table(counts: np.ndarray, n: int) -> np.ndarray:
     return (1 + np.minimum(np.log((1 + n) / (1 + np.minimum(counts, n))), 8) / 8).astype(np.float32)
 
 
+def sampling_weight(idf: np.ndarray) -> np.ndarray:
+    """The weight by which a shingle of this idf is sampled."""
+    return np.maximum((idf - 1) * 8, 0.1)
+
+
 class Sampler:
     """Improved consistent weighted sampling: one (shingle, level) sample for each of k hash functions."""
 
@@ -145,7 +152,7 @@ def signatures(docs: DataFrame, idf, bands: int = BANDS, rows: int = ROWS) -> Da
                 if not len(h):
                     out.append(None)
                     continue
-                s = sampler(h, n * table[(h & mask).astype(np.int64)]).reshape(bands, rows)
+                s = sampler(h, n * sampling_weight(table[(h & mask).astype(np.int64)])).reshape(bands, rows)
                 key = salt.copy()
                 for j in range(rows):
                     key = mix(key ^ s[:, j])
@@ -188,6 +195,31 @@ def verify(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     return with_both.select("a", "b", "text_a", "text_b").mapInPandas(judge, "a long, b long, similarity double")
 
 
+def shared_weights(texts: DataFrame, idf) -> DataFrame:
+    """(node, total, shared): the weight of each text, and of its shingles that another of these texts has too.
+
+    No two of them share more than the lesser ``shared``, which bounds their similarity exactly.
+    """
+
+    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher, table = WordHasher(), idf.value
+        mask = np.uint64(len(table) - 1)
+        for batch in batches:
+            hs, ws = [], []
+            for words in words_of(batch["text"]):
+                h, n = _tf(hasher, words)
+                hs.append(h.astype(np.int64))
+                ws.append((n * table[(h & mask).astype(np.int64)]).astype(np.float64))
+            yield pd.DataFrame({"node": batch["node"], "h": hs, "w": ws})
+
+    vector = cut(texts.select("node", "text").mapInPandas(vectors, "node long, h array<long>, w array<double>").groupBy("node").agg(F.first("h").alias("h"), F.first("w").alias("w")), "vectors")
+    each = vector.select("node", F.explode(F.arrays_zip("h", "w")).alias("s")).select("node", "s.h", "s.w")
+    common = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    shared = each.join(common, "h").groupBy("node").agg(F.sum("w").alias("shared"))
+    total = F.aggregate("w", F.lit(0.0), lambda a, b: a + b)
+    return vector.select("node", total.alias("total")).join(shared, "node", "left").select("node", "total", F.coalesce("shared", F.lit(0.0)).alias("shared"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, log2: int = LOG2_SKETCH) -> DataFrame:
     """(doc_id, class_id, n_rows) for every row of ``docs`` (doc_id, text); n_rows: rows of that id and text."""
     spark: SparkSession = docs.sparkSession
@@ -224,8 +256,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
         best = seen.where(F.col("similarity") < threshold).groupBy("bucket").agg(F.max("similarity").alias("nearest"))
         left = seen.join(best, "bucket").where((F.col("similarity") < threshold) | (F.col("similarity") <= F.col("nearest") + room))
         left = cut(left.join(labels, "node", "left").select("bucket", "node", "similarity", F.coalesce("component", "node").alias("component")), "left")
-        x, y = (left.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "similarity", "component"))) for s in "xy")
+        weights = shared_weights(texts(left.select(F.col("node").alias("a"), F.col("node").alias("b"))), idf).where(F.col("shared") >= (threshold - _EPS) * F.col("total"))
+        left = cut(left.join(weights, "node"), "left")
+        x, y = (left.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "similarity", "component", "shared", "total"))) for s in "xy")
+        most = F.least("shared_x", "shared_y")
         apart = (F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & (F.least("similarity_x", "similarity_y") < threshold) & (F.abs(F.col("similarity_x") - F.col("similarity_y")) <= room)
+        apart = apart & (most >= (threshold - _EPS) * (F.col("total_x") + F.col("total_y") - most))
         more = cut(x.join(y, "bucket").where(apart).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct(), "more")
         if not more.isEmpty():
             edges = edges.unionByName(verify(more, texts(more), idf).where(F.col("similarity") >= threshold).select("a", "b").distinct())
