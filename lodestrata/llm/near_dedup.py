@@ -238,7 +238,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     pairs = cut(entries.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
 
     def texts(of: DataFrame) -> DataFrame:
-        wanted = nodes.join(of.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("key", "node", "anonymous")
+        named_in = of.select(F.col("a").alias("node")).distinct().union(of.select("b").distinct())
+        wanted = nodes.join(named_in, "node", "left_semi").select("key", "node", "anonymous")
         source = docs.select("doc_id", text_of().alias("text")).withColumn("key", F.md5("text"))
         named = source.join(wanted.where("not anonymous").select("key", F.col("node").alias("doc_id")), ["key", "doc_id"]).select(F.col("doc_id").alias("node"), "text")
         if not nodes.where("anonymous").isEmpty():
