@@ -23,6 +23,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,7 +62,7 @@ class Encoder:
     new word that ends in a comma or full stop has the word's ids and the mark's.
     """
 
-    MARK, MANY = "\x01", 512
+    MARK, MANY, CHARS = "\x01", 512, 4_000_000
     _own: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
@@ -94,11 +96,11 @@ class Encoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    def _text(self, text: str) -> list[str]:
+    def _text(self, text: str) -> str:
         if self.lowers and "\u03a3" not in text and unicodedata.is_normalized("NFC", text):
             low = text.lower()
             text = low if low.isascii() or unicodedata.is_normalized("NFC", low) else text
-        return text.replace("\n", " ").replace("\t", " ").split(" ")
+        return text.replace("\n", " ").replace("\t", " ")
 
     def _learn(self, new: list[str]) -> None:
         """Learn pieces, those that end in a mark from what stands before it."""
@@ -162,19 +164,32 @@ class Encoder:
         self._add(names, got, n)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        out, some, chars = [], [], 0
+        for t in texts:
+            some.append(t)
+            chars += len(t)
+            if chars >= self.CHARS:
+                out += self._some(some)
+                some, chars = [], 0
+        return out + (self._some(some) if some else [])
+
+    def _some(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts of bounded length together: each different piece is looked up once."""
         if len(self.index) > MEMO:
             self.clear()
-        get, out = self.index.get, []
-        for i in range(0, len(texts), 64):
-            pieces = list(map(self._text, texts[i : i + 64]))
-            places = [list(map(get, ps)) for ps in pieces]
-            missing = [(at, j, ps[j]) for ps, at in zip(pieces, places) if None in at for j, k in enumerate(at) if k is None]
-            if missing:
-                self._learn(list({p for _, _, p in missing}))
-                for at, j, p in missing:
-                    at[j] = get(p)
-            out += [self._gather(np.array(at, dtype=np.int64)) for at in places]
-        return out
+        lists = pc.split_pattern(pa.array(list(map(self._text, texts)), pa.large_string()), " ")
+        pieces = lists.flatten().dictionary_encode()
+        names, get = pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), self.index.get
+        places = list(map(get, names))
+        missing = [(j, names[j]) for j, k in enumerate(places) if k is None] if None in places else []
+        if missing:
+            self._learn([p for _, p in missing])
+            for j, p in missing:
+                places[j] = get(p)
+        at = np.array(places, dtype=np.int64)[pieces.indices.to_numpy()]
+        ids = self._gather(at)
+        ends = np.append(0, np.cumsum(self.lengths[at]))[lists.offsets.to_numpy()]
+        return [ids[i:j] for i, j in zip(ends[:-1], ends[1:])]
 
     def _gather(self, at: np.ndarray) -> np.ndarray:
         n = self.lengths[at]
