@@ -83,10 +83,23 @@ class Features:
         return indices.reshape(-1), values.reshape(-1), np.full(len(texts), n + 2, dtype=np.int64)
 
 
-def _dots(x: tuple[np.ndarray, np.ndarray, np.ndarray], w: np.ndarray) -> np.ndarray:
+BLOCK = 256
+
+
+def _blocks(x: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, row of each value, indices, values) of blocks of rows, so that temporary arrays stay small."""
     i, v, n = x
-    row = np.repeat(np.arange(len(n)), n)
-    return np.bincount(row, weights=v * w[i], minlength=len(n))
+    ends = np.append(0, np.cumsum(n))
+    for a in range(0, len(n), BLOCK):
+        b = min(a + BLOCK, len(n))
+        yield slice(a, b), np.repeat(np.arange(b - a), n[a:b]), i[ends[a] : ends[b]], v[ends[a] : ends[b]]
+
+
+def _dots(x: tuple[np.ndarray, np.ndarray, np.ndarray], w: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(x[2]))
+    for rows, row, i, v in _blocks(x):
+        out[rows] = np.bincount(row, weights=v * w[i], minlength=rows.stop - rows.start)
+    return out
 
 
 def _probability(z: np.ndarray) -> np.ndarray:
@@ -100,15 +113,16 @@ def _subset(x: tuple[np.ndarray, np.ndarray, np.ndarray], rows: np.ndarray) -> t
     return i[at], v[at], n[rows]
 
 
-def fit_logistic(x: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, weight: np.ndarray, size: int, steps: int = 150, l2: float = 1e-4, rate: float = 0.5) -> np.ndarray:
-    """Weights and, last, the intercept, by AdaGrad on the whole set; classes are weighed alike."""
-    i, v, n = x
-    row = np.repeat(np.arange(len(n)), n)
-    weight = weight * np.where(y > 0.5, 0.5 / max(1e-9, (weight * y).sum()), 0.5 / max(1e-9, (weight * (1 - y)).sum()))
+def fit_logistic(x: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, weight: np.ndarray, size: int, steps: int = 150, l2: float = 1e-4, rate: float = 0.5, alike: bool = True) -> np.ndarray:
+    """Weights and, last, the intercept, by AdaGrad on the whole set; ``alike`` weighs the classes alike, as calibration doesn't."""
+    weight = weight / weight.sum() if not alike else weight * np.where(y > 0.5, 0.5 / max(1e-9, (weight * y).sum()), 0.5 / max(1e-9, (weight * (1 - y)).sum()))
     w, b, gw, gb = np.zeros(size), 0.0, np.full(size, 1e-8), 1e-8
     for _ in range(steps):
-        e = (_probability(np.bincount(row, weights=v * w[i], minlength=len(n)) + b) - y) * weight
-        g = np.bincount(i, weights=v * e[row], minlength=size) + l2 * w
+        e, g = np.zeros(len(y)), l2 * w
+        for rows, row, i, v in _blocks(x):
+            own = (_probability(np.bincount(row, weights=v * w[i], minlength=rows.stop - rows.start) + b) - y[rows]) * weight[rows]
+            e[rows] = own
+            np.add.at(g, i, v * own[row])
         gw += g * g
         gb += e.sum() ** 2
         w -= rate * g / np.sqrt(gw)
@@ -151,8 +165,8 @@ class CoTrained:
         at = np.flatnonzero(held)
         scores = np.stack([_dots(_subset(views[v], at), self.w[v][:-1]) + self.w[v][-1] for v in (0, 1)], axis=1)
         truth, ones = y[at], np.ones(len(at))
-        self.platt = [fit_logistic(_dense(scores[:, v : v + 1]), truth, ones, 1, 400) for v in (0, 1)]
-        self.join = fit_logistic(_dense(self._calibrated(scores)), truth, ones, 2, 400)
+        self.platt = [fit_logistic(_dense(scores[:, v : v + 1]), truth, ones, 1, 400, alike=False) for v in (0, 1)]
+        self.join = fit_logistic(_dense(self._calibrated(scores)), truth, ones, 2, 400, alike=False)
         self.held_accuracy = float(((self.combined(scores) >= 0.5) == (truth > 0.5)).mean())
 
     def _calibrated(self, scores: np.ndarray) -> np.ndarray:
@@ -184,16 +198,16 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
             out = batch[["doc_id", "good", "toxic"]].copy()
             for name, (i, v, n) in (("t", features.text(texts)), ("m", features.meta(texts, list(batch["lang"]), list(batch["source"])))):
                 ends = np.cumsum(n)
-                out[f"{name}i"] = [i[a:b] for a, b in zip(ends - n, ends)]
-                out[f"{name}v"] = [v[a:b] for a, b in zip(ends - n, ends)]
+                out[f"{name}i"] = [i[a:b].astype("<i4").tobytes() for a, b in zip(ends - n, ends)]
+                out[f"{name}v"] = [v[a:b].astype("<f4").tobytes() for a, b in zip(ends - n, ends)]
             yield out
 
     rows = docs.join(F.broadcast(wanted), "doc_id").select("doc_id", "good", "toxic", F.coalesce("text", F.lit("")).alias("text"), "lang", "source")  # labelled + pool rows at most
-    got = rows.mapInPandas(extract, "doc_id long, good double, toxic double, ti array<long>, tv array<float>, mi array<long>, mv array<float>").toPandas()
+    got = rows.mapInPandas(extract, "doc_id long, good double, toxic double, ti binary, tv binary, mi binary, mv binary").toPandas()
     got = got.sort_values(["doc_id"], kind="stable").drop_duplicates("doc_id")
     got = pd.concat([got[got["good"].notna()], got[got["good"].isna()]], ignore_index=True)
-    join = lambda c: np.concatenate(list(got[c])) if len(got) else np.empty(0)
-    views = [(join(f"{x}i").astype(np.int64), join(f"{x}v"), got[f"{x}i"].map(len).to_numpy(dtype=np.int64)) for x in "tm"]
+    views = [(np.frombuffer(b"".join(got[f"{x}i"]), "<i4"), np.frombuffer(b"".join(got[f"{x}v"]), "<f4"), got[f"{x}i"].map(len).to_numpy(dtype=np.int64) // 4) for x in "tm"]
+    got = got[["doc_id", "good", "toxic"]]
     y = got[got["good"].notna()]
     return {name: CoTrained(views, (y[name].to_numpy() > 0).astype(np.float64)) for name in ("good", "toxic")}
 
