@@ -11,7 +11,7 @@ all of 64 values miss with a chance of 1.4e-6.
 Items (a test set, whose total size is checked) are sent to the tasks; beyond ``most_bytes`` of text they
 are handled in parts, each a pass over the documents, so that what is sent has a bound.
 
-Words are runs of letters and digits in lower case, so changes of case and punctuation don't hide an item.
+Words are runs of letters and digits, case-folded, so changes of case and punctuation don't hide an item.
 
 Defined results: null texts have no words; an item of under five words has no shingles and matches
 nothing; equal items match alike; rows without doc_id are reported without; an empty table gives no rows.
@@ -36,7 +36,7 @@ _TOKEN = re.compile(r"\w+")
 
 
 def _words(text: str | None) -> list[str]:
-    return _TOKEN.findall(text.lower()) if text else []
+    return _TOKEN.findall(text.casefold()) if text else []
 
 
 class Searcher:

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WordHasher, components, cut, mix, shingles, small_batches, text_of, words_of
@@ -220,6 +220,11 @@ def shared_weights(texts: DataFrame, idf) -> DataFrame:
     return vector.select("node", total.alias("total")).join(shared, "node", "left").select("node", "total", F.coalesce("shared", F.lit(0.0)).alias("shared"))
 
 
+def _nameless(key: Column) -> Column:
+    """The node of a text that only rows without doc_id have."""
+    return -1 - F.abs(F.xxhash64(key) % F.lit(1 << 62))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, log2: int = LOG2_SKETCH) -> DataFrame:
     """(doc_id, class_id, n_rows) for every row of ``docs`` (doc_id, text); n_rows: rows of that id and text."""
     spark: SparkSession = docs.sparkSession
@@ -229,7 +234,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     idf = spark.sparkContext.broadcast(idf_table(counts, n))  # 2**log2 floats
     signed = cut(signatures(docs, idf, bands, rows), "signed")
     nodes = cut(
-        signed.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("buckets").alias("buckets")).select("key", F.coalesce("least", -1 - F.abs(F.xxhash64("key") % F.lit(1 << 62))).alias("node"), F.col("least").isNull().alias("anonymous"), "buckets"),
+        signed.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("buckets").alias("buckets")).select("key", F.coalesce("least", _nameless(F.col("key"))).alias("node"), F.col("least").isNull().alias("anonymous"), "buckets"),
         "nodes",
     )
     entries = nodes.select("node", F.explode("buckets").alias("bucket"))
@@ -286,7 +291,9 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
         out = out.unionByName(docs.join(more.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     nameless = kept.where("doc_id is null")
     if not nameless.isEmpty():
-        out = out.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+        alone = docs.where("doc_id is null").withColumn("_node", _nameless(F.md5(text_of())))
+        alone = alone.join(nameless.select(F.col("class_id").alias("_node")).distinct(), "_node", "left_semi")
+        out = out.unionByName(alone.dropDuplicates(["_node"]).drop("_node"))
     return out.select(*docs.columns)
 
 
