@@ -9,6 +9,8 @@ import uuid
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,6 +90,27 @@ class WordHasher:
         return np.array(got, dtype=np.int64).view(np.uint64)
 
 
+def hash_texts(hasher: WordHasher, texts: list[str], chars: int = 4_000_000) -> list[np.ndarray]:
+    """The word hashes of each text. Texts are split and their words numbered by Arrow, a bounded number of characters at once, so each different word is looked up once."""
+    out: list[np.ndarray] = []
+    some: list[str] = []
+    held = 0
+    for k, t in enumerate(texts):
+        some.append(t.replace("\n", " ").replace("\t", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " "))
+        held += len(t)
+        if held >= chars or k == len(texts) - 1:
+            lists = pc.split_pattern(pa.array(some, pa.large_string()), " ")
+            words = lists.flatten().dictionary_encode()
+            names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+            at = words.indices.to_numpy()
+            full = at != (names.index("") if "" in names else -1)
+            ends = np.append(0, np.cumsum(full))[lists.offsets.to_numpy()]
+            hashes = hasher(names)[at[full]]
+            out += [hashes[i:j] for i, j in zip(ends[:-1], ends[1:])]
+            some, held = [], 0
+    return out
+
+
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 

@@ -3,7 +3,7 @@
 Three passes. (1) A count sketch of fixed size takes the document frequency of every 5-word shingle of
 every text. (2) Each text gets ``bands x rows`` improved consistent weighted samples of its TF-IDF
 weighted shingles; a band's samples make its bucket key. (3) In each bucket every distinct text is
-compared with the bucket's least one, its leader; texts that fail there but may have a partner elsewhere
+compared with its leader, the one whose shingles are the most common (a copy's own edits are rare); texts that fail there but may have a partner elsewhere
 in the bucket are compared with each other unless already connected. Two exact bounds rule most of those
 pairs out: the distance is a metric, and no text shares more than what other such texts have of it. Pairs are accepted at a weighted Jaccard similarity of
 ``threshold`` on the whole texts; classes are the connected components.
@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHasher, components, cut, mix, shingles, small_batches, text_of, words_of
+from .common import WordHasher, components, cut, hash_texts, mix, shingles, small_batches, text_of, words_of
 
 LOG2_SKETCH = 18
 SEGMENT = 1024
@@ -36,8 +36,9 @@ THRESHOLD = 0.8
 _EPS = 1e-6
 
 
-def _tf(hasher: WordHasher, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    h, n = np.unique(shingles(hasher(words)), return_counts=True)
+def _tf(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different shingles of a text's word hashes, and how often each occurs."""
+    h, n = np.unique(shingles(words), return_counts=True)
     return h, n.astype(np.float32)
 
 
@@ -54,7 +55,7 @@ def document_frequencies(docs: DataFrame, log2: int = LOG2_SKETCH) -> tuple[np.n
         hasher, total, n = WordHasher(), np.zeros(size, dtype=np.int64), 0
         for batch in batches:
             n += len(batch)
-            found = [np.unique(shingles(hasher(w))) & mask for w in words_of(batch["text"])]
+            found = [np.unique(shingles(w)) & mask for w in hash_texts(hasher, list(batch["text"]))]
             if found:
                 total += np.bincount(np.concatenate(found).astype(np.int64), minlength=size)
         parts = total.reshape(-1, SEGMENT)
@@ -139,28 +140,31 @@ class Sampler:
 
 
 def signatures(docs: DataFrame, idf, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, key, buckets): the text's digest and its bucket keys, none for under five words."""
+    """(doc_id, key, rarity, buckets): the text's digest, its shingles' mean idf and its bucket keys, none for under five words."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher, sampler, table = WordHasher(), Sampler(bands * rows), idf.value
         mask = np.uint64(len(table) - 1)
         salt = mix(np.arange(1, bands + 1, dtype=np.uint64))
         for batch in batches:
-            out = []
-            for words in words_of(batch["text"]):
-                h, n = _tf(hasher, words)
+            out, rarity = [], []
+            for words in hash_texts(hasher, list(batch["text"])):
+                h, n = _tf(words)
                 if not len(h):
                     out.append(None)
+                    rarity.append(0.0)
                     continue
-                s = sampler(h, n * sampling_weight(table[(h & mask).astype(np.int64)])).reshape(bands, rows)
+                weight = n * sampling_weight(table[(h & mask).astype(np.int64)])
+                rarity.append(float(weight.sum(dtype=np.float64) / n.sum(dtype=np.float64)))
+                s = sampler(h, weight).reshape(bands, rows)
                 key = salt.copy()
                 for j in range(rows):
                     key = mix(key ^ s[:, j])
                 out.append(key.astype(np.int64))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "key": batch["key"], "buckets": out})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "key": batch["key"], "rarity": rarity, "buckets": out})
 
     text = text_of()
-    return docs.select("doc_id", F.md5(text).alias("key"), text.alias("text")).mapInPandas(sign, "doc_id long, key string, buckets array<long>")
+    return docs.select("doc_id", F.md5(text).alias("key"), text.alias("text")).mapInPandas(sign, "doc_id long, key string, rarity double, buckets array<long>")
 
 
 def weighted_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
@@ -179,7 +183,7 @@ def verify(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
         last: dict[str, tuple] = {}
 
         def vector(text: str) -> tuple[np.ndarray, np.ndarray]:
-            h, n = _tf(hasher, words_of([text])[0])
+            h, n = _tf(hasher(words_of([text])[0]))
             return h, n * table[(h & mask).astype(np.int64)]
 
         for batch in batches:
@@ -206,8 +210,8 @@ def shared_weights(texts: DataFrame, idf) -> DataFrame:
         mask = np.uint64(len(table) - 1)
         for batch in batches:
             hs, ws = [], []
-            for words in words_of(batch["text"]):
-                h, n = _tf(hasher, words)
+            for words in hash_texts(hasher, list(batch["text"])):
+                h, n = _tf(words)
                 hs.append(h.astype(np.int64))
                 ws.append((n * table[(h & mask).astype(np.int64)]).astype(np.float64))
             yield pd.DataFrame({"node": batch["node"], "h": hs, "w": ws})
@@ -234,12 +238,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     idf = spark.sparkContext.broadcast(idf_table(counts, n))  # 2**log2 floats
     signed = cut(signatures(docs, idf, bands, rows), "signed")
     nodes = cut(
-        signed.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("buckets").alias("buckets")).select("key", F.coalesce("least", _nameless(F.col("key"))).alias("node"), F.col("least").isNull().alias("anonymous"), "buckets"),
+        signed.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("buckets").alias("buckets"), F.first("rarity").alias("rarity")).select("key", F.coalesce("least", _nameless(F.col("key"))).alias("node"), F.col("least").isNull().alias("anonymous"), "rarity", "buckets"),
         "nodes",
     )
-    entries = nodes.select("node", F.explode("buckets").alias("bucket"))
-    leaders = entries.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("bucket", "leader")
-    entries = cut(entries.join(leaders, "bucket"), "entries")
+    entries = nodes.select("node", "rarity", F.explode("buckets").alias("bucket"))
+    first = F.min(F.struct("rarity", "node"))["node"]
+    leaders = entries.groupBy("bucket").agg(first.alias("leader"), F.count("*").alias("n")).where("n > 1").select("bucket", "leader")
+    entries = cut(entries.select("node", "bucket").join(leaders, "bucket"), "entries")
     pairs = cut(entries.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
 
     def texts(of: DataFrame) -> DataFrame:
@@ -264,10 +269,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
         left = cut(left.join(labels, "node", "left").select("bucket", "node", "similarity", F.coalesce("component", "node").alias("component")), "left")
         weights = shared_weights(texts(left.select(F.col("node").alias("a"), F.col("node").alias("b"))), idf).where(F.col("shared") >= (threshold - _EPS) * F.col("total"))
         left = cut(left.join(weights, "node"), "left")
-        x, y = (left.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "similarity", "component", "shared", "total"))) for s in "xy")
+        left = left.join(left.groupBy("node").agg(F.collect_set("bucket").alias("buckets")), "node")
+        x, y = (left.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "similarity", "component", "shared", "total", "buckets"))) for s in "xy")
         most = F.least("shared_x", "shared_y")
         apart = (F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & (F.least("similarity_x", "similarity_y") < threshold) & (F.abs(F.col("similarity_x") - F.col("similarity_y")) <= room)
         apart = apart & (most >= (threshold - _EPS) * (F.col("total_x") + F.col("total_y") - most))
+        # a pair is made in the least of its buckets; a bound that rules it out there holds everywhere
+        apart = apart & (F.array_min(F.array_intersect("buckets_x", "buckets_y")) == F.col("bucket"))
         more = cut(x.join(y, "bucket").where(apart).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct(), "more")
         if not more.isEmpty():
             edges = edges.unionByName(verify(more, texts(more), idf).where(F.col("similarity") >= threshold).select("a", "b").distinct())
