@@ -8,10 +8,9 @@ in the bucket are compared with each other unless already connected. Two exact b
 pairs out: the distance is a metric, and no text shares more than what other such texts have of it. Pairs are accepted at a weighted Jaccard similarity of
 ``threshold`` on the whole texts; classes are the connected components.
 
-Accepted weights are tf * idf with idf = 1 + min(ln((1 + n) / (1 + df)), 8) / 8, so a shingle in every
-document weighs half of a rare one and no weight is 0. Samples are drawn by tf * ln((1 + n) / (1 + df)),
-at least a tenth, which keeps a passage that many documents share from filling buckets with texts that
-share nothing else; it only steers which pairs are compared.
+Weights are tf * idf with idf = 1 + min(ln((1 + n) / (1 + df)), 8) / 8, so a shingle in every document
+weighs half of a rare one and no weight is 0. Samples are drawn by the weights that pairs are accepted by,
+so a pair at the threshold falls in a common bucket as often as any other, whatever its texts share.
 
 Defined results: a null text equals an empty one; equal texts are one node whatever their length; a text
 of under five words has no shingles and joins only equal texts; a row without doc_id takes part, and a
@@ -86,11 +85,6 @@ def idf_table(counts: np.ndarray, n: int) -> np.ndarray:
     return (1 + np.minimum(np.log((1 + n) / (1 + np.minimum(counts, n))), 8) / 8).astype(np.float32)
 
 
-def sampling_weight(idf: np.ndarray) -> np.ndarray:
-    """The weight by which a shingle of this idf is sampled."""
-    return np.maximum((idf - 1) * 8, 0.1)
-
-
 class Sampler:
     """Improved consistent weighted sampling: one (shingle, level) sample for each of k hash functions."""
 
@@ -154,7 +148,7 @@ def signatures(docs: DataFrame, idf, bands: int = BANDS, rows: int = ROWS) -> Da
                     out.append(None)
                     rarity.append(0.0)
                     continue
-                weight = n * sampling_weight(table[(h & mask).astype(np.int64)])
+                weight = n * table[(h & mask).astype(np.int64)]
                 rarity.append(float(weight.sum(dtype=np.float64) / n.sum(dtype=np.float64)))
                 s = sampler(h, weight).reshape(bands, rows)
                 key = salt.copy()

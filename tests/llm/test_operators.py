@@ -128,6 +128,25 @@ def test_near_duplicates_against_all_pairs(spark):
         assert got[c] == c
 
 
+@pytest.mark.parametrize("share", [3, 2])
+def test_near_copies_by_a_common_passage_fall_in_a_bucket(spark, share):
+    """Pairs of an accepted similarity of 0.8 or more whose common part is in a third, or half, of 1500 documents."""
+    n, log2, pairs = 1500, 22, 300
+    passages = [" ".join(f"p{i}w{j}" for j in range(120)) for i in range(pairs)]
+    texts = [f"{p} " + " ".join(f"t{i}{s}{j}" for j in range(8)) for i, p in enumerate(passages) for s in "xy"]
+    hasher, mask = near_dedup.WordHasher(), np.uint64((1 << log2) - 1)
+    vectors = [near_dedup._tf(hasher(words_of([t])[0])) for t in texts]
+    counts = np.ones(1 << log2, dtype=np.int64)
+    for x, y in zip(vectors[::2], vectors[1::2]):
+        counts[(np.intersect1d(x[0], y[0]) & mask).astype(np.int64)] = n // share
+    idf = near_dedup.idf_table(counts, n)
+    weighted = [(h, tf * idf[(h & mask).astype(np.int64)]) for h, tf in vectors]
+    assert min(near_dedup.weighted_jaccard(x, y) for x, y in zip(weighted[::2], weighted[1::2])) >= 0.8
+    docs = docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    got = {r["doc_id"]: set(r["buckets"]) for r in near_dedup.signatures(docs, spark.sparkContext.broadcast(idf)).collect()}
+    assert sum(bool(got[2 * i] & got[2 * i + 1]) for i in range(pairs)) >= pairs - 1
+
+
 def test_sampling_estimates_weighted_jaccard():
     rng = np.random.default_rng(3)
     h = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
