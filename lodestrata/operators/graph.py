@@ -139,7 +139,8 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
     """(id, cluster) of all nodes of a simple digraph: the least member's name for larger components, else the node itself.
 
     Nodes outside of cycles are trimmed first, a layer of sources and sinks a round; only what is left, the
-    cyclic cores, needs reachability.
+    cyclic cores, takes more: colors that spread along the edges and back, whose joins carry an edge once a
+    round, not the pairs of nodes that reach each other.
     """
     step = cut(edges.select("source", "target").where("source <> target").distinct())
     every = step.select(F.col("source").alias("id")).union(step.select("target")).distinct()
@@ -151,7 +152,28 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
         core = inner
     if core.isEmpty():
         return every.select("id", F.col("id").alias("cluster"))
-    reach = cut(closure(core.withColumn("kind", F.lit("e")), core.select(F.col("source").alias("root"))))
-    mutual = reach.join(reach.select(F.col("root").alias("node"), F.col("node").alias("root")), ["root", "node"], "left_semi")
-    least = mutual.groupBy(F.col("root").alias("id")).agg(F.least(F.min("node"), F.col("root")).alias("least"))
-    return every.join(least, "id", "left").select("id", F.coalesce(F.concat(F.lit("cluster-"), "least"), "id").alias("cluster"))
+    found = None
+    while not core.isEmpty():
+        # the least node that reaches each node; of those nodes, the ones that reach it back are its component
+        color = cut(core.select(F.col("source").alias("id")).union(core.select("target")).distinct().withColumn("color", F.col("id")))
+        while True:
+            least = core.join(color.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(F.min("color").alias("near"))
+            step = cut(color.join(least, "id", "left").select("id", F.col("color").alias("old"), F.least("color", F.coalesce("near", "color")).alias("color")))
+            color = step.select("id", "color")
+            if step.where("old <> color").isEmpty():
+                break
+        inside = core.join(color.select(F.col("id").alias("source"), F.col("color").alias("a")), "source").join(color.select(F.col("id").alias("target"), F.col("color").alias("b")), "target")
+        inside = cut(inside.where("a = b").select("source", "target"))
+        part = frontier = cut(color.where("id = color"))
+        while True:
+            back = inside.join(frontier.withColumnRenamed("id", "target"), "target").select(F.col("source").alias("id"), "color").distinct()
+            frontier = cut(back.join(part, "id", "left_anti"))
+            if frontier.isEmpty():
+                break
+            part = part.unionByName(frontier)
+        part = cut(part)
+        found = part if found is None else found.unionByName(part)
+        rest = core.join(part.select(F.col("id").alias("source")), "source", "left_anti").join(part.select(F.col("id").alias("target")), "target", "left_anti")
+        core = cut(rest.select("source", "target"))
+    larger = found.join(found.groupBy("color").agg(F.count("*").alias("n")).where("n > 1").select("color"), "color", "left_semi")
+    return every.join(larger, "id", "left").select("id", F.coalesce(F.concat(F.lit("cluster-"), "color"), "id").alias("cluster"))

@@ -44,10 +44,11 @@ def kg_edges(spark: SparkSession, sf: str) -> DataFrame:
     return flow.unionByName(inside).unionByName(steps).unionByName(bound)
 
 
-def unit_edges(spark: SparkSession, sf: str, acyclic: bool = False) -> DataFrame:
-    """(source, target): supplier to supplier, from orders whose key is a multiple of 400 (the rule of the view, which makes a sparse graph)."""
+def unit_edges(spark: SparkSession, sf: str, acyclic: bool = False, whole: bool = False) -> DataFrame:
+    """(source, target): supplier to supplier, from all line items if ``whole``, else from orders whose key is a multiple of 400 (a sparse graph)."""
     n = table(spark, sf, "supplier").agg(F.count("*").alias("n"))
-    e = table(spark, sf, "lineitem").where("l_orderkey % 400 = 0").join(F.broadcast(n)).select(F.col("l_suppkey").alias("source"), (F.col("l_partkey") % F.col("n")).alias("target"))
+    items = table(spark, sf, "lineitem")
+    e = (items if whole else items.where("l_orderkey % 400 = 0")).join(F.broadcast(n)).select(F.col("l_suppkey").alias("source"), (F.col("l_partkey") % F.col("n")).alias("target"))
     e = e.where("source <> target").distinct()
     e = e.where("source > target") if acyclic else e
     return e.select(F.format_string("u%06d", "source").alias("source"), F.format_string("u%06d", "target").alias("target"))
@@ -119,6 +120,8 @@ ue AS (SELECT DISTINCT printf('u%06d', l_suppkey) AS source, printf('u%06d', l_p
   WHERE l_orderkey % 400 = 0 AND l_suppkey <> l_partkey % (SELECT count(*) FROM supplier)),
 dag AS (SELECT * FROM ue WHERE source > target),
 units AS (SELECT printf('u%06d', s_suppkey) AS unit_id FROM supplier)"""
+#: The same over all line items.
+UNIT_EDGES_ALL_SQL = UNIT_EDGES_SQL.replace("l_orderkey % 400 = 0 AND ", "")
 CALLS_SQL = """
 calls AS (SELECT printf('u%06d', l_suppkey) AS unit_id, ['sqs', 'sns', 'dynamodb', 's3', 'eventbridge'][(l_orderkey + l_linenumber) % 5 + 1] AS service,
   ['send_message', 'publish', 'put_item', 'get_object', 'scan', 'Describe', 'delete_object'][(l_orderkey + l_linenumber) % 7 + 1] AS operation, l_quantity >= 5 AS known,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.operators import crud, depgraph, graph
-from lodestrata.plans.estate import CALLS_SQL, EDGES_SQL, MATRIX_SQL, NODES_SQL, SEAMS_SQL, UNIT_EDGES_SQL, kg_edges, kg_nodes, service_calls, table, unit_edges, units
+from lodestrata.plans.estate import CALLS_SQL, EDGES_SQL, MATRIX_SQL, NODES_SQL, SEAMS_SQL, UNIT_EDGES_ALL_SQL, UNIT_EDGES_SQL, kg_edges, kg_nodes, service_calls, table, unit_edges, units
 
 KINDS = ["dataset", "file", "sql_block", "txn", "unknown"]
 _matrix = lambda s, d: crud.crud_matrix(kg_nodes(s, d), kg_edges(s, d))
@@ -21,9 +21,15 @@ def _roots5(s, d):
     return table(s, d, "supplier").where("s_suppkey < 5").select(F.format_string("prog:%d", "s_suppkey").alias("root"))
 
 
-def _waves(s, d, scored=False):
+def _waves(s, d, scored=False, whole=False):
     scores = units(s, d).withColumn("seam_score", (F.substring("unit_id", 2, 9).cast("int") % 7) / 7) if scored else None
-    return depgraph.waves(units(s, d), unit_edges(s, d, acyclic=True), scores)
+    return depgraph.waves(units(s, d), unit_edges(s, d, acyclic=True, whole=whole), scores)
+
+
+def _context_paths(s, d, whole=False):
+    edges = unit_edges(s, d, whole=whole).withColumn("ord", F.substring("target", 2, 9).cast("int"))
+    files = table(s, d, "supplier").select(F.format_string("u%06d", "s_suppkey").alias("unit_id"), F.format_string("src/%s.py", F.col("s_nationkey").cast("string")).alias("path"), F.lit(0).alias("ord"))
+    return depgraph.context_paths(edges, files).select("unit_id", F.array_join("paths", ",").alias("paths"))
 
 
 QUERIES = {
@@ -61,7 +67,14 @@ QUERIES = {
     "waves": _waves,
     "waves_by_seam": lambda s, d: _waves(s, d, True),
     "acceptance_counts": lambda s, d: depgraph.acceptance(units(s, d), table(s, d, "lineitem").select(F.format_string("u%06d", "l_suppkey").alias("source"), F.when(F.col("l_partkey") % 3 > 0, F.format_string("u%06d", F.col("l_partkey") % 100)).alias("target"))),
-    "context_paths": lambda s, d: depgraph.context_paths(unit_edges(s, d).withColumn("ord", F.substring("target", 2, 9).cast("int")), table(s, d, "supplier").select(F.format_string("u%06d", "s_suppkey").alias("unit_id"), F.format_string("src/%s.py", F.col("s_nationkey").cast("string")).alias("path"), F.lit(0).alias("ord"))).select("unit_id", F.array_join("paths", ",").alias("paths")),
+    "context_paths": _context_paths,
+    # the same over all line items: dense, with one large cycle
+    "scc_all": lambda s, d: graph.strongly_connected(unit_edges(s, d, whole=True)),
+    "condensation_all": lambda s, d: depgraph.condensation(unit_edges(s, d, whole=True), graph.strongly_connected(unit_edges(s, d, whole=True))),
+    "waves_all": lambda s, d: _waves(s, d, whole=True),
+    "waves_by_seam_all": lambda s, d: _waves(s, d, True, whole=True),
+    "kg_post_order_all": lambda s, d: graph.heights(units(s, d).select(F.col("unit_id").alias("id")), unit_edges(s, d, acyclic=True, whole=True)),
+    "context_paths_all": lambda s, d: _context_paths(s, d, whole=True),
 }
 
 _W = f"WITH {MATRIX_SQL}"
@@ -115,3 +128,4 @@ SELECT kind, name, concat_ws(chr(10), 'Touched by ' || n || ' programs', 'Reader
     "acceptance_counts": f"WITH {UNIT_EDGES_SQL}, e AS (SELECT printf('u%06d', l_suppkey) AS source, CASE WHEN l_partkey % 3 > 0 THEN printf('u%06d', l_partkey % 100) END AS target FROM lineitem), c AS (SELECT unit_id, (SELECT count(*) FROM e WHERE target = unit_id) AS n_in, (SELECT count(*) FROM e WHERE source = unit_id) AS n_out FROM units) SELECT *, n_in || ' inbound and ' || n_out || ' outbound dependencies verified' AS criteria FROM c",
     "context_paths": f"WITH {UNIT_EDGES_SQL}, p AS (SELECT source AS unit_id, 'src/' || s_nationkey || '.py' AS path, min(target) AS seen FROM ue JOIN supplier ON printf('u%06d', s_suppkey) = target GROUP BY 1, 2) SELECT unit_id, string_agg(path, ',' ORDER BY seen, path) AS paths FROM p GROUP BY 1",
 }
+ORACLES |= {f"{k}_all": ORACLES[k].replace(UNIT_EDGES_SQL, UNIT_EDGES_ALL_SQL) for k in ("scc", "condensation", "waves", "waves_by_seam", "kg_post_order", "context_paths")}

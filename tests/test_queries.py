@@ -35,3 +35,29 @@ def test_query_equals_oracle(spark, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_graph_queries_of_all_line_items(spark, con):
+    """Against plain Python over the whole table, in which programs form one large cycle."""
+    programs = [s for (s,) in con.execute("SELECT s_suppkey FROM supplier").fetchall()]
+    edges = {(s, p % len(programs)) for s, p in con.execute("SELECT l_suppkey, l_partkey FROM lineitem").fetchall() if s != p % len(programs)}
+    run = lambda q: entry.queries()[q](spark, SF)
+    name = "u{:06d}".format
+    after = {a: {b for x, b in edges if x == a} for a in programs}
+    reach = {a: {a} for a in programs}
+    for _ in programs:
+        reach = {a: reach[a].union(*(reach[b] for b in after[a])) for a in programs}
+    same = {a: [b for b in programs if b in reach[a] and a in reach[b]] for a in programs}
+    cluster = {a: f"cluster-{name(min(m))}" if len(m) > 1 else name(a) for a, m in same.items()}
+    assert max(len(m) for m in same.values()) > 1
+    assert {r["id"]: r["cluster"] for r in run("scc_all").collect()} == {name(a): c for a, c in cluster.items()}
+    assert {(r["source"], r["target"]) for r in run("condensation_all").collect()} == {(cluster[a], cluster[b]) for a, b in edges if cluster[a] != cluster[b]}
+    height: dict = {}
+    for a in sorted(programs):
+        height[a] = max((1 + height[b] for b in after[a] if b < a), default=0)
+    assert {r["id"]: r["height"] for r in run("kg_post_order_all").collect()} == {name(a): h for a, h in height.items()}
+    for q in ("waves_all", "waves_by_seam_all"):
+        assert {r["unit_id"]: r["wave"] for r in run(q).collect()} == {name(a): h + 1 for a, h in height.items()}
+    nation = dict(con.execute("SELECT s_suppkey, s_nationkey FROM supplier").fetchall())
+    paths = {name(a): ",".join(dict.fromkeys(f"src/{nation[b]}.py" for b in sorted(after[a]))) for a in programs if after[a]}
+    assert {r["unit_id"]: r["paths"] for r in run("context_paths_all").collect()} == paths
