@@ -49,6 +49,7 @@ QUERIES = {
     "kg_nodes_by_kind": lambda s, d: kg_nodes(s, d).groupBy("kind").agg(F.count("*").alias("n")),
     "kg_neighbors": lambda s, d: graph.neighbors(kg_edges(s, d), "both", ["contains", "step_of", "dd_of"]),
     "kg_descendants": lambda s, d: graph.closure(kg_edges(s, d), _roots5(s, d), ["contains", "reads", "step_of", "dd_of"]),
+    "kg_descendants_all": lambda s, d: graph.closure(kg_edges(s, d), table(s, d, "supplier").select(F.format_string("prog:%d", "s_suppkey").alias("root")), ["contains", "reads", "step_of", "dd_of"]),
     "kg_ancestors": lambda s, d: graph.ancestors(kg_edges(s, d), table(s, d, "region").select(F.format_string("dsn:%d", "r_regionkey").alias("root")), ["step_of", "dd_of"]),
     "kg_roots": lambda s, d: graph.roots(kg_nodes(s, d), kg_edges(s, d), "contains").select("id", "kind"),
     "kg_post_order": lambda s, d: graph.heights(units(s, d).select(F.col("unit_id").alias("id")), unit_edges(s, d, acyclic=True)),
@@ -129,3 +130,4 @@ SELECT kind, name, concat_ws(chr(10), 'Touched by ' || n || ' programs', 'Reader
     "context_paths": f"WITH {UNIT_EDGES_SQL}, p AS (SELECT source AS unit_id, 'src/' || s_nationkey || '.py' AS path, min(target) AS seen FROM ue JOIN supplier ON printf('u%06d', s_suppkey) = target GROUP BY 1, 2) SELECT unit_id, string_agg(path, ',' ORDER BY seen, path) AS paths FROM p GROUP BY 1",
 }
 ORACLES |= {f"{k}_all": ORACLES[k].replace(UNIT_EDGES_SQL, UNIT_EDGES_ALL_SQL) for k in ("scc", "condensation", "waves", "waves_by_seam", "kg_post_order", "context_paths")}
+ORACLES["kg_descendants_all"] = ORACLES["kg_descendants"].replace(" WHERE s_suppkey < 5", "")

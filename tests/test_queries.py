@@ -61,3 +61,8 @@ def test_graph_queries_of_all_line_items(spark, con):
     nation = dict(con.execute("SELECT s_suppkey, s_nationkey FROM supplier").fetchall())
     paths = {name(a): ",".join(dict.fromkeys(f"src/{nation[b]}.py" for b in sorted(after[a]))) for a in programs if after[a]}
     assert {r["unit_id"]: r["paths"] for r in run("context_paths_all").collect()} == paths
+
+
+def test_descendants_of_every_program(spark, con):
+    got = {r["root"] for r in entry.queries()["kg_descendants_all"](spark, SF).select("root").distinct().collect()}
+    assert got == {f"prog:{s}" for (s,) in con.execute("SELECT s_suppkey FROM supplier").fetchall()}
