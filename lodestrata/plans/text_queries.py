@@ -36,9 +36,10 @@ def _fixtures(s, d):
     return dualrun.fixtures(_fields(s, d), runs)
 
 
-def _jcl(s, d):
-    """A job a supplier with up to three steps (line numbers 1 to 3), two datasets a step, one on a continuation."""
-    i = table(s, d, "lineitem").where("l_linenumber <= 3").groupBy("l_suppkey", "l_linenumber").agg(F.min("l_partkey").alias("lo"), F.max("l_partkey").alias("hi"))
+def _jcl(s, d, whole=False):
+    """A job a supplier, two datasets a step, one on a continuation; a step for every line number if ``whole``, else for 1 to 3."""
+    items = table(s, d, "lineitem")
+    i = (items if whole else items.where("l_linenumber <= 3")).groupBy("l_suppkey", "l_linenumber").agg(F.min("l_partkey").alias("lo"), F.max("l_partkey").alias("hi"))
     step = F.format_string("//STEP%d EXEC PGM=PROG%d\n//IN%d DD DISP=SHR,\n//            DSN=PROD.P%d(0)\n//* comment\n//OUT%d DD SYSOUT=A", "l_linenumber", F.col("hi") % 9, "l_linenumber", "lo", "l_linenumber")
     g = i.groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", step.alias("t")))).alias("p"))
     return g.select(F.format_string("s%d.jcl", "l_suppkey").alias("path"), F.concat(F.format_string("//JOB%d JOB (1)\n", "l_suppkey"), F.array_join(F.transform("p", lambda x: x["t"]), "\n")).alias("text"))
@@ -115,6 +116,8 @@ QUERIES = {
     "residual_scan": lambda s, d: extract.residuals(_residual_files(s, d)),
     "jcl_cards": lambda s, d: extract.jcl_cards(_jcl(s, d)).select("path", F.col("line_no").cast("long").alias("line_no"), "card"),
     "jcl_facts": lambda s, d: extract.jcl_facts(extract.jcl_cards(_jcl(s, d))).drop("line_no"),
+    "jcl_cards_all": lambda s, d: extract.jcl_cards(_jcl(s, d, True)).select("path", F.col("line_no").cast("long").alias("line_no"), "card"),
+    "jcl_facts_all": lambda s, d: extract.jcl_facts(extract.jcl_cards(_jcl(s, d, True))).drop("line_no"),
     "cobol_spans": lambda s, d: extract.cobol_spans(_cobol(s, d)).select("path", "name", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line")),
     "cobol_edges": lambda s, d: extract.cobol_edges(_cobol(s, d)).drop("line_no"),
     "sdk_access": lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", *(c.alias(n) for n, c in zip(("kind", "access"), extract.access(_nth(F.col("l_orderkey"), "s3", "dynamodb", "sqs", "ssm", "other"), _nth(F.col("l_partkey"), "put_object", "get_item", "send_message", "get_parameter", "anything", "delete_message"))))),
@@ -251,3 +254,4 @@ unnest([NULL, NULL, NULL, 'F-A', NULL, NULL]) AS depending_on, unnest([NULL, NUL
     "dot_lines": f"""WITH {EDGES_SQL} SELECT '  "' || source || '" -> "' || target || '" [label="' || kind || '"];' AS line FROM kg_edges WHERE kind IN ('step_of', 'dd_of')""",
     "state_fold": "SELECT user_id AS key, max_by(event_type, (ts, event_id)) AS status, sum(CASE WHEN value > 50 THEN 1 ELSE -1 END)::BIGINT AS filings FROM events GROUP BY 1",
 }
+ORACLES |= {f"{k}_all": ORACLES[k].replace(" WHERE l_linenumber <= 3", "") for k in ("jcl_cards", "jcl_facts")}

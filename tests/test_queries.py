@@ -66,3 +66,9 @@ def test_graph_queries_of_all_line_items(spark, con):
 def test_descendants_of_every_program(spark, con):
     got = {r["root"] for r in entry.queries()["kg_descendants_all"](spark, SF).select("root").distinct().collect()}
     assert got == {f"prog:{s}" for (s,) in con.execute("SELECT s_suppkey FROM supplier").fetchall()}
+
+
+def test_job_control_has_a_step_for_every_line_number(spark, con):
+    got = {(r["job"], r["step"]) for r in entry.queries()["jcl_facts_all"](spark, SF).where("kind = 'step'").collect()}
+    assert got == {(f"JOB{s}", f"STEP{n}") for s, n in con.execute("SELECT DISTINCT l_suppkey, l_linenumber FROM lineitem").fetchall()}
+    assert max(n for _, n in got) > "STEP3"
