@@ -156,3 +156,9 @@ def test_waves_put_dependencies_first(spark):
     u = spark.createDataFrame([("a",), ("b",), ("c",)], "unit_id string")
     e = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a")], "source string, target string")
     assert rows(depgraph.waves(u, e)) == [("a", "cluster-a", 1, 1), ("b", "cluster-a", 1, 2), ("c", "c", 2, 1)]
+
+
+def test_long_continuations_are_kept_whole(spark):
+    text = "//A DD DISP=SHR,\n//   " + "X" * 1500
+    df = spark.createDataFrame([("j", text)], "path string, text string")
+    assert [r["card"] for r in extract.jcl_cards(df).collect()] == ["//A DD DISP=SHR, " + "X" * 1500]
