@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 #: A word, as the contracts define it (Java and Python syntax alike).
 WORD = r"[^\x20\x09-\x0D]+"
 _MINE: list[str] = []
+#: Tasks that a very common label of a component is dealt to.
+SALTS = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,6 +64,18 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that no column of ``df`` has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        own = f"__{name}"
+        while own.lower() in taken or f"{own}_".lower() in taken:
+            own = f"_{own}"
+        taken.add(own.lower())
+        out.append(own)
+    return out
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -141,13 +155,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     component of diameter d takes about log d rounds. Each round is a join and a map-side-combined
     aggregate; the labels are written to the shared folder, and only a count of changes reaches the driver.
     """
+    salts = F.array(*(F.lit(i) for i in range(SALTS)))
     both = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).where("u <> v").distinct(), "edges")
     labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("m"))
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        step = cut(step.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
+        # only labels are looked up, of which there are few; a very common one is dealt to SALTS tasks
+        named = labels.select(F.col("label").alias("node")).distinct()
+        jump = labels.join(named, "node", "left_semi").select(F.col("node").alias("label"), F.col("label").alias("further"), F.explode(salts).alias("salt"))
+        salted = step.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+        step = cut(salted.join(jump, ["label", "salt"], "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
         labels = step.select("node", "label")
         if step.where("old <> label").isEmpty():
             return labels.withColumnRenamed("label", "component")
