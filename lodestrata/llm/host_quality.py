@@ -7,7 +7,8 @@ joined back: in a host whose shrunk rate is above ``host_limit``, documents that
 A document that fails no rule is always kept.
 
 Defined results: a null text has no words and fails the base rule; rows without a host form a host of
-their own; repeated rows count each; an empty table gives no rows. Measures cover whole texts.
+their own; repeated rows count each, and rows of equal text and host have one verdict; an empty table gives
+no rows. Measures cover whole texts. Other columns, whatever their names, are kept and not looked at.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, text_of, words_of
+from .common import cut, fresh, small_batches, text_of, words_of
 
 LEAST_WORDS, MOST_REPEATED = 50, 50
 HOST_LIMIT = 0.5
@@ -57,7 +58,7 @@ def measured(docs: DataFrame, host: Column) -> DataFrame:
             got = pd.DataFrame([measure_text(t) for t in batch["text"]], columns=[x.split()[0] for x in MEASURES.split(", ")], index=batch.index)
             yield pd.concat([batch[["doc_id", "host"]], got], axis=1)
 
-    return docs.select("doc_id", host.cast("string").alias("host"), text_of().alias("text")).mapInPandas(run, f"doc_id long, host string, {MEASURES}")
+    return docs.select("doc_id", host.cast("string").alias("host"), text_of().alias("text")).mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, host string, {MEASURES}")
 
 
 def base_failed() -> Column:
@@ -96,10 +97,12 @@ def judge(docs: DataFrame, host: Column, host_limit: float = HOST_LIMIT) -> Data
 def keep_good(docs: DataFrame, host: Column | None = None) -> DataFrame:
     """The rows of ``docs`` that are kept. The measures are a property of the text, so rows are matched by its digest and host."""
     host = F.col("source") if host is None else host
-    small_batches(docs.sparkSession)
-    rejected = judge(docs.withColumn("doc_id", F.xxhash64(F.md5(text_of()))), host).where("not kept").select(F.col("doc_id").alias("_text"), F.col("host").alias("_host")).distinct()
-    keyed = docs.withColumn("_key", F.xxhash64(F.md5(text_of())))
-    return keyed.join(rejected, (F.col("_key") == F.col("_text")) & host.cast("string").eqNullSafe(F.col("_host")), "left_anti").select(*docs.columns)
+    key, of = fresh(docs, "key", "host")
+    keyed = docs.withColumn(key, F.md5(text_of())).withColumn(of, host.cast("string"))
+    judged = judge(keyed.select(F.col(key).alias("doc_id"), "text", F.col(of).alias("host")), F.col("host"))
+    rejected = judged.where("not kept").select(F.col("doc_id").alias(f"{key}_"), F.col("host").alias(f"{of}_")).distinct()
+    same = (F.col(key) == F.col(f"{key}_")) & F.col(of).eqNullSafe(F.col(f"{of}_"))
+    return keyed.join(rejected, same, "left_anti").select(*docs.columns)
 
 
 def op7_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
