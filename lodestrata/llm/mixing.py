@@ -7,8 +7,9 @@ blocks of ``block_words`` words. The total of the targets in blocks is given to
 quotients q / (2k + 1), and each source's number likewise to its shards: integer quotas. A shard whose
 quota is m of its n blocks takes each block m // n times and m % n blocks, by seeded choice, once more.
 
-Only a row for each source reaches the driver. Shards are bounded, whatever a source holds, so a hot
-source is many tasks.
+Only a row for each source reaches the driver, of ``MOST_SOURCES`` at most (more are refused); whether their
+plan is sent to the tasks or joined in an exchange is left to the planner, which knows its size. Shards are
+bounded, whatever a source holds, so a hot source is many tasks; texts without words are in none.
 
 Defined results: a null text has size 0; a document without words is taken 0 times; a null source is a
 source of its own and comes last; rows of equal id and text tie and are interchangeable; an empty table
@@ -22,12 +23,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, mix, small_batches, text_of
+from .common import WORD, cut, fresh, mix, small_batches, text_of
 
 WEIGHTS = (5, 2, 1)
 TOTAL_SHARE, MOST_REPEATS = 1.5, 2.0
 BLOCK_WORDS, SHARD_WORDS = 128, 2_000_000
 SEED = 20
+MOST_SOURCES = 1_000_000
 
 
 def targets(sizes: list[int], weights: list[float], total: float, most: float = MOST_REPEATS) -> list[float]:
@@ -102,7 +104,9 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total_sha
     spark = docs.sparkSession
     key = F.xxhash64(F.lit(seed), "doc_id", F.md5(text_of()))
     sized = cut(docs.select("doc_id", "source", F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"), key.alias("key"), F.md5(text_of()).alias("digest")), "sized")
-    sources = sized.groupBy("source").agg(F.sum("size").alias("size")).collect()  # a row a source
+    sources = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()  # a row a source
+    if len(sources) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources; mix by a coarser one")
     sources.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["size"] for r in sources]
     target = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], total_share * sum(sizes))
@@ -110,8 +114,9 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total_sha
     seats = np.minimum(sainte_lague(np.array(target), round(sum(target) / block_words)), [2 * b for b in blocks]) if sources else []
     plan = [(i, r["source"], int(s), float(t), int(q), max(1, -(-int(s) // shard_words))) for i, (r, s, t, q) in enumerate(zip(sources, sizes, target, seats))]
     table = spark.createDataFrame(plan, "source_no int, name string, source_size long, target double, quota long, shards int")
-    placed = sized.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("name"))).withColumn("shard", F.pmod("key", "shards").cast("int"))
-    totals = placed.groupBy("source_no", "shard", "quota").agg(F.sum("size").alias("words"))
+    placed = sized.join(table, F.col("source").eqNullSafe(F.col("name"))).withColumn("shard", F.pmod("key", "shards").cast("int"))
+    worded = placed.where("size > 0")
+    totals = worded.groupBy("source_no", "shard", "quota").agg(F.sum("size").alias("words"))
 
     def share(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("shard", ignore_index=True)
@@ -137,9 +142,12 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total_sha
         own["passes"], own["taken"], own["segments"] = passes, passes * size + words, segments
         return own[["doc_id", "digest", "source_no", "size", "taken", "passes", "segments"]]
 
-    out = placed.select("source_no", "shard", "doc_id", "digest", "key", "size").join(quotas, ["source_no", "shard"])
+    out = worded.select("source_no", "shard", "doc_id", "digest", "key", "size").join(quotas, ["source_no", "shard"])
     got = out.groupBy("source_no", "shard").applyInPandas(take, "doc_id long, digest string, source_no int, size long, taken long, passes int, segments array<int>")
-    return got.join(F.broadcast(table.select("source_no", F.col("name").alias("source"), "source_size", "target")), "source_no")
+    none = placed.where("size = 0").select(
+        "doc_id", "digest", "source_no", "size", F.lit(0).cast("long").alias("taken"), F.lit(0).alias("passes"), F.array().cast("array<int>").alias("segments")
+    )
+    return got.unionByName(none).join(table.select("source_no", F.col("name").alias("source"), "source_size", "target"), "source_no")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -155,22 +163,27 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     plan = plan.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy("passes", F.to_json("segments"))))
     columns = docs.columns
     text = docs.schema["text"].name
-    keyed = docs.withColumn("_digest", F.md5(text_of()))
-    keyed = keyed.withColumn("_copy", F.lit(1)) if plan.where("copy > 1").isEmpty() else keyed.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "_digest").orderBy(F.lit(1))))
-    p = plan.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_d"), F.col("copy").alias("_c"), F.col("passes").alias("_passes"), F.col("segments").alias("_segments"))
-    joined = keyed.join(p, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_d")) & (F.col("_copy") == F.col("_c"))).select(*columns, "_passes", "_segments")
+    id_, digest, copy, passes, segments = fresh(docs, "id", "digest", "copy", "passes", "segments")
+    keyed = docs.withColumn(digest, F.md5(text_of()))
+    number = F.lit(1) if plan.where("copy > 1").isEmpty() else F.row_number().over(Window.partitionBy("doc_id", digest).orderBy(F.lit(1)))
+    keyed = keyed.withColumn(copy, number)
+    p = plan.select(
+        F.col("doc_id").alias(id_), F.col("digest").alias(f"{digest}_"), F.col("copy").alias(f"{copy}_"), F.col("passes").alias(passes), F.col("segments").alias(segments)
+    )
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(digest) == F.col(f"{digest}_")) & (F.col(copy) == F.col(f"{copy}_"))
+    joined = keyed.join(p, same).select(*columns, passes, segments)
     word = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
     def expand(batches):
         for batch in batches:
             extra = []
-            for t, s in zip(batch[text], batch["_segments"]):
+            for t, s in zip(batch[text], batch[segments]):
                 if not len(s):
                     extra.append(None)
                     continue
                 at = [m.start() for m in word.finditer(t)] + [len(t)]
                 extra.append("\n".join(t[at[a] : at[b]].strip() for a, b in zip(s[::2], s[1::2])))
-            whole = batch[columns].loc[batch.index.repeat(batch["_passes"])]
+            whole = batch[columns].loc[batch.index.repeat(batch[passes])]
             part = batch[columns].assign(**{text: extra})
             part = part[part[text].notna()]
             if "n_chars" in columns:
