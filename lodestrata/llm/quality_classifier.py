@@ -202,9 +202,11 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
                 out[f"{name}v"] = [v[a:b].astype("<f4").tobytes() for a, b in zip(ends - n, ends)]
             yield out
 
-    rows = docs.join(F.broadcast(wanted), "doc_id").select("doc_id", "good", "toxic", F.coalesce("text", F.lit("")).alias("text"), "lang", "source")  # labelled + pool rows at most
+    # labelled + pool rows at most: of an id with several rows, the one of the least digest
+    rows = docs.join(F.broadcast(wanted), "doc_id").select("doc_id", "good", "toxic", F.struct(F.coalesce("text", F.lit("")).alias("text"), "lang", "source").alias("row"))
+    rows = rows.groupBy("doc_id", "good", "toxic").agg(F.min_by("row", F.struct(F.md5("row.text"), "row.lang", "row.source")).alias("row")).select("doc_id", "good", "toxic", "row.*")
     got = rows.mapInPandas(extract, "doc_id long, good double, toxic double, ti binary, tv binary, mi binary, mv binary").toPandas()
-    got = got.sort_values(["doc_id"], kind="stable").drop_duplicates("doc_id")
+    got = got.sort_values(["doc_id"], kind="stable")
     got = pd.concat([got[got["good"].notna()], got[got["good"].isna()]], ignore_index=True)
     views = [(np.frombuffer(b"".join(got[f"{x}i"]), "<i4"), np.frombuffer(b"".join(got[f"{x}v"]), "<f4"), got[f"{x}i"].map(len).to_numpy(dtype=np.int64) // 4) for x in "tm"]
     got = got[["doc_id", "good", "toxic"]]
