@@ -16,6 +16,7 @@ from conftest import SF
 from lodestrata.llm import chat_format, decontaminate, host_quality, line_dedup, mixing, near_dedup, quality_classifier, secret_scan, token_pack, warc
 from lodestrata.llm.common import components, words_of
 
+CLASHING = ("key", "node", "size", "host", "row", "label", "kept", "item_id", "removed", "_text", "_host", "_key", "_id", "_d", "_c", "_digest", "_copy", "_passes", "_segments", "__key", "__ROW", "least", "class_id")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -28,7 +29,7 @@ def edge_docs(spark):
     long = " ".join(f"w{i % 977}x{i % 13}" for i in range(30_000))
     rows = [(1, "", "a", "s"), (2, None, "a", "s"), (3, long, None, None), (None, "some words that stand here alone", "b", "s"), (5, long, "a", "t"), (5, long, "a", "t"), (6, "token = abcdef1", "a", "t"), (None, None, None, None)]
     df = spark.createDataFrame([(i, t, l, s, None) for i, t, l, s in rows], DOCS)
-    return df.withColumns({c: F.lit(7) for c in ("key", "node", "size", "host", "row", "label", "kept", "item_id")})
+    return df.withColumns({c: F.lit(7) for c in CLASHING})
 
 
 def empty(df):
@@ -106,41 +107,89 @@ def shingle_weights(texts):
     return bags
 
 
-def test_near_duplicates_against_all_pairs(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+def brute_classes(texts, bags, threshold=0.8):
+    """Connected classes of texts by all pairs at the operator's own weights, exact frequencies and no buckets."""
+    from collections import Counter
+
+    df = Counter(g for bag in bags for g in bag)
+    n, floor = len(texts), sum(map(len, bags)) * near_dedup.LEAST_SHARE
+    weight = {g: max(1.0, 1 + np.log((1 + n) / (1 + max(min(d, n), floor))) / near_dedup.DAMPING) for g, d in df.items()}
+    total = [sum(c * weight[g] for g, c in bag.items()) for bag in bags]
+    holders = {}
+    for i, bag in enumerate(bags):
+        for g in bag:
+            holders.setdefault(g, []).append(i)
+    shared = {(i, j) for own in holders.values() for k, j in enumerate(own) for i in own[:k]}
+    parent = list(range(n))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    close, links = 0, []
+    for i, j in shared:
+        both = sum(min(c, bags[j][g]) * weight[g] for g, c in bags[i].items() if g in bags[j])
+        similarity = both / (total[i] + total[j] - both)
+        close += abs(similarity - threshold) < 0.002  # single-precision weights and counters may decide otherwise
+        if similarity >= threshold:
+            links.append((i, j))
+            parent[top(i)] = top(j)
+    for i in range(n):
+        for j in range(i):
+            if texts[i] == texts[j]:
+                parent[top(i)] = top(j)
+    return [top(i) for i in range(n)], links, close
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_near_duplicates_against_all_pairs(spark, sf):
+    """Classes are those of all pairs: at least 0.9 of the links are found, and nothing unrelated is joined."""
+    docs = spark.read.parquet(f"{SF.replace('0.001', sf)}/documents.parquet").select("doc_id", "text")
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
-    table = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    table = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
     bags = shingle_weights([t for _, t in table])
-    clear, near = 0, 0
-    for i, (a, ta) in enumerate(table):
-        for j in range(i):
-            b = table[j][0]
-            if ta == table[j][1]:
-                assert got[a] == got[b]
-            elif bags[i] and bags[j]:
-                both = sum((bags[i] & bags[j]).values())
-                share = both / (sum(bags[i].values()) + sum(bags[j].values()) - both)
-                if share >= 0.87:  # idf moves a weighted similarity by less than this from 0.8
-                    near += 1
-                    clear += got[a] == got[b]
-    assert clear == near
+    tops, links, close = brute_classes([t for _, t in table], bags)
+    found = sum(got[table[i][0]] == got[table[j][0]] for i, j in links)
+    assert found >= 0.9 * len(links) and links
+    class_of = {}
+    for (d, _), t in zip(table, tops):
+        class_of.setdefault(got[d], set()).add(t)
+    assert sum(len(v) - 1 for v in class_of.values()) <= close
+    for (a, t), (b, u) in zip(table, table[1:]):
+        if t == u:
+            assert got[a] == got[b]
     for d, c in got.items():
         assert got[c] == c
 
 
+def test_one_id_with_two_texts_keeps_both(spark):
+    rng = random.Random(8)
+    a, b = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(80)) for x in "ab")
+    df = docs_of(spark, [(3, b, "s"), (5, a, "s"), (5, b + " x", "s"), (5, a, "s"), (None, a + " y", "s"), (None, "q w e r t y", "s"), (None, "q w e r t y", "s")])
+    got = sorted((str(r["doc_id"]), r["class_id"]) for r in near_dedup.near_duplicates(df).collect())
+    assert [c for d, c in got if d == "3"] == [3] and sorted(c for d, c in got if d == "5") == [3, 5, 5]
+    assert sum(c == 5 for d, c in got if d == "None") == 1 and len({c for d, c in got if d == "None" and c < 0}) == 1
+    assert sorted((str(r["doc_id"]), r["text"][0]) for r in near_dedup.keep_one(df).collect()) == [("3", "b"), ("5", "a"), ("None", "q")]
+    # two unrelated classes of one id are told apart
+    two = near_dedup.near_duplicates(docs_of(spark, [(5, a, "s"), (5, b, "s")])).collect()
+    assert len({r["class_id"] for r in two}) == 2 and near_dedup.keep_one(docs_of(spark, [(5, a, "s"), (5, b, "s")])).count() == 2
+
+
 @pytest.mark.parametrize("share", [3, 2])
 def test_near_copies_by_a_common_passage_fall_in_a_bucket(spark, share):
     """Pairs of an accepted similarity of 0.8 or more whose common part is in a third, or half, of 1500 documents."""
-    n, log2, pairs = 1500, 22, 300
+    n, log2, pairs = 1500, 20, 300
     passages = [" ".join(f"p{i}w{j}" for j in range(120)) for i in range(pairs)]
     texts = [f"{p} " + " ".join(f"t{i}{s}{j}" for j in range(8)) for i, p in enumerate(passages) for s in "xy"]
-    hasher, mask = near_dedup.WordHasher(), np.uint64((1 << log2) - 1)
+    hasher = near_dedup.WordHasher()
     vectors = [near_dedup._tf(hasher(words_of([t])[0])) for t in texts]
-    counts = np.ones(1 << log2, dtype=np.int64)
+    counts = np.ones((near_dedup.DEPTH, 1 << log2), dtype=np.int64)
     for x, y in zip(vectors[::2], vectors[1::2]):
-        counts[(np.intersect1d(x[0], y[0]) & mask).astype(np.int64)] = n // share
-    idf = near_dedup.idf_table(counts, n)
-    weighted = [(h, tf * idf[(h & mask).astype(np.int64)]) for h, tf in vectors]
+        for row, slots in zip(counts, near_dedup._slots(np.intersect1d(x[0], y[0]), log2)):
+            row[slots] = n // share
+    idf = near_dedup.idf_table(counts, n, n * 300)
+    weighted = [(h, near_dedup.weights_of(h, tf, idf)) for h, tf in vectors]
     assert min(near_dedup.weighted_jaccard(x, y) for x, y in zip(weighted[::2], weighted[1::2])) >= 0.8
     docs = docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)])
     got = {r["doc_id"]: set(r["buckets"]) for r in near_dedup.signatures(docs, spark.sparkContext.broadcast(idf)).collect()}
@@ -210,11 +259,28 @@ def test_sainte_lague_is_highest_quotients():
 def test_typed_parts(spark):
     none = (None, None, None, None, None)
     parts = [("text", "see <b>", *none), None, ("image", None, "i.png", 28, 15, None, None), ("audio", None, "a.wav", None, None, 2.0, None), ("document", None, "d.pdf", None, None, None, 3), ("text", None, *none)]
-    df = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", None)], f"conv_id long, turn long, role string, parts array<{chat_format.PART}>")
-    r = chat_format.format_conversations(df).first()
-    assert r["formatted"] == "<turn user>see \\lb\\g<image/><audio/><document/></turn>\n<turn assistant></turn>\n"
-    assert [(a["position"], a["type"], a["ref"], a["tokens"]) for a in r["attachments"]] == [(0, "image", "i.png", 4), (1, "audio", "a.wav", 50), (2, "document", "d.pdf", 1500)]
-    assert r["n_tokens_attached"] == 1554 and len(r["loss_mask"]) == 1
+    answer = [("text", "hi", *none), ("audio", None, "b.wav", None, None, None, None), (None, None, "odd", None, None, None, None), ("text", "<audio/>", *none)]
+    df = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", answer), (1, 2, "assistant", None)], f"conv_id long, turn long, role string, parts array<{chat_format.PART}>")
+    out = chat_format.format_conversations(df)
+    r = out.first()
+    assert r["formatted"] == "<turn user>see \\lb\\g<image/><audio/><document/></turn>\n<turn assistant>hi<audio/><?/>\\laudio/\\g</turn>\n<turn assistant></turn>\n"
+    assert [tuple(a) for a in r["attachments"]] == [(0, 0, "image", "i.png", 4), (1, 0, "audio", "a.wav", 50), (2, 0, "document", "d.pdf", 1500), (3, 1, "audio", "b.wav", 1), (4, 1, "?", "odd", 500)]
+    assert r["n_tokens_attached"] == 2055
+    back = out.select(chat_format.read_parts(F.col("formatted"), F.col("attachments")).alias("t"), chat_format.loss_text(F.col("formatted"), F.col("loss_mask")).alias("l")).first()
+    assert back["l"] == "hi<audio/>"
+    assert [(t["role"], [tuple(p) for p in t["parts"]]) for t in back["t"]] == [
+        ("user", [("text", "see <b>", None, None), ("image", None, "i.png", 4), ("audio", None, "a.wav", 50), ("document", None, "d.pdf", 1500)]),
+        ("assistant", [("text", "hi", None, None), ("audio", None, "b.wav", 1), ("?", None, "odd", 500), ("text", "<audio/>", None, None)]),
+        ("assistant", []),
+    ]
+
+
+def test_long_texts_are_formatted_whole(spark):
+    text = "<a> \\ é😀\n" * 100_000
+    df = spark.createDataFrame([(1, 0, "assistant", text)], "conv_id long, turn long, role string, text string")
+    out = chat_format.format_conversations(df.select("conv_id", "turn", "role", F.array(chat_format.text_part(F.col("text"))).alias("parts")))
+    r = out.select(chat_format.read_turns(F.col("formatted"))[0]["text"].alias("t"), chat_format.loss_text(F.col("formatted"), F.col("loss_mask")).alias("l")).first()
+    assert r["t"] == text and r["l"] == text
 
 
 def test_repeat_words_by_brute_force():
@@ -244,6 +310,42 @@ def test_containment_finds_all_leaks(spark):
     assert {r["doc_id"] for r in decontaminate.drop_contaminated(docs_of(spark, rows), spec).collect()} == set(range(1000, 1020))
 
 
+def test_short_items_are_found_whole(spark):
+    items = spark.createDataFrame([(1, "Who wrote Hamlet"), (2, "Hamlet?"), (3, "?!"), (4, "who WROTE hamlet")], "item_id long, text string")
+    df = docs_of(spark, [(1, "so, who wrote hamlet then", "s"), (2, "who then wrote hamlet", "s"), (3, "nothing", "s"), (4, None, "s")])
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.search(df, items).collect()) == [(1, 1), (1, 2), (1, 4), (2, 2)]
+    assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(df, items).collect()) == [3, 4]
+
+
+def brute_containment(docs, items, threshold=0.8):
+    grams = lambda t: (lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)})(re.findall(r"\w+", t.casefold()))
+    bags = {i: grams(t) for i, t in items}
+    out = set()
+    for d, t in docs:
+        own = grams(t)
+        out |= {(d, i) for i, b in bags.items() if b and len(b & own) >= threshold * len(b)}
+    return out
+
+
+def test_containment_against_all_pairs(spark):
+    """Every (document, item) of the whole table by plain sets, and recall where an item stands in two pieces or edited."""
+    sf = SF.replace("0.001", "0.01")
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    plain = [(r["item_id"], r["text"]) for r in items.collect()]
+    own = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    rng = random.Random(6)
+    for k in range(150):
+        words, cut = rng.choice(plain)[1].split(), rng.randrange(3, 12)
+        noise = lambda n: " ".join(f"y{rng.randrange(9999)}" for _ in range(n))
+        own.append((10**6 + k, f"{noise(rng.randrange(900))} {' '.join(words[:cut])} {noise(rng.choice([0, 1, 300]))} {' '.join(words[cut:])} {noise(rng.randrange(900))}"))
+    table = docs_of(spark, [(d, t, "s") for d, t in own])
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.search(table, items).collect()}
+    want = brute_containment(own, plain)
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 20
+    parts = decontaminate.search(table, items, most_bytes=2000)
+    assert {(r["doc_id"], r["item_id"]) for r in parts.collect()} == got
+
+
 def test_archives_keep_records(spark, tmp_path):
     chunks = [b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n", b"WARC/1.1\r\ncontent-length: 0\r\n\r\n\r\n\r\n"]
     whole = zlib.compressobj(6, zlib.DEFLATED, 31)
