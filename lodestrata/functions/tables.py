@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -11,15 +12,41 @@ _MINE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder named in spark.checkpoint.dir; where it is unset one of our own, on a local master only, whose workers share the machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found and not _MINE:
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _MINE:
         _MINE.append("file://" + tempfile.mkdtemp(prefix="lodestrata-"))
-    return (found or _MINE[0]).rstrip("/")
+    return _MINE[0]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # the session may be gone when the driver ends
+        pass
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder; removed when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` and read it again: what follows depends on files, not on executors."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Remove the files of a table that ``cut`` gave and that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _remove(df.sparkSession, path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +35,24 @@ def required(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return df.select(key, F.array_join(F.array_compact(F.array(*(F.when(F.coalesce(F.trim(F.col(f).cast("string")), F.lit("")) == "", f) for f in fields))), ",").alias("errors"))
 
 
+def filing_records(orders: DataFrame, sources: tuple[str, ...] = ("entity", "service", "order", "filingMetadata")) -> DataFrame:
+    """(key, payload, _meta): records (key, jurisdiction, service_type, source_system, payload map of JSON texts) in the shape that filing takes.
+
+    White space at both ends of every text goes; a part that is missing is an empty object.
+    """
+    part = lambda k: F.coalesce(F.regexp_replace(F.try_element_at("payload", F.lit(k)), r"^\s+|\s+$", ""), F.lit("{}"))
+    shaped = F.map_from_arrays(F.array(*(F.lit(k) for k in sources)), F.array(*(part(k) for k in sources)))
+    meta = F.struct(F.col("service_type").alias("serviceType"), F.col("jurisdiction"), F.coalesce("source_system", F.lit("UPSTREAM")).alias("sourceSystem"))
+    return orders.select("key", shaped.alias("payload"), meta.alias("_meta"))
+
+
+def queue(records: DataFrame, errors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(queued, refused): records whose errors (key, errors) are empty, with their place in the queue of their jurisdiction and service; the others with their errors."""
+    both = records.join(errors, "key", "left").withColumn("errors", F.coalesce("errors", F.lit("")))
+    place = Window.partitionBy("_meta.jurisdiction", "_meta.serviceType").orderBy("key")
+    return both.where("errors = ''").drop("errors").withColumn("place", F.row_number().over(place)), both.where("errors <> ''").select("key", "errors")
+
+
 def layered(keys: list[Column], table: Column) -> Column:
     """The value of the first of ``keys`` that a map column has."""
     return F.coalesce(*(F.try_element_at(table, k) for k in keys))
@@ -57,7 +75,28 @@ def strip_all(df: DataFrame) -> DataFrame:
     return df.select(*(strip(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema))
 
 
-def fold_events(events: DataFrame) -> DataFrame:
-    """(key, status, filings) of events (key, ts, seq, type, delta): the last status and the sum of the counter."""
-    last = F.max(F.struct("ts", "seq", "type"))
-    return events.groupBy("key").agg(last.alias("l"), F.sum("delta").alias("filings")).select("key", F.col("l.type").alias("status"), "filings")
+IDLE, BUSY = "IDLE", "IN_PROGRESS"
+OVERTIME_SECONDS = 30 * 60
+
+
+def fold_events(events: DataFrame, overtime: int = OVERTIME_SECONDS) -> DataFrame:
+    """(key, status, started, filings, n_started, n_refused, n_reset) of events (key, ts seconds, seq, type, delta), in order of time.
+
+    ``start`` makes an idle key busy and notes when, and is refused by a busy one; ``finish`` makes it idle; ``check``
+    makes a key idle that has been busy for more than ``overtime`` seconds. The counter sums all deltas. The fold of a
+    key's events is in one task, as its state follows from their order.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("ts", "seq", "type")))
+    g = events.groupBy("key").agg(ordered.alias("e"), F.sum("delta").alias("filings"))
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.lit(IDLE).alias("status"), F.lit(None).cast("long").alias("started"), zero.alias("n_started"), zero.alias("n_refused"), zero.alias("n_reset"))
+
+    def step(s: Column, e: Column) -> Column:
+        idle = s["status"] == IDLE
+        starts, refused = (e["type"] == "start") & idle, (e["type"] == "start") & ~idle
+        late = (e["type"] == "check") & ~idle & (e["ts"] - s["started"] > overtime)
+        status = F.when(starts, BUSY).when(late | (e["type"] == "finish"), IDLE).otherwise(s["status"])
+        more = lambda name, c: (s[name] + F.when(c, 1).otherwise(0)).alias(name)
+        return F.struct(status.alias("status"), F.when(starts, e["ts"]).otherwise(s["started"]).alias("started"), more("n_started", starts), more("n_refused", refused), more("n_reset", late))
+
+    return g.select("key", F.aggregate("e", start, step).alias("s"), "filings").select("key", "s.status", "s.started", "filings", "s.n_started", "s.n_refused", "s.n_reset")

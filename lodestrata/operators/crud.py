@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.functions.ranking import numbered
 from lodestrata.operators.graph import program_members
 
 FLAGS = ("create_", "read_", "update_", "delete_", "touches_only")
@@ -14,7 +15,7 @@ def dd_lookup(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(dd, dataset): the last dataset bound to each DD name, by edge order."""
     names = nodes.where("kind = 'dataset_ref'").select(F.col("id").alias("target"), F.col("name").alias("dataset"))
     bound = edges.where("kind = 'dd_of' and dd_name is not null").join(names, "target")
-    return bound.groupBy(F.upper("dd_name").alias("dd")).agg(F.max_by("dataset", "ord").alias("dataset"))
+    return bound.groupBy(F.upper("dd_name").alias("dd")).agg(F.max_by("dataset", F.struct("ord", "source")).alias("dataset"))
 
 
 def symbol() -> Column:
@@ -23,42 +24,79 @@ def symbol() -> Column:
 
 
 def _resources(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(target, rkind, rname): what a read or write of a node touches; a file also touches the dataset its DD is bound to."""
+    """(target, rkind, rname, own): what a read or write of a node touches; a file also touches the dataset its DD is bound to.
+
+    The name of an SQL block is led by the program that touches it; ``own`` says so.
+    """
     dd = dd_lookup(nodes, edges)
-    typed = F.when(F.col("kind") == "file", "file").when(F.col("kind") == "dataset_ref", "dataset").when(F.col("kind") == "sql_block", "sql_block").when(F.col("kind") == "txn_call", "txn").otherwise("unknown")
-    own = nodes.select(F.col("id").alias("target"), typed.alias("rkind"), F.when(F.col("kind") == "txn_call", F.concat(F.lit("CICS-"), "name")).otherwise(F.col("name")).alias("rname"))
+    kind = F.col("kind")
+    typed = F.when(kind == "file", "file").when(kind == "dataset_ref", "dataset").when(kind == "sql_block", "sql_block").when(kind == "txn_call", "txn").otherwise("unknown")
+    verb = F.coalesce("verb", F.lit("?"))
+    block = F.concat(verb, F.lit(":"), F.coalesce(F.col("start_line").cast("string"), F.lit("?")))
+    name = F.when(kind == "txn_call", F.concat(F.lit("CICS-"), verb)).when(kind == "sql_block", block).otherwise(F.col("name"))
+    own = nodes.select(F.col("id").alias("target"), typed.alias("rkind"), name.alias("rname"), (kind == "sql_block").alias("own"))
     files = nodes.where("kind = 'file' and dd_name is not null").select(F.col("id").alias("target"), F.upper("dd_name").alias("key"))
     short = F.when(F.col("key").startswith("DD"), F.expr("substr(key, 3)"))
     probe = files.select("target", "key", F.lit(0).alias("tier")).unionByName(files.select("target", short.alias("key"), F.lit(1).alias("tier")).where("key is not null"))
     found = probe.join(dd, probe["key"] == dd["dd"]).groupBy("target").agg(F.min_by("dataset", "tier").alias("rname"))
-    return own.unionByName(found.select("target", F.lit("dataset").alias("rkind"), "rname"))
+    return own.unionByName(found.select("target", F.lit("dataset").alias("rkind"), "rname", F.lit(False).alias("own")))
+
+
+def _evidence() -> Column:
+    return F.transform(F.array_sort(F.flatten(F.collect_list("told"))), lambda x: x["evidence"]).alias("evidence")
 
 
 def crud_matrix(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(program, kind, name, flags, n_evidence, symbol). A read gives R, a write C and U; only paragraphs' edges count.
+    """(program, kind, name, flags, n_evidence, evidence, symbol). A read gives R, a write C and U; only paragraphs' edges count.
 
-    Edges are combined by (source, target, kind) before anything is joined, so the large side of every
-    later join is the number of distinct pairs, not of facts. Rows that only job control touches follow by an
-    anti-join.
+    nodes: (id, kind, name, dd_name, verb, start_line); edges: (source, target, kind, evidence, ord, dd_name). Edges are
+    combined by (source, target, kind) before anything is joined, so the large side of every later join is the number
+    of distinct pairs, not of facts; evidence is held once an edge, by ``ord``. Rows that only job control touches
+    follow by an anti-join.
     """
-    flow = edges.where(F.col("kind").isin("reads", "writes")).groupBy("source", "target", "kind").agg(F.count("*").alias("n"))
+    told = F.array_compact(F.collect_list(F.when(F.col("evidence").isNotNull(), F.struct("ord", "evidence"))))
+    flow = edges.where(F.col("kind").isin("reads", "writes")).groupBy("source", "target", "kind").agg(F.count("*").alias("n"), told.alias("told"))
     names = nodes.where("kind = 'program'").select(F.col("id").alias("program"), F.col("name").alias("pname"))
     inside = program_members(nodes, edges).join(nodes.where("kind = 'paragraph'").select(F.col("id").alias("node")), "node").join(names, "program")
     rows = flow.join(inside.select("pname", F.col("node").alias("source")), "source").join(_resources(nodes, edges), "target")
-    used = rows.groupBy(F.col("pname").alias("program"), F.col("rkind").alias("kind"), F.col("rname").alias("name")).agg(
-        F.bool_or(F.col("kind") == "writes").alias("create_"), F.bool_or(F.col("kind") == "reads").alias("read_"), F.sum("n").alias("n_evidence")
+    name = F.when(F.col("own"), F.concat_ws(":", "pname", "rname")).otherwise(F.col("rname"))
+    used = rows.groupBy(F.col("pname").alias("program"), F.col("rkind").alias("kind"), name.alias("name")).agg(
+        F.bool_or(F.col("kind") == "writes").alias("create_"), F.bool_or(F.col("kind") == "reads").alias("read_"), F.sum("n").alias("n_evidence"), _evidence()
     )
-    used = used.select("program", "kind", "name", "create_", "read_", F.col("create_").alias("update_"), F.lit(False).alias("delete_"), F.lit(False).alias("touches_only"), "n_evidence")
+    no = F.lit(False)
+    used = used.select("program", "kind", "name", "create_", "read_", F.col("create_").alias("update_"), no.alias("delete_"), no.alias("touches_only"), "n_evidence", "evidence")
     steps = edges.where("kind = 'step_of'").select(F.col("source").alias("program"), F.col("target").alias("step")).join(names, "program")
-    bound = edges.where("kind = 'dd_of'").select(F.col("source").alias("step"), F.col("target").alias("id"), "dd_name")
+    bound = edges.where("kind = 'dd_of'").select(F.col("source").alias("step"), F.col("target").alias("id"), F.array(F.struct("ord", "evidence")).alias("told"))
     datasets = nodes.where("kind = 'dataset_ref'").select("id", F.col("name").alias("rname"))
-    touched = steps.join(bound, "step").join(datasets, "id").groupBy(F.col("pname").alias("program"), F.col("rname").alias("name")).agg(F.count("*").alias("n_evidence"))
+    each = steps.join(bound, "step").join(datasets, "id").withColumn("told", F.filter("told", lambda x: x["evidence"].isNotNull()))
+    touched = each.groupBy(F.col("pname").alias("program"), F.col("rname").alias("name")).agg(F.count("*").alias("n_evidence"), _evidence())
     touched = touched.withColumn("kind", F.lit("dataset")).join(used.select("program", "kind", "name"), ["program", "kind", "name"], "left_anti")
-    no = F.lit(False)
-    touched = touched.select("program", "kind", "name", no.alias("create_"), no.alias("read_"), no.alias("update_"), no.alias("delete_"), F.lit(True).alias("touches_only"), "n_evidence")
+    touched = touched.select(
+        "program", "kind", "name", no.alias("create_"), no.alias("read_"), no.alias("update_"), no.alias("delete_"), F.lit(True).alias("touches_only"), "n_evidence", "evidence"
+    )
     return used.unionByName(touched).withColumn("symbol", symbol())
 
 
+def programs_of(matrix: DataFrame) -> DataFrame:
+    return matrix.select("program").distinct()
+
+
+def resources_of(matrix: DataFrame) -> DataFrame:
+    return matrix.select("kind", "name").distinct()
+
+
+def resources_touched_by(matrix: DataFrame, program: str | None = None) -> DataFrame:
+    """(program, kind, name), of one program or of all."""
+    return (matrix if program is None else matrix.where(F.col("program") == program)).select("program", "kind", "name").distinct()
+
+
+def programs_touching(matrix: DataFrame, kind: str | None = None, name: str | None = None) -> DataFrame:
+    """(kind, name, program), of one resource or of all."""
+    for column, value in (("kind", kind), ("name", name)):
+        matrix = matrix if value is None else matrix.where(F.col(column) == value)
+    return matrix.select("kind", "name", "program").distinct()
+
+
 def readers_of(matrix: DataFrame) -> DataFrame:
     return matrix.where("read_").select("kind", "name", "program")
 
@@ -67,13 +105,32 @@ def writers_of(matrix: DataFrame) -> DataFrame:
     return matrix.where("create_ or update_ or delete_").select("kind", "name", "program")
 
 
-def crud_grid(matrix: DataFrame, kinds: list[str]) -> DataFrame:
+def kind_grid(matrix: DataFrame, kinds: list[str]) -> DataFrame:
     """A row a program, a column a resource kind: the merged symbol, ``.`` where there is none."""
-    merged = matrix.groupBy("program", "kind").agg(*(F.bool_or(c).alias(c) for c in FLAGS[:4]), F.bool_or("touches_only").alias("touches_only"))
+    merged = matrix.groupBy("program", "kind").agg(*(F.bool_or(c).alias(c) for c in FLAGS))
     grid = merged.withColumn("symbol", symbol()).groupBy("program").pivot("kind", kinds).agg(F.first("symbol"))
     return grid.na.fill(".", kinds)
 
 
+def crud_grid(matrix: DataFrame, resources: DataFrame | None = None) -> DataFrame:
+    """(line_no, line): the padded text grid, a header and a line a program, a column a resource (kind, name), of all if none are given.
+
+    A line has as many cells as there are resources, so it is for a chosen set of them; the number of resources is
+    the one thing that a task must hold.
+    """
+    chosen = resources_of(matrix) if resources is None else resources.select("kind", "name").distinct()
+    shown = F.concat_ws(":", "kind", "name")
+    head = chosen.agg(F.array_sort(F.collect_list(F.struct("kind", "name", shown.alias("shown")))).alias("r"), (F.coalesce(F.max(F.length(shown)), F.lit(10)) + 2).alias("w"))
+    pad = lambda c, w: F.concat(c, F.repeat(F.lit(" "), F.greatest(F.lit(0), w - F.length(c))))
+    own = matrix.join(chosen, ["kind", "name"], "left_semi").groupBy("program").agg(F.map_from_entries(F.collect_list(F.struct(shown.alias("k"), "symbol"))).alias("m"))
+    every = programs_of(matrix).join(own, "program", "left")
+    cell = lambda x: pad(F.coalesce(F.try_element_at("m", x["shown"]), F.lit(".")), F.col("w"))
+    each = every.join(F.broadcast(head))  # one row
+    body = each.select("program", F.concat(pad(F.col("program"), 24), F.array_join(F.transform("r", cell), "")).alias("line"))
+    top = head.select(F.lit(None).cast("string").alias("program"), F.concat(pad(F.lit("program"), 24), F.array_join(F.transform("r", lambda x: pad(x["shown"], F.col("w"))), "")).alias("line"))
+    return numbered(top.unionByName(body), "line_no", [F.col("program").asc_nulls_first()]).select("line_no", "line")
+
+
 def observable(kind: Column) -> Column:
     # The prior that a resource of a kind can be observed.
     return F.when(kind == "dataset", 1.0).when(kind == "txn", 0.8).when(kind == "sql_block", 0.5).when(kind == "file", 0.2).otherwise(0.1)
@@ -83,8 +140,7 @@ def seams(matrix: DataFrame, min_programs: int = 1) -> DataFrame:
     """(kind, name, n_programs, n_readers, n_writers, scores, total, rank): 0.4 observable + 0.4 funnel + 0.2 asymmetry.
 
     The funnel is relative to the most programs that touch any resource, taken before the filter. That
-    maximum is a one-row aggregate. ``rank`` is written from a range-partitioned sort, not a global window:
-    ranks of a partition start after the counts of those before it.
+    maximum is a one-row aggregate.
     """
     n = matrix.groupBy("kind", "name").agg(
         F.count_distinct("program").alias("n_programs"), F.count_distinct(F.when(F.col("read_"), F.col("program"))).alias("n_readers"),
@@ -93,24 +149,17 @@ def seams(matrix: DataFrame, min_programs: int = 1) -> DataFrame:
     most = n.agg(F.coalesce(F.max("n_programs"), F.lit(1)).alias("most"))
     r, w = F.col("n_readers"), F.col("n_writers")
     asymmetry = F.when((r == 0) & (w == 0), 0.0).otherwise(F.abs(r - w) / F.greatest(r, w))
-    parts = n.join(F.broadcast(most)).select("kind", "name", "n_programs", "n_readers", "n_writers", observable(F.col("kind")).alias("o"), (F.col("n_programs") / F.col("most")).alias("f"), asymmetry.alias("a"))
+    counts = ("kind", "name", "n_programs", "n_readers", "n_writers")
+    parts = n.join(F.broadcast(most)).select(*counts, observable(F.col("kind")).alias("o"), (F.col("n_programs") / F.col("most")).alias("f"), asymmetry.alias("a"))
     return parts.where(F.col("n_programs") >= min_programs).select(
-        "kind", "name", "n_programs", "n_readers", "n_writers", F.round("o", 3).alias("observable_score"), F.round("f", 3).alias("funnel_score"), F.round("a", 3).alias("asymmetry_score"),
+        *counts, F.round("o", 3).alias("observable_score"), F.round("f", 3).alias("funnel_score"), F.round("a", 3).alias("asymmetry_score"),
         F.round(F.lit(0.4) * F.col("o") + F.lit(0.4) * F.col("f") + F.lit(0.2) * F.col("a"), 3).alias("total_score"),
     )
 
 
 def seam_rank(ranked: DataFrame) -> DataFrame:
-    """Seams with their 1-based rank by total, kind and name.
-
-    Rows of a total are ranked among themselves; totals have at most 1001 values, so the counts before each
-    total are a small table.
-    """
-    from pyspark.sql import Window
-
-    before = ranked.groupBy("total_score").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy(F.col("total_score").desc())) - F.col("n"))
-    within = F.row_number().over(Window.partitionBy("total_score").orderBy("kind", "name"))
-    return ranked.withColumn("_w", within).join(F.broadcast(before.select("total_score", "before")), "total_score").withColumn("rank", (F.col("before") + F.col("_w")).cast("long")).drop("_w", "before")
+    """Seams with their 1-based rank by total, kind and name, numbered from range-partitioned parts."""
+    return numbered(ranked, "rank", [F.col("total_score").desc(), F.col("kind"), F.col("name")])
 
 
 def seam_evidence(matrix: DataFrame) -> DataFrame:

@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.functions.ranking import numbered
 from lodestrata.functions.tables import cut
+from lodestrata.operators.fixed import EDGE_KINDS
 from lodestrata.operators.graph import heights, strongly_connected
 
 WRITES, READS = ("queues_to", "publishes_to", "writes_to"), ("reads_from", "invokes")
 
 
 def edge_kind(service: Column, operation: Column) -> Column:
-    """The edge kind of a service call; the rules hold in this order."""
-    op = F.lower(operation)
-    has = lambda *words: F.coalesce(sum((F.when(op.contains(w), 1).otherwise(0) for w in words), F.lit(0)) > 0, F.lit(False))
-    return (
-        F.when(has("send", "publish") & F.coalesce(service.isin("sqs", "service-bus"), F.lit(False)), "queues_to")
-        .when(has("publish", "put") & F.coalesce(service.isin("sns", "event-grid", "eventbridge"), F.lit(False)), "publishes_to")
-        .when(has("get", "read", "scan", "query"), "reads_from")
-        .when(has("put", "write", "update", "insert", "delete"), "writes_to")
-        .otherwise("invokes")
-    )
+    """The edge kind of a service call, by the first rule whose service and words fit; else it invokes."""
+    low, found = F.lower(operation), None
+    for services, words, kind in EDGE_KINDS:
+        fits = F.lit(False)
+        for w in words:
+            fits = fits | F.coalesce(low.contains(w), F.lit(False))
+        if services:
+            fits = fits & F.coalesce(service.isin(*services), F.lit(False))
+        found = F.when(fits, kind) if found is None else found.when(fits, kind)
+    return found.otherwise("invokes")
 
 
 def resource_key(provider: Column, kind: Column, name: Column, identifier: Column) -> Column:
@@ -40,6 +42,51 @@ def resource_edges(calls: DataFrame) -> DataFrame:
     )
 
 
+def resources(calls: DataFrame) -> DataFrame:
+    """(resource, provider, kind, name, identifier) of calls with a known resource, of one key as its first call (ord) tells it."""
+    known = calls.where("rkind is not null")
+    key = resource_key(F.col("provider"), F.col("rkind"), F.col("rname"), F.col("identifier"))
+    told = F.struct("provider", F.col("rkind").alias("kind"), F.col("rname").alias("name"), "identifier")
+    return known.groupBy(key.alias("resource")).agg(F.min_by(told, "ord").alias("t")).select("resource", "t.*")
+
+
+def hint_edges(hints: DataFrame) -> DataFrame:
+    """(source_unit, target_unit, resource, kind, evidence, confidence) of hints (source_unit, target_kind, provider, name, kind, evidence, confidence).
+
+    Malformed hints, without a unit or a kind, are left out.
+    """
+    own = hints.where("source_unit is not null and kind is not null")
+    key = resource_key(F.col("provider"), F.col("target_kind"), F.col("name"), F.lit(None).cast("string"))
+    return own.select("source_unit", F.lit(None).cast("string").alias("target_unit"), key.alias("resource"), "kind", "evidence", "confidence")
+
+
+def build_graph(units: DataFrame, imports: DataFrame, calls: DataFrame, hints: DataFrame) -> DataFrame:
+    """(source_unit, target_unit, resource, kind, evidence, confidence, ambiguous, n): all edges of the dependency graph.
+
+    units (unit_id); imports (unit_id, module, is_external, evidence); calls (unit_id, service, operation, provider,
+    rkind, rname, identifier, evidence); hints as hint_edges takes them. Edges through a shared resource follow from
+    those of calls and hints, ``n`` at once; all others stand for one.
+    """
+    none = F.lit(None).cast("string")
+    first = F.split_part(F.col("module"), F.lit("."), F.lit(1))
+    told = imports.where("not is_external").select(F.col("unit_id").alias("source_unit"), first.alias("target_unit"), "evidence").where("target_unit <> ''")
+    told = told.join(units.select(F.col("unit_id").alias("target_unit")), "target_unit", "left_semi").where("source_unit <> target_unit")
+    told = told.select("source_unit", "target_unit", none.alias("resource"), F.lit("imports").alias("kind"), "evidence", F.lit(1.0).alias("confidence"), F.lit(False).alias("ambiguous"))
+    known = F.col("rkind").isNotNull()
+    of_calls = calls.select(
+        F.col("unit_id").alias("source_unit"), none.alias("target_unit"), F.when(known, resource_key(F.col("provider"), F.col("rkind"), F.col("rname"), F.col("identifier"))).alias("resource"),
+        F.when(known, edge_kind(F.col("service"), F.col("operation"))).otherwise("invokes").alias("kind"),
+        F.when(known, F.col("evidence")).otherwise(F.concat("evidence", F.lit(" (unresolved)"))).alias("evidence"), F.when(known, 1.0).otherwise(0.3).alias("confidence"), (~known).alias("ambiguous"),
+    )
+    direct = cut(of_calls.unionByName(hint_edges(hints).withColumn("ambiguous", F.lit(False))))
+    through = shared_edges(direct)
+    through = through.select(
+        "source_unit", "target_unit", "resource", F.lit("invokes").alias("kind"), F.concat(F.lit("derived via shared resource "), "resource").alias("evidence"), F.lit(0.9).alias("confidence"),
+        F.lit(False).alias("ambiguous"), "n",
+    )
+    return told.unionByName(direct).withColumn("n", F.lit(1).cast("long")).unionByName(through)
+
+
 def import_edges(imports: DataFrame, units: DataFrame) -> DataFrame:
     """(source_unit, target_unit): internal imports whose first dotted segment is another unit; duplicates stay."""
     first = F.split_part(F.col("module"), F.lit("."), F.lit(1))
@@ -47,16 +94,37 @@ def import_edges(imports: DataFrame, units: DataFrame) -> DataFrame:
     return named.join(units.select(F.col("unit_id").alias("target_unit")), "target_unit", "left_semi").where("source_unit <> target_unit").select("source_unit", "target_unit")
 
 
-def derived_edges(edges: DataFrame) -> DataFrame:
-    """(source_unit, target_unit, n): writer to reader of a resource, n the multiplicity.
+def _sides(edges: DataFrame) -> DataFrame:
+    """(source_unit, resource, writes, reads, n): facts by unit, resource and side."""
+    writes, reads = F.col("kind").isin(*WRITES).alias("writes"), F.col("kind").isin(*READS).alias("reads")
+    return edges.where("not ambiguous and resource is not null").groupBy("source_unit", "resource", writes, reads).agg(F.count("*").alias("n"))
+
+
+def shared_edges(edges: DataFrame, drop_unnamed: bool = False) -> DataFrame:
+    """(source_unit, target_unit, resource, n): writer to reader of each resource, n the multiplicity.
 
-    Facts are counted by (unit, resource, side) first, and the join carries counts: n is the sum of
-    products, the number of rows that joining the facts would give.
+    Facts are counted by (unit, resource, side) first, and the join carries counts: n is the product, the number of
+    rows that joining the facts would give. The result itself has writers x readers rows a resource, which for the
+    unnamed resources of a kind is every unit that writes one by every unit that reads one; ``drop_unnamed`` leaves
+    those out, and ``memberships`` gives the same in a row a unit and side.
     """
-    side = edges.where("not ambiguous").groupBy("source_unit", "resource", F.col("kind").isin(*WRITES).alias("writes"), F.col("kind").isin(*READS).alias("reads")).agg(F.count("*").alias("n"))
+    side = _sides(edges)
+    side = side.where(~F.col("resource").endswith(":?")) if drop_unnamed else side
     w = side.where("writes").select("resource", F.col("source_unit"), F.col("n").alias("nw"))
     r = side.where("reads").select("resource", F.col("source_unit").alias("target_unit"), F.col("n").alias("nr"))
-    return w.join(r, "resource").where("source_unit <> target_unit").groupBy("source_unit", "target_unit").agg(F.sum(F.col("nw") * F.col("nr")).alias("n"))
+    return w.join(r, "resource").where("source_unit <> target_unit").select("source_unit", "target_unit", "resource", (F.col("nw") * F.col("nr")).alias("n"))
+
+
+def derived_edges(edges: DataFrame, drop_unnamed: bool = False) -> DataFrame:
+    """(source_unit, target_unit, n) over all resources."""
+    return shared_edges(edges, drop_unnamed).groupBy("source_unit", "target_unit").agg(F.sum("n").alias("n"))
+
+
+def memberships(edges: DataFrame) -> DataFrame:
+    """(resource, unit, side, n): who writes and who reads each resource, from which derived edges follow without making them."""
+    side = _sides(edges)
+    w, r = (side.where(c).select("resource", F.col("source_unit").alias("unit"), F.lit(v).alias("side"), "n") for c, v in (("writes", "writer"), ("reads", "reader")))
+    return w.unionByName(r)
 
 
 def call_hints(calls: DataFrame, units: DataFrame) -> DataFrame:
@@ -86,8 +154,8 @@ def waves(units: DataFrame, edges: DataFrame, scores: DataFrame | None = None) -
         placed = placed.join(scores.select(F.col("unit_id").alias("id"), "seam_score"), "id", "left").withColumn("seam_score", F.coalesce("seam_score", F.lit(0.0)))
     else:
         placed = placed.withColumn("seam_score", F.lit(0.0))
-    order = Window.partitionBy("wave").orderBy(F.col("seam_score").desc(), "id")
-    return placed.select(F.col("id").alias("unit_id"), "cluster", "wave", F.row_number().over(order).alias("pos"))
+    placed = numbered(placed.select(F.col("id").alias("unit_id"), "cluster", "wave", "seam_score"), "pos", [F.col("seam_score").desc(), F.col("unit_id")], ("wave",))
+    return placed.select("unit_id", "cluster", "wave", F.col("pos").cast("int").alias("pos"))
 
 
 def acceptance(units: DataFrame, edges: DataFrame) -> DataFrame:
@@ -95,7 +163,8 @@ def acceptance(units: DataFrame, edges: DataFrame) -> DataFrame:
     out = edges.groupBy(F.col("source").alias("unit_id")).agg(F.count("*").alias("n_out"))
     into = edges.where("target is not null").groupBy(F.col("target").alias("unit_id")).agg(F.count("*").alias("n_in"))
     got = units.select("unit_id").join(out, "unit_id", "left").join(into, "unit_id", "left").na.fill(0, ["n_in", "n_out"])
-    return got.select("unit_id", "n_in", "n_out", F.format_string("%d inbound and %d outbound dependencies verified", "n_in", "n_out").alias("criteria"))
+    text = "Migrate %s preserving its public contract. Cross-unit edges: %d inbound, %d outbound. All unit tests must pass. No new deprecated APIs. Rubrics green."
+    return got.select("unit_id", "n_in", "n_out", F.format_string(text, "unit_id", "n_in", "n_out").alias("criteria"))
 
 
 def context_paths(edges: DataFrame, files: DataFrame) -> DataFrame:
@@ -103,3 +172,22 @@ def context_paths(edges: DataFrame, files: DataFrame) -> DataFrame:
     near = edges.where("target is not null").groupBy("source", "target").agg(F.min("ord").alias("eo"))
     seen = near.join(files.withColumnRenamed("unit_id", "target"), "target").groupBy(F.col("source").alias("unit_id"), "path").agg(F.min(F.struct("eo", "ord")).alias("at"))
     return seen.groupBy("unit_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "path"))), lambda x: x["path"]).alias("paths"))
+
+
+def backlog(units: DataFrame, edges: DataFrame, files: DataFrame, complexity: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+    """(wave, pos, unit_id, cluster, complexity, source_paths, context_paths, criteria): the plan, a row a unit.
+
+    units (unit_id); edges (source, target, ord), a target null for resources; files (unit_id, path, ord); complexity
+    (unit_id, level), MEDIUM where it is missing; scores (unit_id, seam_score) order units within a wave.
+    """
+    between = edges.where("target is not null")
+    placed = waves(units, between, scores)
+    paths = files.groupBy("unit_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "path"))), lambda x: x["path"]).alias("source_paths"))
+    near = context_paths(between, files).withColumnRenamed("paths", "context_paths")
+    told = acceptance(units, edges).select("unit_id", "criteria")
+    none = F.array().cast("array<string>")
+    out = placed.join(complexity.select("unit_id", "level"), "unit_id", "left").join(paths, "unit_id", "left").join(near, "unit_id", "left").join(told, "unit_id")
+    return out.select(
+        "wave", "pos", "unit_id", "cluster", F.coalesce("level", F.lit("MEDIUM")).alias("complexity"), F.coalesce("source_paths", none).alias("source_paths"),
+        F.coalesce("context_paths", none).alias("context_paths"), "criteria",
+    )

@@ -1,19 +1,67 @@
-"""Property-graph operators over kg_nodes (id, kind, name, ...) and kg_edges (source, target, kind, evidence, ord)."""
+"""Property-graph operators over kg_nodes (id, kind, name, ...) and kg_edges (source, target, kind, evidence, ord).
+
+Extractors give nodes as NODE and edges as EDGE; the operators here need the columns that they name only.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.tables import cut
 
+NODE = "id string, kind string, name string, file string, start_line int, end_line int, raw_text string, attributes map<string,string>, ord long"
+EDGE = "source string, target string, kind string, evidence string, attributes map<string,string>, ord long"
+#: A graph of no more distinct edges than this is walked in one task; about 100 MB of names.
+ONE_TASK_EDGES = 1_000_000
+
+
+def union_all(parts: Iterable[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _none() -> Column:
+    return F.lit(None).cast("map<string,string>")
+
+
+def node_rows(df: DataFrame, id: Column, kind: Column, name: Column, start: Column, end: Column, raw: Column, attributes: Column | None = None) -> DataFrame:
+    """Rows of ``df`` (path, ...) as NODE; ``ord`` is the first line, so that the last of an id in a file stands."""
+    empty = F.create_map().cast("map<string,string>")
+    return df.select(
+        id.alias("id"), kind.alias("kind"), name.alias("name"), F.col("path").alias("file"), start.cast("int").alias("start_line"), end.cast("int").alias("end_line"),
+        raw.alias("raw_text"), (empty if attributes is None else attributes).alias("attributes"), start.cast("long").alias("ord"),
+    )
+
+
+def edge_rows(df: DataFrame, source: Column, target: Column, kind: Column, evidence: Column, ord: Column, attributes: Column | None = None) -> DataFrame:
+    """Rows of ``df`` as EDGE."""
+    return df.select(
+        source.alias("source"), target.alias("target"), kind.alias("kind"), evidence.alias("evidence"), (_none() if attributes is None else attributes).alias("attributes"), ord.cast("long").alias("ord"),
+    )
+
+
+def flat(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """NODE and EDGE with the attributes that the matrix reads as columns: dd_name and verb of nodes, dd_name of edges."""
+    a = lambda k: F.try_element_at("attributes", F.lit(k)).alias(k)
+    return nodes.select("id", "kind", "name", a("dd_name"), a("verb"), "start_line"), edges.select("source", "target", "kind", "evidence", "ord", a("dd_name"))
+
 
 def upsert_nodes(nodes: DataFrame) -> DataFrame:
-    """The last row of each id by ``ord`` (add_node, update_node)."""
-    latest = Window.partitionBy("id").orderBy(F.col("ord").desc())
-    return nodes.withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n")
+    """The last row of each id by ``ord`` (add_node, update_node): an aggregate that is combined before its exchange."""
+    rest = [c for c in nodes.columns if c != "id"]
+    return nodes.groupBy("id").agg(F.max_by(F.struct(*rest), "ord").alias("_r")).select(*(F.col(f"_r.{c}").alias(c) if c != "id" else F.col(c) for c in nodes.columns))
+
+
+def edges_where(edges: DataFrame, source: str | None = None, target: str | None = None, kind: str | None = None) -> DataFrame:
+    """Edges that have all the ends and the kind that are given."""
+    for column, value in (("source", source), ("target", target), ("kind", kind)):
+        edges = edges if value is None else edges.where(F.col(column) == value)
+    return edges
 
 
 def update_nodes(nodes: DataFrame, changes: DataFrame) -> DataFrame:
@@ -85,13 +133,51 @@ def roots(nodes: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
     return nodes.join(edges.where(F.col("kind") == kind).select(F.col("target").alias("id")), "id", "left_anti")
 
 
+def _small(edges: DataFrame) -> bool:
+    return edges.limit(ONE_TASK_EDGES + 1).count() <= ONE_TASK_EDGES
+
+
+def _in_one_task(edges: DataFrame, walk: Callable[[np.ndarray, np.ndarray, int], np.ndarray], name: str) -> DataFrame:
+    """(id, name long) by ``walk`` (sources, targets, number of nodes) over a graph whose size has been checked; nodes are numbered in order of their ids."""
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        ids, at = np.unique(np.concatenate([own["source"].to_numpy(str), own["target"].to_numpy(str)]), return_inverse=True)
+        got = walk(at[: len(own)], at[len(own) :], len(ids))
+        return pd.DataFrame({"id": ids, name: got})
+
+    return edges.select("source", "target", F.lit(0).alias("all")).groupBy("all").applyInPandas(lambda own: run(own), f"id string, {name} long")
+
+
+def _levels(source: np.ndarray, target: np.ndarray, n: int) -> np.ndarray:
+    """Heights by peeling nodes whose successors are all done; -1 on cycles and above them."""
+    order = np.argsort(target, kind="stable")
+    starts = np.searchsorted(target[order], np.arange(n + 1))
+    before = source[order]
+    open_, height = np.bincount(source, minlength=n), np.full(n, -1, dtype=np.int64)
+    now, level = np.flatnonzero(open_ == 0), 0
+    while len(now):
+        height[now] = level
+        found = np.concatenate([before[starts[i] : starts[i + 1]] for i in now]) if len(now) else now
+        np.subtract.at(open_, found, 1)
+        found = np.unique(found)
+        now, level = found[open_[found] == 0], level + 1
+    return height
+
+
 def heights(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, height) of an acyclic graph: 0 without successors, else one more than the highest successor.
 
-    One round a level; processing by height is a post-order (children before parents).
+    A graph of checked size is peeled in one task; beyond it, one round a level, which needs no more than an
+    anti-join each. Processing by height is a post-order (children before parents).
     """
     step = cut(edges.select("source", "target").where("source <> target").distinct())
-    left = cut(nodes.select("id").distinct())
+    every = nodes.select("id").distinct()
+    if _small(step):
+        got = cut(_in_one_task(step, _levels, "height"))
+        if not got.where("height < 0").isEmpty():
+            raise ValueError("the graph has a cycle")
+        return every.join(got, "id", "left").select("id", F.coalesce("height", F.lit(0)).cast("int").alias("height"))
+    left = cut(every)
     done, level = None, 0
     while True:
         open_ = step.join(left.withColumnRenamed("id", "target"), "target", "left_semi").select(F.col("source").alias("id")).distinct()
@@ -105,6 +191,35 @@ def heights(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         level += 1
 
 
+def post_order(edges: DataFrame, roots: DataFrame, kinds: Iterable[str] | None = None) -> DataFrame:
+    """(root, pos, node): depth-first from each of ``roots`` (root), children before parents, each node once, cycles or not.
+
+    Children come in the order of their edges. A task holds what one root reaches.
+    """
+    e = of_kinds(edges, kinds).groupBy("source", "target").agg(F.min("ord").alias("ord"))
+    reached = closure(edges, roots, kinds, include_root=True)
+    own = reached.join(e.withColumnRenamed("source", "node"), "node", "left").select("root", "node", "target", "ord")
+
+    def walk(part: pd.DataFrame) -> pd.DataFrame:
+        after: dict[str, list[str]] = {}
+        for node, target in part.dropna(subset=["target"]).sort_values(["ord", "target"], kind="stable")[["node", "target"]].itertuples(index=False):
+            after.setdefault(node, []).append(target)
+        root = part["root"].iloc[0]
+        seen, out, stack = {root}, [], [(root, iter(after.get(root, ())))]
+        while stack:
+            node, rest = stack[-1]
+            for child in rest:
+                if child not in seen:
+                    seen.add(child)
+                    stack.append((child, iter(after.get(child, ()))))
+                    break
+            else:
+                out.append(stack.pop()[0])
+        return pd.DataFrame({"root": root, "pos": range(len(out)), "node": out})
+
+    return own.groupBy("root").applyInPandas(walk, "root string, pos long, node string")
+
+
 def centrality(nodes: DataFrame, edges: DataFrame, top: int | None = None) -> DataFrame:
     """(id, name, score) of programs: 3 for an incoming call, 2 for a step, 1 for a contained node."""
     weight = F.when(F.col("kind") == "step_of", 2).when(F.col("kind") == "contains", 1)
@@ -135,19 +250,61 @@ def dataflow(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return lifted.groupBy("program", "target").agg(F.max("kind").alias("kind"))
 
 
+def _components(source: np.ndarray, target: np.ndarray, n: int) -> np.ndarray:
+    """The number of each node's strongly connected component: one walk with a stack of open nodes."""
+    order = np.argsort(source, kind="stable")
+    starts = np.searchsorted(source[order], np.arange(n + 1)).tolist()
+    after = target[order].tolist()
+    index, low, part = [-1] * n, [0] * n, [-1] * n
+    open_: list[int] = []
+    count = parts = 0
+    for root in range(n):
+        if index[root] >= 0:
+            continue
+        index[root] = low[root] = count
+        count += 1
+        open_.append(root)
+        walk = [(root, starts[root])]
+        while walk:
+            node, at = walk.pop()
+            if at < starts[node + 1]:
+                walk.append((node, at + 1))
+                child = after[at]
+                if index[child] < 0:
+                    index[child] = low[child] = count
+                    count += 1
+                    open_.append(child)
+                    walk.append((child, starts[child]))
+                elif part[child] < 0:
+                    low[node] = min(low[node], index[child])
+                continue
+            if low[node] == index[node]:
+                while part[node] < 0:
+                    part[open_.pop()] = parts
+                parts += 1
+            if walk:
+                up = walk[-1][0]
+                low[up] = min(low[up], low[node])
+    return np.array(part, dtype=np.int64)
+
+
 def strongly_connected(edges: DataFrame) -> DataFrame:
     """(id, cluster) of all nodes of a simple digraph: the least member's name for larger components, else the node itself.
 
-    Nodes outside of cycles are trimmed first, a layer of sources and sinks a round; only what is left, the
+    A graph of checked size is walked in one task. Beyond it, nodes outside of cycles are trimmed first, a layer of sources and sinks a round; only what is left, the
     cyclic cores, takes more: colors that spread along the edges and back, whose joins carry an edge once a
     round, not the pairs of nodes that reach each other.
     """
     step = cut(edges.select("source", "target").where("source <> target").distinct())
+    if _small(step):
+        number = cut(_in_one_task(step, _components, "part"))
+        larger = number.groupBy("part").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
+        return number.join(larger, "part", "left").select("id", F.coalesce(F.concat(F.lit("cluster-"), "least"), "id").alias("cluster"))
     every = step.select(F.col("source").alias("id")).union(step.select("target")).distinct()
     core = step
     while True:
         inner = cut(core.join(core.select(F.col("source").alias("target")).distinct(), "target", "left_semi").join(core.select(F.col("target").alias("source")).distinct(), "source", "left_semi").select("source", "target"))
-        if inner.count() == core.count():
+        if core.join(inner, ["source", "target"], "left_anti").isEmpty():
             break
         core = inner
     if core.isEmpty():

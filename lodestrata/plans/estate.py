@@ -5,52 +5,65 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.operators.graph import union_all
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def kg_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    """(id, kind, name, dd_name): suppliers are programs, their line numbers paragraphs, parts resources, nations steps, regions datasets."""
-    none = F.lit(None).cast("string").alias("dd_name")
+    """(id, kind, name, dd_name, verb, start_line): suppliers are programs, their line numbers paragraphs, parts resources, nations steps, regions datasets."""
+    none = [F.lit(None).cast("string").alias("dd_name"), F.lit(None).cast("string").alias("verb"), F.lit(None).cast("int").alias("start_line")]
     word = F.split_part(F.col("p_type"), F.lit(" "), F.lit(1))
-    kind = F.when(word.isin("STANDARD", "PROMO"), "dataset_ref").when(word == "ECONOMY", "txn_call").when(word == "LARGE", "sql_block").when(word == "MEDIUM", "file").otherwise("external_call")
-    supplier, part = table(spark, sf, "supplier"), table(spark, sf, "part")
-    parts = [
-        supplier.select(F.format_string("prog:%d", "s_suppkey").alias("id"), F.lit("program").alias("kind"), F.col("s_name").alias("name"), none),
-        table(spark, sf, "lineitem").select("l_suppkey", "l_linenumber").distinct().select(F.format_string("para:%d:%d", "l_suppkey", "l_linenumber").alias("id"), F.lit("paragraph").alias("kind"), F.format_string("PARA-%d", "l_linenumber").alias("name"), none),
-        part.select(F.format_string("res:%d", "p_partkey").alias("id"), kind.alias("kind"), F.format_string("R%d", "p_partkey").alias("name"), F.when(kind == "file", F.format_string("DD%d", F.col("p_partkey") % 3)).alias("dd_name")),
-        table(spark, sf, "nation").select(F.format_string("step:%d", "n_nationkey").alias("id"), F.lit("step").alias("kind"), F.col("n_name").alias("name"), none),
-        table(spark, sf, "region").select(F.format_string("dsn:%d", "r_regionkey").alias("id"), F.lit("dataset_ref").alias("kind"), F.col("r_name").alias("name"), none),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    kind = (
+        F.when(word.isin("STANDARD", "PROMO"), "dataset_ref").when(word == "ECONOMY", "txn_call").when(word == "LARGE", "sql_block")
+        .when(word == "MEDIUM", "file").otherwise("external_call")
+    )
+    even = F.col("p_partkey") % 2 == 0
+    verb = F.when(word == "ECONOMY", F.when(even, "LINK").otherwise("XCTL")).when(word == "LARGE", F.when(even, "SELECT").otherwise("UPDATE"))
+    paragraphs = table(spark, sf, "lineitem").select("l_suppkey", "l_linenumber").distinct()
+    node = lambda df, id, kind, name, *rest: df.select(id.alias("id"), kind.alias("kind"), name.alias("name"), *(rest or none))
+    return union_all([
+        node(table(spark, sf, "supplier"), F.format_string("prog:%d", "s_suppkey"), F.lit("program"), F.col("s_name")),
+        node(paragraphs, F.format_string("para:%d:%d", "l_suppkey", "l_linenumber"), F.lit("paragraph"), F.format_string("PARA-%d", "l_linenumber")),
+        node(
+            table(spark, sf, "part"), F.format_string("res:%d", "p_partkey"), kind, F.format_string("R%d", "p_partkey"),
+            F.when(kind == "file", F.format_string("DD%d", F.col("p_partkey") % 3)).alias("dd_name"), verb.alias("verb"), F.col("p_size").cast("int").alias("start_line"),
+        ),
+        node(table(spark, sf, "nation"), F.format_string("step:%d", "n_nationkey"), F.lit("step"), F.col("n_name")),
+        node(table(spark, sf, "region"), F.format_string("dsn:%d", "r_regionkey"), F.lit("dataset_ref"), F.col("r_name")),
+    ])
 
 
 def kg_edges(spark: SparkSession, sf: str) -> DataFrame:
     """(source, target, kind, evidence, ord, dd_name)."""
-    text, none = F.lit(None).cast("string"), F.lit(None).cast("string").alias("dd_name")
-    items = table(spark, sf, "lineitem")
+    text = none = F.lit(None).cast("string")
+    items, supplier, nation = (table(spark, sf, t) for t in ("lineitem", "supplier", "nation"))
     para = F.format_string("para:%d:%d", "l_suppkey", "l_linenumber")
-    flow = items.where("l_returnflag in ('R', 'A')").select(
-        para.alias("source"), F.format_string("res:%d", "l_partkey").alias("target"), F.when(F.col("l_returnflag") == "R", "reads").otherwise("writes").alias("kind"),
-        F.format_string("%d:%d", "l_orderkey", "l_linenumber").alias("evidence"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("ord"), none,
+    edge = lambda df, source, target, kind, evidence, ord, dd=none: df.select(
+        source.alias("source"), target.alias("target"), kind.alias("kind"), evidence.alias("evidence"), ord.cast("long").alias("ord"), dd.alias("dd_name")
     )
-    inside = items.select("l_suppkey", "l_linenumber").distinct().select(F.format_string("prog:%d", "l_suppkey").alias("source"), para.alias("target"), F.lit("contains").alias("kind"), text.alias("evidence"), F.col("l_linenumber").cast("long").alias("ord"), none)
-    steps = table(spark, sf, "supplier").select(F.format_string("prog:%d", "s_suppkey").alias("source"), F.format_string("step:%d", "s_nationkey").alias("target"), F.lit("step_of").alias("kind"), text.alias("evidence"), F.col("s_suppkey").alias("ord"), none)
-    bound = table(spark, sf, "nation").select(F.format_string("step:%d", "n_nationkey").alias("source"), F.format_string("dsn:%d", "n_regionkey").alias("target"), F.lit("dd_of").alias("kind"), text.alias("evidence"), F.col("n_nationkey").cast("long").alias("ord"), F.format_string("dd%d", "n_nationkey").alias("dd_name"))
-    return flow.unionByName(inside).unionByName(steps).unionByName(bound)
-
-
-def unit_edges(spark: SparkSession, sf: str, acyclic: bool = False, whole: bool = False) -> DataFrame:
-    """(source, target): supplier to supplier, from all line items if ``whole``, else from orders whose key is a multiple of 400 (a sparse graph)."""
+    place, ord = F.format_string("%d:%d", "l_orderkey", "l_linenumber"), F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    flow = items.where("l_returnflag in ('R', 'A')")
+    reads = F.when(F.col("l_returnflag") == "R", "reads").otherwise("writes")
+    called = F.format_string("prog:%d", F.col("l_partkey") % 10)
+    step, dd = F.format_string("step:%d", "n_nationkey"), F.format_string("dd%d", "n_nationkey")
+    card = F.format_string("jcl:%d DD %s", F.col("n_nationkey"), F.when(F.col("n_nationkey") % 7 == 0, "STEPLIB").otherwise(dd))
+    return union_all([
+        edge(flow, para, F.format_string("res:%d", "l_partkey"), reads, place, ord),
+        edge(items.where("l_returnflag = 'N'"), para, called, F.lit("calls"), place, ord),
+        edge(items.select("l_suppkey", "l_linenumber").distinct(), F.format_string("prog:%d", "l_suppkey"), para, F.lit("contains"), text, F.col("l_linenumber")),
+        edge(supplier, F.format_string("prog:%d", "s_suppkey"), F.format_string("step:%d", "s_nationkey"), F.lit("step_of"), text, F.col("s_suppkey")),
+        edge(nation, step, F.format_string("dsn:%d", "n_regionkey"), F.lit("dd_of"), card, F.col("n_nationkey"), dd),
+    ])
+
+
+def unit_edges(spark: SparkSession, sf: str, acyclic: bool = False) -> DataFrame:
+    """(source, target): supplier to supplier, by each line item's supplier and part; dense, with one large cycle unless ``acyclic``."""
     n = table(spark, sf, "supplier").agg(F.count("*").alias("n"))
-    items = table(spark, sf, "lineitem")
-    e = (items if whole else items.where("l_orderkey % 400 = 0")).join(F.broadcast(n)).select(F.col("l_suppkey").alias("source"), (F.col("l_partkey") % F.col("n")).alias("target"))
-    e = e.where("source <> target").distinct()
-    e = e.where("source > target") if acyclic else e
+    e = table(spark, sf, "lineitem").join(F.broadcast(n)).select(F.col("l_suppkey").alias("source"), (F.col("l_partkey") % F.col("n")).alias("target"))
+    e = e.where("source > target" if acyclic else "source <> target").distinct()
     return e.select(F.format_string("u%06d", "source").alias("source"), F.format_string("u%06d", "target").alias("target"))
 
 
@@ -82,27 +95,32 @@ def llm_calls(spark: SparkSession, sf: str) -> DataFrame:
 #: The same views in DuckDB SQL, put before the oracles that use them.
 NODES_SQL = """
 kg_nodes AS (
-  SELECT 'prog:' || s_suppkey AS id, 'program' AS kind, s_name AS name, NULL::VARCHAR AS dd_name FROM supplier
-  UNION ALL SELECT DISTINCT 'para:' || l_suppkey || ':' || l_linenumber, 'paragraph', 'PARA-' || l_linenumber, NULL FROM lineitem
-  UNION ALL SELECT 'res:' || p_partkey, k, 'R' || p_partkey, CASE WHEN k = 'file' THEN 'DD' || (p_partkey % 3) END FROM (
-    SELECT p_partkey, CASE split_part(p_type, ' ', 1) WHEN 'STANDARD' THEN 'dataset_ref' WHEN 'PROMO' THEN 'dataset_ref' WHEN 'ECONOMY' THEN 'txn_call' WHEN 'LARGE' THEN 'sql_block' WHEN 'MEDIUM' THEN 'file' ELSE 'external_call' END AS k FROM part)
-  UNION ALL SELECT 'step:' || n_nationkey, 'step', n_name, NULL FROM nation
-  UNION ALL SELECT 'dsn:' || r_regionkey, 'dataset_ref', r_name, NULL FROM region)"""
+  SELECT 'prog:' || s_suppkey AS id, 'program' AS kind, s_name AS name, NULL::VARCHAR AS dd_name, NULL::VARCHAR AS verb, NULL::INTEGER AS start_line FROM supplier
+  UNION ALL SELECT DISTINCT 'para:' || l_suppkey || ':' || l_linenumber, 'paragraph', 'PARA-' || l_linenumber, NULL, NULL, NULL FROM lineitem
+  UNION ALL SELECT 'res:' || p_partkey, k, 'R' || p_partkey, CASE WHEN k = 'file' THEN 'DD' || (p_partkey % 3) END,
+    CASE k WHEN 'txn_call' THEN ['LINK', 'XCTL'][p_partkey % 2 + 1] WHEN 'sql_block' THEN ['SELECT', 'UPDATE'][p_partkey % 2 + 1] END, p_size FROM (
+    SELECT p_partkey, p_size, CASE split_part(p_type, ' ', 1) WHEN 'STANDARD' THEN 'dataset_ref' WHEN 'PROMO' THEN 'dataset_ref' WHEN 'ECONOMY' THEN 'txn_call'
+      WHEN 'LARGE' THEN 'sql_block' WHEN 'MEDIUM' THEN 'file' ELSE 'external_call' END AS k FROM part)
+  UNION ALL SELECT 'step:' || n_nationkey, 'step', n_name, NULL, NULL, NULL FROM nation
+  UNION ALL SELECT 'dsn:' || r_regionkey, 'dataset_ref', r_name, NULL, NULL, NULL FROM region)"""
 EDGES_SQL = """
 kg_edges AS (
   SELECT 'para:' || l_suppkey || ':' || l_linenumber AS source, 'res:' || l_partkey AS target, CASE WHEN l_returnflag = 'R' THEN 'reads' ELSE 'writes' END AS kind,
     l_orderkey || ':' || l_linenumber AS evidence, l_orderkey * 10 + l_linenumber AS ord, NULL::VARCHAR AS dd_name FROM lineitem WHERE l_returnflag IN ('R', 'A')
+  UNION ALL SELECT 'para:' || l_suppkey || ':' || l_linenumber, 'prog:' || (l_partkey % 10), 'calls', l_orderkey || ':' || l_linenumber, l_orderkey * 10 + l_linenumber, NULL
+    FROM lineitem WHERE l_returnflag = 'N'
   UNION ALL SELECT DISTINCT 'prog:' || l_suppkey, 'para:' || l_suppkey || ':' || l_linenumber, 'contains', NULL, l_linenumber, NULL FROM lineitem
   UNION ALL SELECT 'prog:' || s_suppkey, 'step:' || s_nationkey, 'step_of', NULL, s_suppkey, NULL FROM supplier
-  UNION ALL SELECT 'step:' || n_nationkey, 'dsn:' || n_regionkey, 'dd_of', NULL, n_nationkey, 'dd' || n_nationkey FROM nation)"""
+  UNION ALL SELECT 'step:' || n_nationkey, 'dsn:' || n_regionkey, 'dd_of',
+    'jcl:' || n_nationkey || ' DD ' || CASE WHEN n_nationkey % 7 = 0 THEN 'STEPLIB' ELSE 'dd' || n_nationkey END, n_nationkey, 'dd' || n_nationkey FROM nation)"""
 MATRIX_SQL = f"""{NODES_SQL}, {EDGES_SQL},
 dd AS (SELECT upper(e.dd_name) AS dd, max_by(n.name, e.ord) AS dataset FROM kg_edges e JOIN kg_nodes n ON n.id = e.target AND n.kind = 'dataset_ref' WHERE e.kind = 'dd_of' GROUP BY 1),
 res AS (
   SELECT id AS target, CASE kind WHEN 'file' THEN 'file' WHEN 'dataset_ref' THEN 'dataset' WHEN 'sql_block' THEN 'sql_block' WHEN 'txn_call' THEN 'txn' ELSE 'unknown' END AS kind,
-    CASE WHEN kind = 'txn_call' THEN 'CICS-' || name ELSE name END AS name FROM kg_nodes
-  UNION ALL SELECT n.id, 'dataset', coalesce(a.dataset, b.dataset) FROM kg_nodes n LEFT JOIN dd a ON a.dd = upper(n.dd_name) LEFT JOIN dd b ON b.dd = substr(upper(n.dd_name), 3)
+    CASE kind WHEN 'txn_call' THEN 'CICS-' || verb WHEN 'sql_block' THEN verb || ':' || start_line ELSE name END AS name, kind = 'sql_block' AS own FROM kg_nodes
+  UNION ALL SELECT n.id, 'dataset', coalesce(a.dataset, b.dataset), false FROM kg_nodes n LEFT JOIN dd a ON a.dd = upper(n.dd_name) LEFT JOIN dd b ON b.dd = substr(upper(n.dd_name), 3)
     WHERE n.kind = 'file' AND coalesce(a.dataset, b.dataset) IS NOT NULL),
-used AS (SELECT p.name AS program, r.kind, r.name, bool_or(f.kind = 'writes') AS create_, bool_or(f.kind = 'reads') AS read_, count(*) AS n_evidence
+used AS (SELECT p.name AS program, r.kind, CASE WHEN own THEN p.name || ':' || r.name ELSE r.name END AS name, bool_or(f.kind = 'writes') AS create_, bool_or(f.kind = 'reads') AS read_, count(*) AS n_evidence
   FROM kg_edges f JOIN kg_edges c ON c.kind = 'contains' AND c.target = f.source JOIN kg_nodes p ON p.id = c.source JOIN res r ON r.target = f.target
   WHERE f.kind IN ('reads', 'writes') GROUP BY 1, 2, 3),
 touched AS (SELECT p.name AS program, 'dataset' AS kind, d.name, count(*) AS n_evidence FROM kg_edges s JOIN kg_nodes p ON p.id = s.source JOIN kg_edges b ON b.kind = 'dd_of' AND b.source = s.target
@@ -117,11 +135,9 @@ parts AS (SELECT *, CASE kind WHEN 'dataset' THEN 1.0::DOUBLE WHEN 'txn' THEN 0.
 seams AS (SELECT kind, name, n_programs, n_readers, n_writers, round(o, 3) AS observable_score, round(f, 3) AS funnel_score, round(a, 3) AS asymmetry_score, round(0.4::DOUBLE * o + 0.4::DOUBLE * f + 0.2::DOUBLE * a, 3) AS total_score FROM parts)"""
 UNIT_EDGES_SQL = """
 ue AS (SELECT DISTINCT printf('u%06d', l_suppkey) AS source, printf('u%06d', l_partkey % (SELECT count(*) FROM supplier)) AS target FROM lineitem
-  WHERE l_orderkey % 400 = 0 AND l_suppkey <> l_partkey % (SELECT count(*) FROM supplier)),
+  WHERE l_suppkey <> l_partkey % (SELECT count(*) FROM supplier)),
 dag AS (SELECT * FROM ue WHERE source > target),
 units AS (SELECT printf('u%06d', s_suppkey) AS unit_id FROM supplier)"""
-#: The same over all line items.
-UNIT_EDGES_ALL_SQL = UNIT_EDGES_SQL.replace("l_orderkey % 400 = 0 AND ", "")
 CALLS_SQL = """
 calls AS (SELECT printf('u%06d', l_suppkey) AS unit_id, ['sqs', 'sns', 'dynamodb', 's3', 'eventbridge'][(l_orderkey + l_linenumber) % 5 + 1] AS service,
   ['send_message', 'publish', 'put_item', 'get_object', 'scan', 'Describe', 'delete_object'][(l_orderkey + l_linenumber) % 7 + 1] AS operation, l_quantity >= 5 AS known,
