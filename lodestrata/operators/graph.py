@@ -34,7 +34,7 @@ def node_rows(df: DataFrame, id: Column, kind: Column, name: Column, start: Colu
     empty = F.create_map().cast("map<string,string>")
     return df.select(
         id.alias("id"), kind.alias("kind"), name.alias("name"), F.col("path").alias("file"), start.cast("int").alias("start_line"), end.cast("int").alias("end_line"),
-        raw.alias("raw_text"), (empty if attributes is None else attributes).alias("attributes"), start.cast("long").alias("ord"),
+        raw.alias("raw_text"), (empty if attributes is None else attributes).alias("attributes"), F.coalesce(start.cast("long"), F.lit(0)).alias("ord"),
     )
 
 
