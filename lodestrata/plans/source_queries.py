@@ -63,10 +63,10 @@ def _cobol(s, d):
 
 
 def _estate(s, d):
-    """(nodes, edges) of programs and jobs."""
-    n, e = _cobol(s, d)
+    """(nodes, edges) of programs and jobs, each written once before it is asked."""
+    n, e = (cut(x) for x in _cobol(s, d))
     n2, e2 = jcl.graph_of(jobs(s, d), n.where("kind = 'program'").select(F.col("name").alias("program")))
-    return graph.upsert_nodes(n.unionByName(n2)), e.unionByName(e2)
+    return cut(graph.upsert_nodes(n.unionByName(n2))), cut(e.unionByName(e2))
 
 
 def _shown(nodes):

@@ -6,10 +6,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.operators import business, crud, depgraph, dualrun, extract, graph, metrics
+from lodestrata.functions import tables
+from lodestrata.functions.ranking import numbered
+from lodestrata.functions.text import folders, located
+from lodestrata.operators import business, cobol, crud, depgraph, discovery, dualrun, extract, fixed, graph, iac, jcl, metrics, python_code
 from lodestrata.sources import files, renders
 
-NODE, EDGE = "id string, kind string, name string, dd_name string", "source string, target string, kind string, evidence string, ord long, dd_name string"
+NODE, EDGE = "id string, kind string, name string, dd_name string, verb string, start_line int", "source string, target string, kind string, evidence string, ord long, dd_name string"
 
 
 def rows(df):
@@ -17,7 +20,9 @@ def rows(df):
 
 
 def two_programs(spark, extra=()):
-    n = spark.createDataFrame([("L", "program", "LOADER", None), ("R", "program", "REPORTER", None), ("A", "program", "ARCHIVER", None), ("lp", "paragraph", "P", None), ("rp", "paragraph", "P", None), ("f", "file", "CUST-OUT", "OUT1"), ("d", "dataset_ref", "PROD.CUSTOMERS", None), ("s", "step", "S1", None)], NODE)
+    own = [("L", "program", "LOADER", None), ("R", "program", "REPORTER", None), ("A", "program", "ARCHIVER", None), ("lp", "paragraph", "P", None), ("rp", "paragraph", "P", None), ("f", "file", "CUST-OUT", "OUT1")]
+    own += [("d", "dataset_ref", "PROD.CUSTOMERS", None), ("s", "step", "S1", None)]
+    n = spark.createDataFrame([(*r, None, None) for r in own], NODE)
     e = spark.createDataFrame([("L", "lp", "contains", None, 0, None), ("R", "rp", "contains", None, 1, None), ("lp", "f", "writes", "w", 2, None), ("rp", "f", "reads", "r", 3, None), ("s", "d", "dd_of", None, 4, "DDOUT1"), ("s", "d", "dd_of", None, 5, "OUT1"), *extra], EDGE)
     return n, e
 
@@ -28,8 +33,10 @@ def test_crud_matrix_resolves_files_to_datasets(spark):
     got = {(r["program"], r["kind"], r["name"]): r["symbol"] for r in m.collect()}
     assert got == {("LOADER", "file", "CUST-OUT"): "CU", ("LOADER", "dataset", "PROD.CUSTOMERS"): "CU", ("REPORTER", "file", "CUST-OUT"): "R", ("REPORTER", "dataset", "PROD.CUSTOMERS"): "R", ("ARCHIVER", "dataset", "PROD.CUSTOMERS"): "*"}
     assert rows(crud.readers_of(m).where("kind = 'dataset'").select("program")) == [("REPORTER",)]
-    grid = {r["program"]: (r["dataset"], r["file"]) for r in crud.crud_grid(m, ["dataset", "file"]).collect()}
+    grid = {r["program"]: (r["dataset"], r["file"]) for r in crud.kind_grid(m, ["dataset", "file"]).collect()}
     assert grid == {"LOADER": ("CU", "CU"), "REPORTER": ("R", "R"), "ARCHIVER": ("*", ".")}
+    text = [r["line"] for r in crud.crud_grid(m).orderBy("line_no").collect()]
+    assert text[0] == "program".ljust(24) + "dataset:PROD.CUSTOMERS  " + "file:CUST-OUT".ljust(24) and text[1] == "ARCHIVER".ljust(24) + "*".ljust(24) + ".".ljust(24)
 
 
 def test_seam_scores(spark):
@@ -112,13 +119,13 @@ def test_prefix_pricing_gives_the_known_total(spark):
 def test_semantic_chunks(spark):
     text = "\n".join(["import x", "def a():"] + ["  y"] * 4 + ["def b():"] + ["  y"] * 2 + ["def c():"] + ["  z"] * 3)
     d = spark.createDataFrame([(1, text), (2, "p\nq\nr")], "doc_id long, text string")
-    assert rows(metrics.semantic_chunks(d, metrics.BOUNDARY["python"], metrics.SYMBOL["python"], 5, 2)) == [(1, 0, 2, 6, "a"), (1, 1, 5, 13, "b,c"), (2, 0, 1, 3, "")]
+    assert rows(metrics.chunks_of(d, "python", 5, 2)) == [(1, 0, 2, 6, "a"), (1, 1, 5, 13, "b,c"), (2, 0, 1, 3, "")]
     with pytest.raises(ValueError):
         metrics.compress_history(d, 0)
 
 
 def test_json_and_fences_and_summaries(spark):
-    d = spark.createDataFrame([('a } {bad {"x": "}", "y": {"z": 1}} {', "n\n```\nPurpose: p\nKey invariants:\n- a\n* b\n```")], "t string, s string")
+    d = spark.createDataFrame([('a } {"x": "}", "y": {"z": 1}} {', "n\n```\nPurpose: p\nKey invariants:\n- a\n* b\n```")], "t string, s string")
     assert json.loads(d.select(extract.first_json_object("t").alias("j")).first()["j"]) == {"x": "}", "y": {"z": 1}}
     assert d.select(extract.invariants(extract.structured_summary(F.col("s"))["Key invariants"]).alias("i")).first()["i"] == ["a", "b"]
 
@@ -137,8 +144,10 @@ def test_sources_round_trip(spark, tmp_path):
     assert files.expected_fields(files.read_fixtures(spark, str(tmp_path / "fx.json"))).select("fixture", "field", "value", "kind", "scale").first() == ("n", "g", "1.00", "decimal", 2)
     (tmp_path / "cache.jsonl").write_text('{"key": "a", "value": "1"}\nbroken\n{"key": "a", "value": "2"}\n')
     assert rows(files.read_cache(spark, str(tmp_path / "cache.jsonl"))) == [("a", "2")]
-    e = spark.createDataFrame([("a", "b", "x")], "source string, target string, kind string")
-    assert renders.document(renders.mermaid_lines(e), "graph TD").first()["text"] == "graph TD\n  a -->|x| b\n"
+    units, none = spark.createDataFrame([("a",), ("b-1",)], "unit_id string"), "provider string, kind string, name string, resource string"
+    e = spark.createDataFrame([("a", "b-1", None, "invokes"), ("a", None, "aws:queue:?", "queues_to")], "source_unit string, target_unit string, resource string, kind string")
+    drawn = renders.unit_graph(units, spark.createDataFrame([("aws", "queue", None, "aws:queue:?")], none), e, "mermaid")
+    assert renders.document(drawn).first()["text"] == "```mermaid\nflowchart LR\n    a[a]\n    b_1[b-1]\n    aws_queue_unknown[(queue: ?)]\n    a -->|queues_to| aws_queue_unknown\n    a -->|invokes| b_1\n```\n"
 
 
 def test_budget_stream(spark, tmp_path):
@@ -161,4 +170,184 @@ def test_waves_put_dependencies_first(spark):
 def test_long_continuations_are_kept_whole(spark):
     text = "//A DD DISP=SHR,\n//   " + "X" * 1500
     df = spark.createDataFrame([("j", text)], "path string, text string")
-    assert [r["card"] for r in extract.jcl_cards(df).collect()] == ["//A DD DISP=SHR, " + "X" * 1500]
+    assert [r["card"] for r in jcl.cards(df).collect()] == ["//A DD DISP=SHR, " + "X" * 1500]
+
+
+def files_of(spark, *rows):
+    return spark.createDataFrame(list(rows), "path string, text string")
+
+
+def test_matches_are_located_by_line(spark):
+    text = "x\nEXEC SQL\n  select a\nEND-EXEC y EXEC SQL b END-EXEC\n\nEXEC SQL c\nEND-EXEC"
+    got = located(files_of(spark, ("p", text), ("q", "none")), "(?is)" + fixed.EXEC_SQL, {"body": 1})
+    assert rows(got) == [("p", 0, 2, 4, "select a"), ("p", 1, 4, 4, "b"), ("p", 2, 6, 7, "c")]
+    assert files_of(spark, ("a/b/c.py", ""), ("d", "")).select(folders(F.col("path")).alias("f")).collect()[0]["f"] == ["", "a", "a/b"]
+
+
+def test_numbers_of_ranges_equal_a_window(spark):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, rng.choice([None, "a", "b"]), rng.randrange(50)) for i in range(500)], "id int, g string, v int").repartition(7)
+    got = {r["id"]: r["n"] for r in numbered(df, "n", [F.col("v").desc(), F.col("id")], ("g",)).collect()}
+    own = sorted(((r["g"] or "", -r["v"], r["id"]) for r in df.collect()))
+    want, seen = {}, {}
+    for g, _, i in own:
+        want[i] = seen[g] = seen.get(g, 0) + 1
+    assert got == want
+    assert sorted(r["n"] for r in numbered(df, "n", [F.col("id")]).collect()) == list(range(1, 501))
+    assert numbered(df.limit(0), "n", [F.col("id")]).collect() == []
+
+
+@pytest.mark.parametrize("edges", [0, 10**6])
+def test_one_task_and_rounds_agree(spark, monkeypatch, edges):
+    monkeypatch.setattr(graph, "ONE_TASK_EDGES", edges)
+    pairs = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "c"), ("f", "a"), ("g", "f"), ("h", "h")]
+    e = spark.createDataFrame(pairs, "source string, target string")
+    assert rows(graph.strongly_connected(e)) == [("a", "cluster-a"), ("b", "cluster-a"), ("c", "cluster-c"), ("d", "cluster-c"), ("e", "cluster-c"), ("f", "f"), ("g", "g")]
+    dag = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("d", "c")], "source string, target string")
+    ids = spark.createDataFrame([(x,) for x in "abcdz"], "id string")
+    assert rows(graph.heights(ids, dag)) == [("a", 2), ("b", 1), ("c", 0), ("d", 1), ("z", 0)]
+    with pytest.raises(ValueError):
+        graph.heights(ids, e)
+
+
+def test_post_order_on_a_cycle(spark):
+    e = spark.createDataFrame([("r", "b", "x", 2), ("r", "a", "x", 1), ("a", "c", "x", 3), ("c", "r", "x", 4), ("b", "c", "x", 5)], "source string, target string, kind string, ord long")
+    assert [r["node"] for r in graph.post_order(e, spark.createDataFrame([("r",)], "root string")).orderBy("pos").collect()] == ["c", "a", "b", "r"]
+
+
+def test_python_bindings(spark):
+    text = """
+import boto3
+ddb = boto3.resource('dynamodb')
+table: object = ddb.Table('T')
+def f():
+    table.put_item(Item={})
+    boto3.resource('dynamodb').Table('V').delete_item(Key=1)
+    q = aioboto3.client("sqs")
+    q.send_message(QueueUrl="u")
+    other.call('x')
+"""
+    got = python_code.python_facts(files_of(spark, ("a.py", text), ("b.py", "def (")))
+    assert rows(got.where("kind = 'call'").select("line_no", "service", "value", F.coalesce("resource", F.lit("-")))) == [
+        (4, "dynamodb", "Table", "T"), (6, "dynamodb", "put_item", "-"), (7, "dynamodb", "Table", "V"), (7, "dynamodb", "delete_item", "-"), (9, "sqs", "send_message", "u")]
+    assert rows(got.where("kind = 'warning'").select("path")) == [("b.py",)]
+
+
+def test_relative_imports_resolve_by_longest_prefix(spark):
+    files = files_of(spark, ("a/b/m.py", "from ..c import d\nimport a.c.e.f\nfrom . import x"), ("a/c/__init__.py", ""), ("a/c/d.py", ""), ("a/c/e.py", "import zzz"), ("a/b/x.py", ""))
+    assert rows(python_code.import_links(files)) == [("a/b/m.py", "a/b/x.py", "imports"), ("a/b/m.py", "a/c/__init__.py", "imports"), ("a/b/m.py", "a/c/d.py", "imports"), ("a/b/m.py", "a/c/e.py", "imports")]
+
+
+def test_manifests_of_odd_shapes_give_nothing(spark):
+    odd = ["Resources: {F: text}", "Resources: [1]", "- a", "a: [", "Resources:\n  F:\n    Type: AWS::Serverless::Function\n    Properties: [1]", "Resources:\n  F:\n    Type: AWS::Serverless::Function\n    Properties: {Events: {A: x, B: {Type: SQS, Properties: 3}}}"]
+    got = iac.hints(files_of(spark, *((f"{i}/template.yml", t) for i, t in enumerate(odd)), ("x/serverless.yml", "functions: {a: 1, b: {events: 7}}"), ("c.template.json", '{"Resources": 5}'), ("n/template.yaml", None)))
+    assert rows(got.select("source_unit", "target_kind", "name")) == [("F", "queue", None)]
+
+
+def test_records_write_their_files(spark):
+    text = """       PROGRAM-ID. P.
+       FD  OUT-FILE.
+       01  OUT-REC PIC X.
+       FILE SECTION.
+       FD  OUT-FILE.
+       01  OUT-REC PIC X.
+       LINKAGE SECTION.
+       01  L-REC PIC X.
+       PROCEDURE DIVISION.
+           WRITE OUT-REC.
+       A-PARA.
+           rewrite out-rec.
+           DELETE OUT-FILE.
+           WRITE NO-REC."""
+    n, e = cobol.graph_of(files_of(spark, ("p.cbl", text)))
+    io = e.where("kind = 'writes'").select("source", "target", "evidence")
+    assert rows(io) == [("paragraph:P:A-PARA", "file:P:OUT-FILE", "p.cbl:12 REWRITE"), ("paragraph:P:A-PARA", "file:P:OUT-FILE", "p.cbl:13 DELETE"), ("program:P", "file:P:OUT-FILE", "p.cbl:10 WRITE")]
+    assert not {"L-REC"} & {r["name"] for r in n.collect()}
+
+
+def test_nested_groups_and_overwritten_fields(spark):
+    text = "\n".join(["       PROGRAM-ID. P.", "       WORKING-STORAGE SECTION.", "       01  R.", "           05  G.", "               10  A PIC 9.", "               10  B PIC X.", "           05  C REDEFINES G PIC XX.", "           05  A PIC 9(2).", "       01  S REDEFINES R.", "           05  Z OCCURS 3 TIMES PIC 9."])
+    n, e = cobol.graph_of(files_of(spark, ("p.cbl", text)))
+    held = {(r["target"], r["source"]) for r in e.where("kind = 'contains'").collect()}
+    assert ("field:P:R:A", "field:P:R:G") in held and ("field:P:R:B", "field:P:R:G") in held and ("field:P:R:C", "record:P:R") in held
+    assert rows(e.where("kind = 'redefines'").select("source", "target")) == [("field:P:R:C", "field:P:R:G"), ("record:P:S", "record:P:R")]
+    fields = {r["id"]: r["attributes"] for r in graph.upsert_nodes(n).where("kind = 'field'").collect()}
+    assert fields["field:P:R:A"]["pic"] == "9(2)" and fields["field:P:S:Z"]["occurs"] == "3 TIMES"
+
+
+def test_job_resets_its_step(spark):
+    text = "//A JOB\n//S EXEC PGM=P\n//D DD DSN=X(1)\n//B JOB\n//E DD DSN=Y\n//T EXEC PROC=Q\n//F DD SYSOUT=*"
+    assert rows(jcl.facts(jcl.cards(files_of(spark, ("j", text)))).select("kind", "job", F.coalesce("step", F.lit("-")), F.coalesce("dataset", F.lit("-")))) == [("dd", "A", "S", "X"), ("job", "A", "-", "-"), ("job", "B", "-", "-"), ("step", "A", "S", "-")]
+
+
+def test_model_output_of_odd_shapes(spark):
+    d = spark.createDataFrame([("{bad} {\"a\": 1}", "A=1\nA=2\n", "a/../../b"), ("```json\n{\"a\": {\"b\": \"}\"}}\n```", "x", "./a//b/../c")], "t string, k string, p string")
+    assert [r["j"] for r in d.select(extract.first_json_object("t").alias("j")).collect()] == [None, '{"a": {"b": "}"}}']
+    assert [r["m"] for r in d.select(extract.key_values(F.col("k")).alias("m")).collect()] == [{"A": "2"}, None]
+    assert [r["p"] for r in d.select(extract._resolved(F.col("p")).alias("p")).collect()] == [None, "a/c"]
+
+
+def test_literal_scales(spark):
+    d = spark.createDataFrame([("1e-3",), ("1.50e2",), ("3.600",), ("7",), (None,), ("1.2E-2",)], "v string")
+    assert [r[0] for r in d.select(dualrun.literal_scale(F.col("v"))).collect()] == [3, 0, 3, 0, 0, 3]
+
+
+def test_overtime_and_refused_starts(spark):
+    e = [("k", 0, 1, "start", 1), ("k", 10, 2, "start", 1), ("k", 1800, 3, "check", 0), ("k", 1801, 4, "check", 0), ("k", 1900, 5, "start", 1), ("j", 0, 1, "finish", -1)]
+    got = business.fold_events(spark.createDataFrame(e, "key string, ts long, seq long, type string, delta long"))
+    assert rows(got) == [("j", "IDLE", None, -1, 0, 0, 0), ("k", "IN_PROGRESS", 1900, 3, 2, 1, 1)]
+
+
+def test_styles_follow_the_graph(spark):
+    n = spark.createDataFrame([("p", "program", "P", False), ("q", "program", "Q", True), ("r", "program", "R", True), ("b", "program", "B", False), ("t", "txn_call", "T", None)], "id string, kind string, name string, callable boolean")
+    e = spark.createDataFrame([("p", "x", "contains"), ("x", "t", "calls"), ("q", "y", "reads"), ("r", "x", "calls"), ("b", "s", "step_of")], "source string, target string, kind string")
+    s = metrics.target_style(n, e)
+    assert rows(s) == [("B", "batch"), ("P", "cics"), ("Q", "subroutine"), ("R", "cics")] and metrics.style_of(s, "B") == "batch"
+    with pytest.raises(KeyError):
+        metrics.style_of(s, "none")
+
+
+def test_unit_roots_by_depth(spark):
+    files = files_of(spark, ("m/pom.xml", ""), ("m/a/b/X.java", "class X implements RequestHandler<A, B>"), ("m/a/build.gradle", ""), ("z/Y.java", "RequestStreamHandler"), ("one.py", "def handler(event): pass"))
+    assert rows(discovery.handler_units(files)) == [("",), ("m/a",), ("z",)]
+    own, warn = discovery.discover(spark.createDataFrame([("m/a",), ("m/pom.xml",), ("q",)], "unit string"), files)
+    assert rows(own.select("unit", "language", "n_files")) == [("m/a", "java", 1)]
+    assert rows(warn) == [("m/pom.xml", "[skip] m/pom.xml: no adapter for .xml (pom.xml)"), ("q", "[skip] q: no recognized source files under q")]
+
+
+def test_snapshot_document_checks_its_edges(spark, tmp_path):
+    doc = {"nodes": [{"id": "a", "kind": "k", "name": "A"}], "edges": [{"source": "a", "target": "a", "kind": "x"}, {"source": "a", "target": "a", "kind": "x"}]}
+    (tmp_path / "kg.json").write_text(json.dumps(doc))
+    assert files.read_snapshot(spark, str(tmp_path / "kg.json"))[1].count() == 1
+    doc["edges"].append({"source": "a", "target": "gone", "kind": "x"})
+    (tmp_path / "bad.json").write_text(json.dumps(doc))
+    with pytest.raises(KeyError):
+        files.read_snapshot(spark, str(tmp_path / "bad.json"))
+
+
+def test_cost_windows(spark, tmp_path):
+    from lodestrata.streaming.budget import cost_windows
+
+    data = spark.sql("SELECT timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(id as int) * 20, 0) AS ts, 'gpt-5' AS model, 't' AS tag, 1000000L AS in_tokens, 0L AS out_tokens FROM range(6)")
+    data.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(data.schema).parquet(str(tmp_path / "in"))
+    q = cost_windows(stream).writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert spark.table("windows").count() >= 2
+
+
+def test_tables_need_a_shared_folder_off_the_machine(spark, monkeypatch):
+    class Away:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(dict)
+
+    with pytest.raises(ValueError):
+        tables.shared_dir(Away)
+    df = tables.cut(spark.range(3))
+    assert df.count() == 3
+    tables.drop(df)

@@ -50,25 +50,25 @@ def test_graph_queries_of_all_line_items(spark, con):
     same = {a: [b for b in programs if b in reach[a] and a in reach[b]] for a in programs}
     cluster = {a: f"cluster-{name(min(m))}" if len(m) > 1 else name(a) for a, m in same.items()}
     assert max(len(m) for m in same.values()) > 1
-    assert {r["id"]: r["cluster"] for r in run("scc_all").collect()} == {name(a): c for a, c in cluster.items()}
-    assert {(r["source"], r["target"]) for r in run("condensation_all").collect()} == {(cluster[a], cluster[b]) for a, b in edges if cluster[a] != cluster[b]}
+    assert {r["id"]: r["cluster"] for r in run("scc").collect()} == {name(a): c for a, c in cluster.items()}
+    assert {(r["source"], r["target"]) for r in run("condensation").collect()} == {(cluster[a], cluster[b]) for a, b in edges if cluster[a] != cluster[b]}
     height: dict = {}
     for a in sorted(programs):
         height[a] = max((1 + height[b] for b in after[a] if b < a), default=0)
-    assert {r["id"]: r["height"] for r in run("kg_post_order_all").collect()} == {name(a): h for a, h in height.items()}
-    for q in ("waves_all", "waves_by_seam_all"):
+    assert {r["id"]: r["height"] for r in run("kg_post_order").collect()} == {name(a): h for a, h in height.items()}
+    for q in ("waves", "waves_by_seam"):
         assert {r["unit_id"]: r["wave"] for r in run(q).collect()} == {name(a): h + 1 for a, h in height.items()}
     nation = dict(con.execute("SELECT s_suppkey, s_nationkey FROM supplier").fetchall())
     paths = {name(a): ",".join(dict.fromkeys(f"src/{nation[b]}.py" for b in sorted(after[a]))) for a in programs if after[a]}
-    assert {r["unit_id"]: r["paths"] for r in run("context_paths_all").collect()} == paths
+    assert {r["unit_id"]: r["paths"] for r in run("context_paths").collect()} == paths
 
 
 def test_descendants_of_every_program(spark, con):
-    got = {r["root"] for r in entry.queries()["kg_descendants_all"](spark, SF).select("root").distinct().collect()}
+    got = {r["root"] for r in entry.queries()["kg_descendants"](spark, SF).select("root").distinct().collect()}
     assert got == {f"prog:{s}" for (s,) in con.execute("SELECT s_suppkey FROM supplier").fetchall()}
 
 
 def test_job_control_has_a_step_for_every_line_number(spark, con):
-    got = {(r["job"], r["step"]) for r in entry.queries()["jcl_facts_all"](spark, SF).where("kind = 'step'").collect()}
+    got = {(r["job"], r["step"]) for r in entry.queries()["jcl_facts"](spark, SF).where("kind = 'step'").collect()}
     assert got == {(f"JOB{s}", f"STEP{n}") for s, n in con.execute("SELECT DISTINCT l_suppkey, l_linenumber FROM lineitem").fetchall()}
     assert max(n for _, n in got) > "STEP3"
