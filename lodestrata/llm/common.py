@@ -23,10 +23,12 @@ SALTS = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (unset, as in tests) one of our own."""
+    """The folder all executors share: spark.checkpoint.dir; where it is unset (as in tests) one of our own, on a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _MINE:
         _MINE.append("file://" + tempfile.mkdtemp(prefix="lodestrata-"))
     return _MINE[0]
@@ -58,6 +60,12 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Remove the files of a table that ``cut`` gave and that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _remove(df.sparkSession, path)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows of an Arrow batch, so that a batch of very long texts fits in a Python worker."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
@@ -166,6 +174,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         jump = labels.join(named, "node", "left_semi").select(F.col("node").alias("label"), F.col("label").alias("further"), F.explode(salts).alias("salt"))
         salted = step.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
         step = cut(salted.join(jump, ["label", "salt"], "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
+        drop(labels)
         labels = step.select("node", "label")
         if step.where("old <> label").isEmpty():
             return labels.withColumnRenamed("label", "component")
