@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.functions.tables import cut
+from lodestrata.functions.tables import cut, drop
 
 NODE = "id string, kind string, name string, file string, start_line int, end_line int, raw_text string, attributes map<string,string>, ord long"
 EDGE = "source string, target string, kind string, evidence string, attributes map<string,string>, ord long"
@@ -187,7 +187,8 @@ def heights(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                 raise ValueError("the graph has a cycle")
             return done if done is not None else now
         done = now if done is None else done.unionByName(now)
-        left = cut(left.join(now, "id", "left_anti"))
+        before, left = left, cut(left.join(now, "id", "left_anti"))
+        drop(before)
         level += 1
 
 
@@ -316,6 +317,7 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
         while True:
             least = core.join(color.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(F.min("color").alias("near"))
             step = cut(color.join(least, "id", "left").select("id", F.col("color").alias("old"), F.least("color", F.coalesce("near", "color")).alias("color")))
+            drop(color)
             color = step.select("id", "color")
             if step.where("old <> color").isEmpty():
                 break
