@@ -66,10 +66,16 @@ def drop(df: DataFrame) -> None:
         _remove(df.sparkSession, path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch, so that a batch of very long texts fits in a Python worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Bound the rows and the bytes of an Arrow batch, so that batches of very long texts fit in a Python worker.
+
+    The bounds stay set, as plans run after the call; smaller ones of the session are left alone.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        name = f"spark.sql.execution.arrow.{key}"
+        held = re.match(r"\d+", spark.conf.get(name))
+        if not held or not 0 < int(held[0]) <= most:
+            spark.conf.set(name, str(most))
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
