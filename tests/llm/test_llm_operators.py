@@ -74,6 +74,42 @@ def test_ownership_separates_copied_from_live(spark):
     assert got[3]["j"] == "" and got[3]["n_copied"] > 0
 
 
+def test_query_op1_against_brute_force(spark):
+    """Every row of the query over a whole table: base spans, the wider ones that few owners hold, and the counts of values."""
+    sf = SF.replace("0.001", "0.01")
+    docs = [(r["doc_id"], r["text"] or "", r["source"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    wider = [(k, re.compile(p, re.A)) for k, p in secret_scan.WIDER.items()]
+    found, owners = {}, {}
+    for d, text, source in docs:
+        own = []
+        for m in re.finditer(secret_scan.ASSIGN, text, re.A):
+            if len(m[2]) >= 6:
+                own.append((m.start(), 0, m.end(), m[2]))
+        own += [(m.start(), 1, m.end(), m[0]) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        own += [(m.start(), 2, m.end(), m[0]) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+        own += [(m.start(), 3 + k, m.end(), m[0]) for k, (_, p) in enumerate(wider) for m in p.finditer(text)]
+        found[d] = own
+        for *_, secret in own:
+            owners.setdefault(secret, set()).add(source)
+
+    def random_looking(v):
+        classes = sum(bool(re.search(p, v)) for p in ("[a-z]", "[A-Z]", "[0-9]"))
+        return (classes >= 2 and len(set(v)) >= 10) or v.startswith("-----BEGIN")
+
+    live = {v for v, o in owners.items() if len(o) <= secret_scan.FEW_OWNERS and random_looking(v)}
+    told = lambda spans: ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b, _ in sorted(spans))
+    seen = 0
+    for r in entry.queries()["op1_secret_scan"](spark, sf).collect():
+        own = found[r["doc_id"]]
+        base = [x for x in own if x[1] < 3]
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(x[1] == k for x in own) for k in range(3))
+        assert r["base_sha256"] == hashlib.sha256(told(base).encode()).hexdigest()
+        assert r["spans"] == told([x for x in own if x[1] < 3 or x[3] in live])
+        assert r["n_live"] == sum(x[3] in live for x in own) and r["n_copied"] == sum(len(owners[x[3]]) > secret_scan.FEW_OWNERS for x in own)
+        seen += bool(own)
+    assert seen > 10
+
+
 def test_packing_round_trip_and_random_access(spark):
     rng = np.random.default_rng(1)
     for bits in (1, 7, 13, 16, 17, 31):
@@ -226,6 +262,41 @@ def test_line_links_against_all_pairs(spark):
     assert {(r["x"], r["y"]) for r in line_dedup.line_links(lines).collect()} == want and want
 
 
+def test_query_op8_against_all_pairs(spark):
+    """Class, links and removed lines of every document, by comparing all different lines of the table."""
+    rng = random.Random(9)
+    docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    for k in range(40):
+        d, text = docs[rng.randrange(len(docs))]
+        docs.append((1000 + k, "\n".join(" ".join(w if rng.random() > 0.04 else f"q{rng.randrange(99)}" for w in line.split(" ")) for line in text.split("\n"))))
+    lines = [((d, n), line) for d, t in docs for n, line in enumerate(t.split("\n"))]
+    sets = {line: frozenset(re.findall(r"[^\x20\x09-\x0D]+", line)) for _, line in lines}
+    texts = [t for t, s in sets.items() if s]
+    near = {t: set() for t in texts}
+    for i, t in enumerate(texts):
+        for u in texts[:i]:
+            a, b = sets[t], sets[u]
+            if min(len(a), len(b)) * 5 >= max(len(a), len(b)) * 4 and len(a & b) * 5 >= len(a | b) * 4:
+                near[t].add(u)
+                near[u].add(t)
+    first = {}
+    for place, line in sorted(lines):
+        first.setdefault(line, place)
+    least = {t: min(first[u] for u in near[t] | {t}) for t in texts}
+    want = {}
+    for (d, n), line in lines:
+        row = want.setdefault(d, [d, 0, 0, []])
+        row[1] += 1
+        if sets[line]:
+            row[0] = min(row[0], least[line][0])
+            row[2] += len(near[line])
+            if least[line] < (d, n):
+                row[3].append(n)
+    got = line_dedup.by_document(line_dedup.judged_lines(docs_of(spark, [(d, t, "s") for d, t in docs]).withColumn("row", F.col("doc_id"))))
+    assert {r["doc_id"]: [r["class_id"], r["n_lines"], r["n_links"], sorted(r["removed"])] for r in got.collect()} == want
+    assert sum(r[2] for r in want.values()) > 50
+
+
 def test_later_lines_go(spark):
     df = docs_of(spark, [(1, "one two three four five\nother", "s"), (2, "other\n\nfive four three two one\nnew line", "s")])
     assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()} == {1: "one two three four five\nother", 2: "\nnew line"}
@@ -246,6 +317,32 @@ def test_mix_meets_targets_and_repeats(spark):
     assert {r["doc_id"]: r["n"] for r in mixed} == {r["doc_id"]: r["taken"] for r in a if r["taken"]}
 
 
+def test_query_op5_against_brute_force(spark):
+    """Sizes and targets by plain arithmetic; what each source takes comes near its target, and reruns agree."""
+    sf = SF.replace("0.001", "0.01")
+    docs = {r["doc_id"]: (len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")), r["source"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    names = sorted({s for _, s in docs.values()}, key=lambda s: (s is None, s or ""))
+    size = {n: sum(w for w, s in docs.values() if s == n) for n in names}
+    weight = {n: (5, 2, 1)[i % 3] for i, n in enumerate(names)}
+    target, capped = {}, set()
+    while True:
+        rest = 1.5 * sum(size.values()) - sum(2 * size[n] for n in capped)
+        free = [n for n in names if n not in capped]
+        target = {n: 2.0 * size[n] if n in capped else rest * weight[n] / sum(weight[m] for m in free) for n in names}
+        over = {n for n in free if target[n] > 2 * size[n]}
+        if not over:
+            break
+        capped |= over
+    rows = entry.queries()["op5_mix_sources"](spark, sf).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, entry.queries()["op5_mix_sources"](spark, sf).collect()))
+    took = dict.fromkeys(names, 0)
+    for r in rows:
+        words, source = docs[r["doc_id"]]
+        assert (r["size"], r["source_size"]) == (words, size[source]) and abs(r["target"] - target[source]) < 1e-6 and 0 <= r["taken"] <= 2 * words
+        took[source] += r["taken"]
+    assert len(rows) == len(docs) and all(abs(took[n] - target[n]) <= 3 * mixing.BLOCK_WORDS for n in names)
+
+
 def test_sainte_lague_is_highest_quotients():
     rng = random.Random(2)
     for _ in range(50):
@@ -361,6 +458,15 @@ def test_archives_keep_records(spark, tmp_path):
     assert got == {1: ("revisit", 2, 1200, sha(html)), 2: ("response", None, 1200, sha(html)), 3: ("response", None, 0, sha("")), None: ("revisit", 2, 1200, sha(html)), 4: ("response", None, 5, sha("short")), 5: ("response", None, 5, sha("short"))}
 
 
+def test_classifier_query_scores_every_row(spark):
+    """All rows once, probabilities in [0, 1], the verdict that follows from them, the same on a rerun; repeated ids don't matter to the fit."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    a = {r["doc_id"]: tuple(r) for r in entry.queries()["op4_quality_classifier"](spark, SF).collect()}
+    assert len(a) == docs.count() and all(0 <= q <= 1 and 0 <= t <= 1 and k == (q >= 0.5 and t <= 0.5) for _, q, t, k in a.values())
+    twice = quality_classifier.score(docs, quality_classifier.train(docs.unionByName(docs), labels))
+    assert all(abs(a[r["doc_id"]][1] - r["quality"]) < 1e-9 for r in twice.collect())
+
+
 def test_classifier_on_held_out_labels(spark):
     sf = SF.replace("0.001", "0.01")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -412,6 +518,69 @@ def test_chat_and_pages_edge_cases(spark):
     assert warc.write_monolithic(warc.planned(pages), "file:///tmp/unused").collect() == []
 
 
+def test_pipeline_stages_against_plain_versions(spark):
+    """Each stage on a fixture that holds what it looks for, against plain Python; then the run of all of them."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(12)
+    prose = lambda n: " ".join(f"v{rng.randrange(4000)}" for _ in range(n))
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rows = [(i, prose(rng.randrange(20, 260)), f"s{i % 3}") for i in range(60)]
+    rows += [(100 + i, rows[i][1], "s1") for i in range(10)] + [(200 + i, rows[i][1] + " tail", "s2") for i in range(10)]
+    rows += [(300 + i, f"{prose(60)} {items[i][1]} {prose(60)}", "s0") for i in range(8)] + [(400, None, None), (401, "", "s0"), (5, prose(90), "s0"), (None, prose(80), "s1"), (7, rows[7][1], "s1")]
+    docs = docs_of(spark, rows)
+    plain = lambda df: [(r["doc_id"], r["text"] or "") for r in df.collect()]
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality_rules", "near_dedup", "decontamination", "mixing", "token_output"]
+
+    kept = stages["quality_rules"](spark, docs, SF)
+    def good(t):
+        n, _, _, _, repeated = host_quality.measure_text(t or "")
+        return n >= 50 and 100 * repeated <= 50 * n
+    assert sorted(map(str, plain(kept))) == sorted(str((d, t or "")) for d, t, _ in rows if good(t)) and kept.columns == docs.columns
+
+    one = stages["near_dedup"](spark, kept, SF)
+    own = plain(kept)
+    texts = sorted({t for _, t in own})
+    tops, _, _ = brute_classes(texts, shingle_weights(texts))
+    classes = {}
+    for d, t in own:
+        classes.setdefault(tops[texts.index(t)], []).append((d is None, d, t))
+    assert sorted(map(str, plain(one))) == sorted(str(min(c, key=lambda x: (x[0], x[1] or 0, hashlib.md5(x[2].encode()).hexdigest()))[1:]) for c in classes.values()) and one.columns == docs.columns
+
+    clean = stages["decontamination"](spark, one, SF)
+    held = {d for d, _ in brute_containment(list(enumerate(t for _, t in plain(one))), items)}
+    assert sorted(map(str, plain(clean))) == sorted(str(x) for i, x in enumerate(plain(one)) if i not in held) and len(held) >= 8
+
+    mixed = stages["mixing"](spark, clean, SF)
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
+    taken = {}
+    for r in mixing.mix_sources(clean).collect():
+        taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + r["taken"]
+    got = {}
+    for d, t in plain(mixed):
+        got[d] = got.get(d, 0) + words(t)
+    assert got == {d: n for d, n in taken.items() if n} and mixed.columns == docs.columns
+
+    packed = stages["token_output"](spark, mixed, SF)
+    t = Tokenizer.from_file(token_pack.default_tokenizer())
+    at, want = 0, []
+    for d, text in sorted(plain(mixed), key=lambda x: (x[0] is not None, x[0] or 0, hashlib.md5(x[1].encode()).hexdigest())):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 1], dtype="<u4")
+        want.append((d, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert sorted(map(str, (tuple(r) for r in packed.collect()))) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_pipeline_stages_at_the_edges(spark, name):
+    d, stage = edge_docs(spark), dict(corpus_pipeline.STAGES)[name]
+    out = stage(spark, d, SF)
+    assert name == "token_output" or out.columns == d.columns
+    out.collect()
+    assert stage(spark, empty(d), SF).collect() == []
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = corpus_pipeline.quality_rules(spark, docs, SF)
