@@ -9,18 +9,19 @@ from lodestrata.operators import crud, depgraph, graph, metrics
 from lodestrata.plans.estate import CALLS_SQL, EDGES_SQL, MATRIX_SQL, NODES_SQL, SEAMS_SQL, UNIT_EDGES_SQL, kg_edges, kg_nodes, service_calls, table, unit_edges, units
 
 KINDS = ["dataset", "file", "sql_block", "txn", "unknown"]
-#: Written once a query: it is the join of all facts, and most questions use it twice.
-_matrix = lambda s, d: cut(crud.crud_matrix(kg_nodes(s, d), kg_edges(s, d)))
+_matrix = lambda s, d: crud.crud_matrix(kg_nodes(s, d), kg_edges(s, d))
+#: Without evidence, and written once, for questions that ask it twice.
+_facts = lambda s, d: cut(_matrix(s, d).drop("evidence"))
 _flags = "program, kind, name, create_, read_, update_, delete_, touches_only, n_evidence, symbol"
 
 
 def _seam_scores(s, d):
-    m = _matrix(s, d)
+    m = _facts(s, d)
     return crud.seam_score_by_unit(m, crud.seams(m))
 
 
 def _text_grid(s, d):
-    m = _matrix(s, d)
+    m = _facts(s, d)
     return crud.crud_grid(m, crud.resources_of(m.where("touches_only")))
 
 
