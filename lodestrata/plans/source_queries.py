@@ -128,7 +128,7 @@ def _closure(s, d):
     k = F.col("n_nationkey")
     text = _text(_n("import p.m%d.deep.name", k + 1), _n("from . import m%d", k + 2), "import os, boto3")
     files = table(s, d, "nation").select(_n("p/m%d.py", k).alias("path"), text.alias("text"))
-    seeds = table(s, d, "nation").where("n_nationkey % 2 = 1").select(_n("u%d", k).alias("unit"), _n("p/m%d.py", k).alias("path"), F.lit(0).alias("ord"))
+    seeds = table(s, d, "nation").select(_n("u%d", k).alias("unit"), _n("p/m%d.py", k).alias("path"), F.lit(0).alias("ord"))
     return python_code.import_closure(files, seeds).select("unit", F.col("pos").cast("long").alias("pos"), "path")
 
 
@@ -168,6 +168,13 @@ def tree(s, d):
     return table(s, d, "customer").select(path.alias("path"), text.alias("text")).distinct()
 
 
+def _notes(s, d):
+    """A tree without handlers: a note a customer, some in hidden and skipped folders, some at the top."""
+    k = F.col("c_custkey")
+    path = F.element_at(F.array(_n("docs%d/n%d.md", k % 37, k), _n(".git/n%d", k), _n("build/n%d.md", k), _n("n%d.md", k)), (k % 4 + 1).cast("int"))
+    return table(s, d, "customer").select(path.alias("path"), F.lit("# notes").alias("text"))
+
+
 def _discovered(s, d):
     files = tree(s, d)
     return discovery.discover(files.select(F.substring_index("path", "/", 1).alias("unit")), files)
@@ -232,7 +239,7 @@ QUERIES = {
     "iac_hints": lambda s, d: iac.hints(manifests(s, d)),
     "iac_nodes": _declared,
     "handler_units": lambda s, d: discovery.handler_units(tree(s, d)),
-    "handler_units_fallback": lambda s, d: discovery.handler_units(tree(s, d).where("path like 'docs%'")),
+    "handler_units_fallback": lambda s, d: discovery.handler_units(_notes(s, d)),
     "discovery": lambda s, d: _discovered(s, d)[0],
     "scan_warnings": lambda s, d: _discovered(s, d)[1],
     "program_units": lambda s, d: discovery.program_units(_cobol_tree(s, d)),
@@ -333,7 +340,7 @@ UNION ALL SELECT step, 'dataset_ref:LOAD.LIB', 'dd_of', path || ':7 DD STEPLIB',
 UNION ALL SELECT 'pkg/m' || c_custkey || '.py', 0, 'warning', 'unparseable' FROM customer WHERE c_custkey % 50 = 0""",
     "python_bindings": f"WITH {_M} SELECT path, (x.l + k)::BIGINT AS line_no, x.s AS service, x.o AS value, x.r AS resource FROM calls",
     "import_closure": """WITH RECURSIVE l AS (SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON b.n_nationkey IN (a.n_nationkey + 1, a.n_nationkey + 2)),
-r AS (SELECT n_nationkey AS root, n_nationkey AS node FROM nation WHERE n_nationkey % 2 = 1 UNION SELECT r.root, l.b FROM r JOIN l ON l.a = r.node)
+r AS (SELECT n_nationkey AS root, n_nationkey AS node FROM nation UNION SELECT r.root, l.b FROM r JOIN l ON l.a = r.node)
 SELECT 'u' || root AS unit, (row_number() OVER (PARTITION BY root ORDER BY node <> root, 'p/m' || node || '.py') - 1)::BIGINT AS pos, 'p/m' || node || '.py' AS path FROM r""",
     "kg_from_ir_nodes": f"""WITH {_M} SELECT 'program:pkg.m' || c_custkey AS id, 'program' AS kind, 'pkg.m' || c_custkey AS name FROM customer UNION ALL SELECT DISTINCT 'paragraph:' || u || ':' || x.f, 'paragraph', x.f FROM calls
 UNION ALL SELECT DISTINCT 'external_call:' || u || ':' || x.s || ':' || x.o, 'external_call', x.s || '.' || x.o FROM calls UNION ALL SELECT DISTINCT 'dataset_ref:' || kind || ':' || coalesce(x.r, '_unnamed'), 'dataset_ref', coalesce(x.r, kind) FROM acc""",
@@ -353,7 +360,7 @@ SELECT path, source_unit, target_kind, 'aws' AS provider, name, 'reads_from' AS
 SELECT 'dataset_ref:' || k || ':' || name AS id, 'dataset_ref' AS kind, name, 'iac' AS origin FROM h WHERE NOT (name LIKE 'Q%' AND n % 2 = 0)""",
     "handler_units": f"""WITH {_T}, h AS (SELECT *, regexp_replace(path, '/[^/]*$', '') AS folder, count(*) OVER (PARTITION BY k, regexp_replace(path, '/[^/]*$', '')) AS n FROM t)
 SELECT DISTINCT CASE WHEN k IN (0, 2) AND n > 1 THEN path WHEN k IN (0, 2, 5) THEN folder WHEN g IN (SELECT g FROM t WHERE k = 4) THEN 'jav' || g ELSE folder END AS unit FROM h WHERE k IN (0, 2, 3, 5)""",
-    "handler_units_fallback": f"WITH {_T} SELECT DISTINCT split_part(path, '/', 1) AS unit FROM t WHERE k = 1",
+    "handler_units_fallback": "SELECT DISTINCT 'docs' || (c_custkey % 37) AS unit FROM customer WHERE c_custkey % 4 = 0",
     "discovery": f"""WITH {_T}, x AS (SELECT split_part(path, '/', 1) AS unit, ['python', '', 'node', 'java', '', 'csharp', 'node', 'python'][k + 1] AS language, [3, 1, 1, 1, 1, 1, 1, 1][k + 1] AS loc, {[len(t) for t in _TREE]}[k + 1] AS size FROM t WHERE k NOT IN (1, 4)),
 l AS (SELECT unit, language, count(*) AS n FROM x GROUP BY 1, 2), b AS (SELECT unit, min_by(language, (-n, language)) AS language FROM l GROUP BY 1)
 SELECT unit, unit AS unit_id, language, count(*) AS n_files, sum(loc)::BIGINT AS loc, sum(size)::BIGINT AS byte_size FROM x JOIN b USING (unit) GROUP BY unit, b.language""".replace("SELECT unit, unit AS unit_id, language, count", "SELECT unit, unit AS unit_id, b.language AS language, count"),
