@@ -136,6 +136,25 @@ def test_token_pack_equals_whole_text_encoding(spark):
     assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_pack.pack_documents(all_).collect()} == want
 
 
+@pytest.mark.parametrize("end_id", [1, 1 << 17])
+def test_ids_are_read_from_any_place(spark, tmp_path, end_id):
+    """Windows over many small blocks, of 16 bits (whole bytes) and of 18 bits an id."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(token_pack.default_tokenizer())
+    texts = [None, "", *(f"line {i} of a text, " * (i % 7) for i in range(60))]
+    docs = docs_of(spark, [(i, x, "s") for i, x in enumerate(texts)])
+    path = f"file://{tmp_path}/packed"
+    token_pack.write_packed(docs, path, token_pack.default_tokenizer(), end_id, block_ids=64)
+    held = spark.read.parquet(f"{path}/blocks").orderBy("shard", "block").collect()
+    assert len(held) > 10 and {r["bits"] for r in held} == {max(16, end_id.bit_length())}
+    of = {i: [*t.encode(x or "", add_special_tokens=False).ids, end_id] for i, x in enumerate(texts)}
+    for shard in {r["shard"] for r in held}:
+        want = [w for r in held if r["shard"] == shard for d in r["doc_ids"] for w in of[d]]
+        for start, count in ((0, len(want)), (1, 2), (63, 70), (len(want) - 3, 3), (len(want) - 1, 9), (len(want), 5), (4, 0)):
+            assert token_pack.read_ids(spark, path, shard, start, count).tolist() == want[start : start + count]
+
+
 def shingle_weights(texts):
     from collections import Counter
 
