@@ -259,7 +259,10 @@ class Classes:
         owner = groups.where("least is not null").groupBy("least").agg(F.min("key").alias("key"), F.lit(True).alias("own"))
         self.rows = rows
         self.nodes = nodes.select("key", "component")
-        self.classes = cut(groups.join(owner, ["least", "key"], "left").select("component", F.when(F.col("own"), F.col("least")).otherwise(_nameless(F.col("key"))).alias("class_id"), "least", "key"), "classes")
+        self.classes = cut(
+            groups.join(owner, ["least", "key"], "left").select(
+            "component", F.when(F.col("own"), F.col("least")).otherwise(_nameless(F.col("key"))).alias("class_id"),
+            "least", "key"), "classes")
 
 
 def find_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, log2: int = LOG2_SKETCH) -> Classes:

@@ -70,14 +70,19 @@ class Features:
         k = max(1, len(words))
         count = lambda chars: sum(map(t.count, chars)) / n
         upper = sum(map(t.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")) / n
-        return [np.log1p(len(t)) / 10, sum(map(len, words)) / k / 10, upper * 5, count("0123456789") * 5, count("#*$%&<>") * 10, count(".,!?;:") * 5, count("|") * 20, np.log1p(len(lines)) / 5, 1 - len(set(lines)) / len(lines), len(set(words)) / k, 1.0]
+        return [
+            np.log1p(len(t)) / 10, sum(map(len, words)) / k / 10, upper * 5, count("0123456789") * 5,
+            count("#*$%&<>") * 10, count(".,!?;:") * 5, count("|") * 20,
+            np.log1p(len(lines)) / 5, 1 - len(set(lines)) / len(lines), len(set(words)) / k, 1.0]
 
     def meta(self, texts: list[str], langs: list, sources: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = len(LAYOUT)
         room = (1 << LOG2_META) - n
         rows = []
         for t, lang, source in zip(texts, langs, sources):
-            rows.append([n + xxhash.xxh3_64_intdigest(f"lang {lang}".encode("utf-8", "surrogatepass")) % room, n + xxhash.xxh3_64_intdigest(f"source {source}".encode("utf-8", "surrogatepass")) % room])
+            rows.append([
+                n + xxhash.xxh3_64_intdigest(f"lang {lang}".encode("utf-8", "surrogatepass")) % room,
+                n + xxhash.xxh3_64_intdigest(f"source {source}".encode("utf-8", "surrogatepass")) % room])
         indices = np.hstack([np.tile(np.arange(n), (len(texts), 1)), np.array(rows, dtype=np.int64).reshape(-1, 2)])
         values = np.hstack([np.array([self.layout(t) for t in texts], dtype=np.float32).reshape(-1, n), np.full((len(texts), 2), 0.5, dtype=np.float32)])
         return indices.reshape(-1), values.reshape(-1), np.full(len(texts), n + 2, dtype=np.int64)

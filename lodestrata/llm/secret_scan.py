@@ -90,7 +90,9 @@ def ownership(found: DataFrame, repository: Column, owner: Column) -> DataFrame:
 
 def secret_spans(docs: DataFrame, repository: Column, owner: Column, few_owners: int = FEW_OWNERS) -> DataFrame:
     """Each row of ``docs`` (doc_id, text and what the two expressions need) with its spans and counts of live and copied values."""
-    found = cut(scan(docs.select("doc_id", text_of().alias("text"), repository.cast("string").alias("repository"), owner.cast("string").alias("owner"))).withColumn("row", F.monotonically_increasing_id()), "found")
+    found = cut(
+        scan(docs.select("doc_id", text_of().alias("text"), repository.cast("string").alias("repository"), owner.cast("string").alias("owner"))).withColumn("row", F.monotonically_increasing_id()),
+        "found")
     counts = ownership(found, F.col("repository"), F.col("owner"))
     each = found.where("size(base) + size(wider) > 0").select("row", F.explode(F.concat("base", "wider")).alias("s")).withColumn("secret", F.sha2("s.secret", 256))
     judged = each.join(counts, "secret").withColumn("live", (F.col("n_owners") <= few_owners) & _looks_random(F.col("s.secret")))

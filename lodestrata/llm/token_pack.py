@@ -219,7 +219,10 @@ def write_packed(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = E
         def block() -> pd.DataFrame:
             nonlocal names, parts, held, first, number
             lengths = np.array([len(x) for x in parts], dtype=np.int64)
-            row = {"shard": shard, "block": number, "first": first, "n_ids": held, "bits": bits, "doc_ids": names, "doc_starts": np.cumsum(lengths) - lengths, "data": pack(np.concatenate(parts), bits)}
+            row = {
+                "shard": shard, "block": number, "first": first, "n_ids": held, "bits": bits,
+                "doc_ids": names, "doc_starts": np.cumsum(lengths) - lengths,
+                "data": pack(np.concatenate(parts), bits)}
             names, parts, held, first, number = [], [], 0, first + held, number + 1
             return pd.DataFrame([row])
 

@@ -42,7 +42,9 @@ def planned(pages: DataFrame) -> DataFrame:
     pages = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("digest"))
     large = pages.where(F.octet_length("html") >= LEAST_SHARED).select("page_id", "digest")
     first = large.groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").select("digest", "response")
-    revisits = large.join(first, "digest").where(F.coalesce(F.col("page_id") < F.col("response"), F.col("response").isNotNull())).select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), F.col("response").alias("refers_to")).distinct()
+    revisits = large.join(first, "digest").where(
+        F.coalesce(F.col("page_id") < F.col("response"), F.col("response").isNotNull())).select(
+        F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), F.col("response").alias("refers_to")).distinct()
     return pages.join(revisits, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left").select("page_id", "url", "html", "digest", "refers_to")
 
 
@@ -57,7 +59,10 @@ def _record(page_id, url: str, payload: bytes, refers_to) -> bytes:
         ("WARC-Date", _DATE), ("WARC-Target-URI", "".join(url.split())), ("WARC-Payload-Digest", sha), ("X-Page-ID", name),
     ]
     if revisit:
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}:{sha}')}>"), ("X-Refers-To-Page", str(refers_to))]
+        fields += [
+            ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
+            ("WARC-Refers-To", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}:{sha}')}>"),
+            ("X-Refers-To-Page", str(refers_to))]
     fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
 
