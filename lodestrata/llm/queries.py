@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import op6_chat_format
+from .conversation_repair import op13_conversation_repair
 from .decontaminate import op9_decontaminate
 from .host_quality import op7_host_quality
 from .line_dedup import op8_line_dedup
@@ -14,6 +15,8 @@ from .mixing import op5_mix_sources
 from .near_dedup import op3_near_dedup
 from .quality_classifier import op4_quality_classifier
 from .secret_scan import op1_secret_scan
+from .spelling_variants import op12_spelling_variants
+from .substring_dedup import op11_substring_dedup
 from .token_pack import op2_token_pack
 from .warc import op10_warc
 
@@ -28,6 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_warc": op10_warc,
+    "op11_substring_dedup": op11_substring_dedup,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 _TURNS = """SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
