@@ -9,7 +9,7 @@ from lodestrata.operators import business, depgraph, dualrun, graph, metrics
 from lodestrata.plans.estate import CALLS_SQL, EDGES_SQL, NODES_SQL, UNIT_EDGES_SQL, kg_edges, kg_nodes, service_calls, table, unit_edges, units
 from lodestrata.plans.graph_queries import _LEVELS, unit_files
 from lodestrata.plans.text_queries import _FIELDS, _fields, _fixtures
-from lodestrata.sources import files, renders
+from lodestrata.sources import files, renders, tree
 
 
 def _n(form, *columns):
@@ -90,9 +90,9 @@ def _round(s, name):
 def _sources(s, d):
     """Each nation's name as the text of a file of its own, found again below its folder."""
     path = _round(s, "tree")
-    table(s, d, "nation").select(F.concat(F.lit("unit-"), F.col("n_nationkey").cast("string")).alias("unit"), "n_name").coalesce(1).write.partitionBy("unit").text(path)
+    tree.write_tree(table(s, d, "nation").select(_n("unit-%d/name.txt", "n_nationkey").alias("path"), F.concat("n_name", F.lit("\n")).alias("text")), path)
     found = files.relative(files.read_sources(s, path, [".txt"]), path)
-    return found.select(F.regexp_extract("path", r"unit=([^/]+)/", 1).alias("unit"), "text")
+    return found.select(F.substring_index("path", "/", 1).alias("unit"), "text")
 
 
 def _fixture_fields(s, d):
@@ -140,7 +140,7 @@ def _cost_log(s, d):
     budgets = runs.select("run_id", F.lit(3).alias("calls"), F.lit(10).alias("input_tokens"), F.lit(20).alias("output_tokens"), F.lit(0.1234567).alias("used_usd"), F.lit(5.0).alias("max_usd"), F.lit(False).alias("halted"))
     path = _round(s, "log")
     files.append_cost_log(files.cost_reports(runs, budgets)[1], path)
-    return s.read.schema("run_id string, units long, calls long, used_usd double, halted boolean").json(path)
+    return s.read.schema("run_id string, units long, calls long, used_usd double, halted boolean").json(path).drop("epoch")
 
 
 def _pipes(s, d):

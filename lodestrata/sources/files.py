@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.operators.graph import dangling_edges
+from lodestrata.sources.log import append_lines
+from lodestrata.sources.tree import read_tree
 
 _TOLERANCE = "kind:string,pic:string,scale:int,trim:boolean,signed:boolean,abs_tol:double,case_insensitive:boolean"
 FIXTURE = (
@@ -27,9 +29,8 @@ CHECKPOINT = (
 
 
 def read_sources(spark: SparkSession, root: str, suffixes: list[str] | None = None) -> DataFrame:
-    """(path, text) of a tree's files; hidden directories are left out by the reader's own rule, bytes that aren't UTF-8 are replaced."""
-    files = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    return files if suffixes is None else files.where(F.regexp_extract(F.lower("path"), r"(\.[^./]+)$", 1).isin(*suffixes))
+    """(path, text) of a tree's files, hidden ones and those that start with ``_`` too; bytes that aren't UTF-8 are replaced."""
+    return read_tree(spark, root, suffixes).select(F.concat(F.lit(root.rstrip("/") + "/"), "path").alias("path"), "text")
 
 
 def relative(files: DataFrame, root: str) -> DataFrame:
@@ -115,15 +116,9 @@ def cost_reports(checkpoints: DataFrame, budgets: DataFrame) -> tuple[DataFrame,
     return reports, log
 
 
-def append_cost_log(log: DataFrame, path: str) -> None:
-    """Lines added to the history of runs."""
-    log.write.mode("append").json(path)
-
-
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """(key, value) of a JSON-lines cache: the last good line of a key wins, by file and place."""
-    lines = spark.read.schema("key string, value string, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path).withColumn("ord", F.monotonically_increasing_id())
-    return lines.where("key is not null").groupBy("key").agg(F.max_by("value", "ord").alias("value"))
+def append_cost_log(log: DataFrame, path: str, epoch: int | None = None) -> int:
+    """Lines added to the history of runs, in order of their ends; the number of the append, which replaces an earlier try of the same number."""
+    return append_lines(log, path, ["finished_at", "run_id"], epoch)
 
 
 def read_pipe(spark: SparkSession, path: str, columns: list[tuple[str, int | None]]) -> DataFrame:

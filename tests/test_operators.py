@@ -142,8 +142,6 @@ def test_sources_round_trip(spark, tmp_path):
     assert [r["text"] for r in files.read_sources(spark, str(tmp_path / "src"), [".py"]).collect()] == ["x = 1\n"]
     (tmp_path / "fx.json").write_text(json.dumps({"name": "n", "program_id": "P", "target_style": "batch", "inputs": {}, "expected_outputs": {"g": "1.00"}, "tolerances": {"g": {"kind": "decimal", "scale": 2}}}))
     assert files.expected_fields(files.read_fixtures(spark, str(tmp_path / "fx.json"))).select("fixture", "field", "value", "kind", "scale").first() == ("n", "g", "1.00", "decimal", 2)
-    (tmp_path / "cache.jsonl").write_text('{"key": "a", "value": "1"}\nbroken\n{"key": "a", "value": "2"}\n')
-    assert rows(files.read_cache(spark, str(tmp_path / "cache.jsonl"))) == [("a", "2")]
     units, none = spark.createDataFrame([("a",), ("b-1",)], "unit_id string"), "provider string, kind string, name string, resource string"
     e = spark.createDataFrame([("a", "b-1", None, "invokes"), ("a", None, "aws:queue:?", "queues_to")], "source_unit string, target_unit string, resource string, kind string")
     drawn = renders.unit_graph(units, spark.createDataFrame([("aws", "queue", None, "aws:queue:?")], none), e, "mermaid")
