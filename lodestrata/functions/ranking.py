@@ -31,3 +31,23 @@ def numbered(df: DataFrame, name: str, order: list, groups: tuple[str, ...] = ()
         same = same & F.col(g).eqNullSafe(F.col(f"__{g}"))
     at = (row - F.col("__first") + F.col("__before") + 1).cast("long")
     return placed.join(held, same).select(*df.columns, at.alias(name))
+
+
+def running(df: DataFrame, name: str, value: str, order: list, groups: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with ``name``, the sum of the column ``value`` over the rows of its group up to it in ``order`` (columns that leave no ties).
+
+    Sums have two levels: within ranges of (groups, order), as ``numbered`` deals them, and over the totals of a group's
+    ranges before, of which there is a row each. A null counts as 0.
+    """
+    keys = [F.col(g) for g in groups]
+    placed = cut(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    own = Window.partitionBy("__part", *groups).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.withColumn("__part", part).withColumn("__sum", F.sum(F.coalesce(F.col(value), F.lit(0))).over(own))
+    held = placed.groupBy(part.alias("__part"), *groups).agg(F.sum(F.coalesce(F.col(value), F.lit(0))).alias("__total"))
+    earlier = Window.partitionBy(*(groups or (F.lit(0),))).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__total").over(earlier), F.lit(0)).alias("__before"), *(F.col(g).alias(f"__{g}") for g in groups))
+    same = F.col("__part") == F.col("__p")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"__{g}"))
+    return summed.join(held, same).select(*df.columns, (F.col("__sum") + F.col("__before")).alias(name))

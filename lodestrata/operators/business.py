@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestrata.functions.ranking import numbered
+
 
 def transaction_totals(customers: DataFrame, txns: DataFrame) -> DataFrame:
     """(cust, period, total) for every customer and each period asked for in ``customers`` (cust, period); 0 without transactions."""
@@ -49,8 +51,8 @@ def filing_records(orders: DataFrame, sources: tuple[str, ...] = ("entity", "ser
 def queue(records: DataFrame, errors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(queued, refused): records whose errors (key, errors) are empty, with their place in the queue of their jurisdiction and service; the others with their errors."""
     both = records.join(errors, "key", "left").withColumn("errors", F.coalesce("errors", F.lit("")))
-    place = Window.partitionBy("_meta.jurisdiction", "_meta.serviceType").orderBy("key")
-    return both.where("errors = ''").drop("errors").withColumn("place", F.row_number().over(place)), both.where("errors <> ''").select("key", "errors")
+    queued = both.where("errors = ''").drop("errors").withColumns({"_j": F.col("_meta.jurisdiction"), "_s": F.col("_meta.serviceType")})
+    return numbered(queued, "place", ["key"], ("_j", "_s")).drop("_j", "_s"), both.where("errors <> ''").select("key", "errors")
 
 
 def layered(keys: list[Column], table: Column) -> Column:

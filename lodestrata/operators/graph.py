@@ -5,20 +5,18 @@ Extractors give nodes as NODE and edges as EDGE; the operators here need the col
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.functions.ranking import running
 from lodestrata.functions.tables import cut, drop
 
 NODE = "id string, kind string, name string, file string, start_line int, end_line int, raw_text string, attributes map<string,string>, ord long"
 EDGE = "source string, target string, kind string, evidence string, attributes map<string,string>, ord long"
-#: A graph of no more distinct edges than this is walked in one task; about 100 MB of names.
-ONE_TASK_EDGES = 1_000_000
 
 
 def union_all(parts: Iterable[DataFrame]) -> DataFrame:
@@ -120,6 +118,67 @@ def closure(edges: DataFrame, roots: DataFrame, kinds: Iterable[str] | None = No
     return seen if include_root else seen.where("root <> node")
 
 
+def reaching(edges: DataFrame, targets: DataFrame, kinds: Iterable[str] | None = None) -> DataFrame:
+    """(node): all nodes from which one of ``targets`` (node) is reached, and the targets.
+
+    One frontier goes backward from all targets at once, so a node is a row once, in whatever number of them it ends; no
+    pairs are made.
+    """
+    back = cut(of_kinds(edges, kinds).select(F.col("target").alias("node"), F.col("source").alias("before")).distinct())
+    seen = frontier = cut(targets.select("node").distinct())
+    while True:
+        found = frontier.join(back, "node").select(F.col("before").alias("node")).distinct()
+        frontier = cut(found.join(seen, "node", "left_anti"))
+        if frontier.isEmpty():
+            return seen
+        seen = seen.unionByName(frontier)
+
+
+def forest_order(nodes: DataFrame, edges: DataFrame, kinds: Iterable[str] = ("contains",)) -> DataFrame:
+    """(id, root, place, height, size): depth-first order of a forest, children before parents; place counts from 0 within a tree.
+
+    Children come in the order of their edges, then of their ids. No task holds a tree: nodes are numbered from the sizes
+    of subtrees, which are added up level by level from below, and the sizes of the siblings before, which are running
+    sums over ranges, so that neither a large tree nor a node of many children is one task's. Rounds are as many as the
+    forest is high. A node with two parents, or on a cycle, is refused.
+    """
+    e = of_kinds(edges, kinds).where("source <> target").groupBy("source", "target").agg(F.min("ord").alias("ord"))
+    e = cut(e.select(F.col("source").alias("parent"), F.col("target").alias("id"), "ord"))
+    two = e.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").head()
+    if two is not None:
+        raise ValueError(f"{two['id']} has {two['n']} parents")
+    every = cut(nodes.select("id").distinct())
+    top = every.join(e.select("id"), "id", "left_anti").select(F.lit(None).cast("string").alias("parent"), "id", F.lit(0).cast("long").alias("ord"), F.col("id").alias("root"))
+    levels = [cut(top)]
+    while True:
+        below = cut(levels[-1].select(F.col("id").alias("parent"), "root").join(e, "parent").select("parent", "id", "ord", "root"))
+        if below.isEmpty():
+            break
+        levels.append(below)
+    if sum(x.count() for x in levels) < every.count():
+        raise ValueError("the graph has a cycle")
+    sized, below = [], None
+    for level in reversed(levels):
+        one = level.withColumns({"size": F.lit(1).cast("long"), "height": F.lit(0)})
+        if below is not None:
+            add = below.groupBy(F.col("parent").alias("id")).agg((F.sum("size") + 1).alias("more"), (F.max("height") + 1).alias("up"))
+            one = level.join(add, "id", "left").select("parent", "id", "ord", "root", F.coalesce("more", F.lit(1)).alias("size"), F.coalesce("up", F.lit(0)).alias("height"))
+        below = cut(one)
+        sized.append(below)
+    out, above = None, None
+    for level in reversed(sized):
+        if above is None:
+            begun = level.withColumn("begin", F.lit(0).cast("long"))
+        else:
+            run = running(level, "upto", "size", ["ord", "id"], ("parent",))
+            begun = run.join(above, "parent").select("parent", "id", "ord", "root", "size", "height", (F.col("first") + F.col("upto") - F.col("size")).alias("begin"))
+        begun = cut(begun)
+        above = begun.select(F.col("id").alias("parent"), F.col("begin").alias("first"))
+        placed = begun.select("id", "root", (F.col("begin") + F.col("size") - 1).alias("place"), "height", "size")
+        out = placed if out is None else out.unionByName(placed)
+    return out
+
+
 def ancestors(edges: DataFrame, nodes: DataFrame, kinds: Iterable[str] | None = None) -> DataFrame:
     """(root, node): nodes that reach root. On a cycle a node is its own ancestor."""
     swapped = of_kinds(edges, kinds).select(F.col("target").alias("source"), F.col("source").alias("target"), "kind")
@@ -133,50 +192,14 @@ def roots(nodes: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
     return nodes.join(edges.where(F.col("kind") == kind).select(F.col("target").alias("id")), "id", "left_anti")
 
 
-def _small(edges: DataFrame) -> bool:
-    return edges.limit(ONE_TASK_EDGES + 1).count() <= ONE_TASK_EDGES
-
-
-def _in_one_task(edges: DataFrame, walk: Callable[[np.ndarray, np.ndarray, int], np.ndarray], name: str) -> DataFrame:
-    """(id, name long) by ``walk`` (sources, targets, number of nodes) over a graph whose size has been checked; nodes are numbered in order of their ids."""
-
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        ids, at = np.unique(np.concatenate([own["source"].to_numpy(str), own["target"].to_numpy(str)]), return_inverse=True)
-        got = walk(at[: len(own)], at[len(own) :], len(ids))
-        return pd.DataFrame({"id": ids, name: got})
-
-    return edges.select("source", "target", F.lit(0).alias("all")).groupBy("all").applyInPandas(lambda own: run(own), f"id string, {name} long")
-
-
-def _levels(source: np.ndarray, target: np.ndarray, n: int) -> np.ndarray:
-    """Heights by peeling nodes whose successors are all done; -1 on cycles and above them."""
-    order = np.argsort(target, kind="stable")
-    starts = np.searchsorted(target[order], np.arange(n + 1))
-    before = source[order]
-    open_, height = np.bincount(source, minlength=n), np.full(n, -1, dtype=np.int64)
-    now, level = np.flatnonzero(open_ == 0), 0
-    while len(now):
-        height[now] = level
-        found = np.concatenate([before[starts[i] : starts[i + 1]] for i in now]) if len(now) else now
-        np.subtract.at(open_, found, 1)
-        found = np.unique(found)
-        now, level = found[open_[found] == 0], level + 1
-    return height
-
-
 def heights(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, height) of an acyclic graph: 0 without successors, else one more than the highest successor.
 
-    A graph of checked size is peeled in one task; beyond it, one round a level, which needs no more than an
-    anti-join each. Processing by height is a post-order (children before parents).
+    One round a level, which needs no more than an anti-join each. Processing by height is a post-order (children
+    before parents). A graph with cycles is condensed first.
     """
     step = cut(edges.select("source", "target").where("source <> target").distinct())
     every = nodes.select("id").distinct()
-    if _small(step):
-        got = cut(_in_one_task(step, _levels, "height"))
-        if not got.where("height < 0").isEmpty():
-            raise ValueError("the graph has a cycle")
-        return every.join(got, "id", "left").select("id", F.coalesce("height", F.lit(0)).cast("int").alias("height"))
     left = cut(every)
     done, level = None, 0
     while True:
@@ -251,56 +274,14 @@ def dataflow(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return lifted.groupBy("program", "target").agg(F.max("kind").alias("kind"))
 
 
-def _components(source: np.ndarray, target: np.ndarray, n: int) -> np.ndarray:
-    """The number of each node's strongly connected component: one walk with a stack of open nodes."""
-    order = np.argsort(source, kind="stable")
-    starts = np.searchsorted(source[order], np.arange(n + 1)).tolist()
-    after = target[order].tolist()
-    index, low, part = [-1] * n, [0] * n, [-1] * n
-    open_: list[int] = []
-    count = parts = 0
-    for root in range(n):
-        if index[root] >= 0:
-            continue
-        index[root] = low[root] = count
-        count += 1
-        open_.append(root)
-        walk = [(root, starts[root])]
-        while walk:
-            node, at = walk.pop()
-            if at < starts[node + 1]:
-                walk.append((node, at + 1))
-                child = after[at]
-                if index[child] < 0:
-                    index[child] = low[child] = count
-                    count += 1
-                    open_.append(child)
-                    walk.append((child, starts[child]))
-                elif part[child] < 0:
-                    low[node] = min(low[node], index[child])
-                continue
-            if low[node] == index[node]:
-                while part[node] < 0:
-                    part[open_.pop()] = parts
-                parts += 1
-            if walk:
-                up = walk[-1][0]
-                low[up] = min(low[up], low[node])
-    return np.array(part, dtype=np.int64)
-
-
 def strongly_connected(edges: DataFrame) -> DataFrame:
     """(id, cluster) of all nodes of a simple digraph: the least member's name for larger components, else the node itself.
 
-    A graph of checked size is walked in one task. Beyond it, nodes outside of cycles are trimmed first, a layer of sources and sinks a round; only what is left, the
-    cyclic cores, takes more: colors that spread along the edges and back, whose joins carry an edge once a
-    round, not the pairs of nodes that reach each other.
+    Nodes outside of cycles are trimmed first, a layer of sources and sinks a round; only what is left, the cyclic
+    cores, takes more: colors that spread along the edges and back, whose joins carry an edge once a round, not the pairs of
+    nodes that reach each other. All components of a core are found at once.
     """
     step = cut(edges.select("source", "target").where("source <> target").distinct())
-    if _small(step):
-        number = cut(_in_one_task(step, _components, "part"))
-        larger = number.groupBy("part").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
-        return number.join(larger, "part", "left").select("id", F.coalesce(F.concat(F.lit("cluster-"), "least"), "id").alias("cluster"))
     every = step.select(F.col("source").alias("id")).union(step.select("target")).distinct()
     core = step
     while True:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.functions.ranking import numbered, running
 from lodestrata.operators.fixed import (
     BOUNDARY, COMPLEXITY, FALLBACK, FOREIGN_MARKERS, INFRA_DD, KEY_LINES, LOCAL, PRICING, SCORED_IDENTITY, SCORED_KEYS, SCORED_SDK, SCORED_TARGET,
     SYMBOLS, TARGET_DECORATOR,
 )
-from lodestrata.operators.graph import closure
+from lodestrata.operators.graph import closure, forest_order, reaching
+
 
 def line_count(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
@@ -118,17 +120,17 @@ def compressed_history(turns: DataFrame, keep_full: int = 3, percent: int = 30,
 
 
 def inline_within(files: DataFrame, each: int = 15_000, total: int = 40_000) -> DataFrame:
-    """(unit, path, size, included): smallest first; too large ones and those past the total are left out."""
-    fits = F.when(F.col("size") <= each, F.col("size")).otherwise(0)
-    run = F.sum(fits).over(Window.partitionBy("unit").orderBy("size", "path").rowsBetween(Window.unboundedPreceding, 0))
-    return files.select("unit", "path", "size", ((F.col("size") <= each) & (run <= total)).alias("included"))
+    """(unit, path, size, included): smallest first; too large ones and those past the total are left out. A unit of any number of files is many tasks."""
+    fits = files.select("unit", "path", "size", F.when(F.col("size") <= each, F.col("size")).otherwise(0).cast("long").alias("fits"))
+    run = running(fits, "run", "fits", ["size", "path"], ("unit",))
+    return run.select("unit", "path", "size", ((F.col("size") <= each) & (F.col("run") <= total)).alias("included"))
 
 
 def paragraph_budget(parts: DataFrame, each: int = 4_000, total: int = 30_000) -> DataFrame:
-    """(unit, pos, taken): in order, each part cut to ``each`` and to what is left of ``total``."""
-    want = F.least(F.col("size"), F.lit(each))
-    before = F.coalesce(F.sum(want).over(Window.partitionBy("unit").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return parts.select("unit", "pos", F.greatest(F.lit(0), F.least(want, total - before)).cast("long").alias("taken"))
+    """(unit, pos, taken): in order, each part cut to ``each`` and to what is left of ``total``. A unit of any number of parts is many tasks."""
+    want = parts.select("unit", "pos", F.least(F.col("size"), F.lit(each)).cast("long").alias("want"))
+    run = running(want, "run", "want", ["pos"], ("unit",))
+    return run.select("unit", "pos", F.greatest(F.lit(0), F.least("want", total - F.col("run") + F.col("want"))).cast("long").alias("taken"))
 
 
 def paragraph_texts(nodes: DataFrame, each: int = 4_000, total: int = 30_000) -> DataFrame:
@@ -190,9 +192,8 @@ def cost_halt(calls: DataFrame, budget: float) -> DataFrame:
 
     Costs are taken in whole micro-dollars of a cent's thousandth, so sums don't depend on their order.
     """
-    micro = F.round(F.col("usd") * 1e9).cast("long")
-    run = F.sum(micro).over(Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    over = priced(calls).select("run_id", "seq", run.alias("total")).where(F.col("total") >= int(budget * 1e9))
+    micro = priced(calls).select("run_id", "seq", F.round(F.col("usd") * 1e9).cast("long").alias("micro"))
+    over = running(micro, "total", "micro", ["seq"], ("run_id",)).where(F.col("total") >= int(budget * 1e9))
     return over.groupBy("run_id").agg(F.min("seq").alias("halt_seq"), F.round(F.min("total") / 1e9, 6).alias("charged_usd"))
 
 
@@ -251,28 +252,38 @@ def latest_by_key(entries: DataFrame) -> DataFrame:
 
 
 def summary_plan(nodes: DataFrame, cache: DataFrame, most: int | None = None, roots: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
-    """(id, key, needs_chunks): nodes (id, raw_text, name, kind, summary, prompt) without a summary and not in the cache (key).
+    """(id, key, needs_chunks, place): nodes (id, raw_text, name, kind, summary, prompt) without a summary and not in the cache (key), and their turns from 1.
 
-    ``most`` fresh ones by id, of which 0 are none; with ``roots`` (root), those and what they contain only.
+    With ``edges`` (source, target, kind, ord) turns follow the trees of contains edges, tree by tree in the order of the roots' ids, what a node contains
+    before it; else ids. ``most`` fresh ones are taken, of which 0 are none; what is in the cache doesn't count. With ``roots``
+    (root), those and what they contain only, in whose order each node comes once.
     """
-    own = nodes
-    if roots is not None:
-        own = own.join(closure(edges, roots, ["contains"], include_root=True).select(F.col("node").alias("id")).distinct(), "id", "left_semi")
+    own = nodes.select("id", "raw_text", "name", "kind", "prompt", "summary")
+    if edges is not None:
+        order = forest_order(nodes.select("id"), edges)
+        if roots is not None:
+            top = roots.select(F.col("root").alias("node")).distinct()
+            held = closure(edges, top.select(F.col("node").alias("root")), ["contains"], include_root=True).select(F.col("node").alias("id")).distinct()
+            order = order.join(held, "id", "left_semi")
+        own = own.join(order.select("id", "root", F.col("place").alias("at")), "id")
+    else:
+        own = own.withColumns({"root": F.col("id"), "at": F.lit(0).cast("long")})
     key = cache_key(F.col("id"), F.col("raw_text"), F.col("name"), F.col("kind"), F.col("prompt"))
-    todo = own.where("summary is null").withColumn("key", key).join(cache.select("key"), "key", "left_anti")
-    todo = todo.select("id", "key", (estimated_tokens(F.col("raw_text"), F.lit("medium")) > 80_000).alias("needs_chunks"))
-    return todo if most is None else todo.orderBy("id").limit(most)
+    todo = own.where("summary is null").withColumn("key", key).join(cache.select("key").distinct(), "key", "left_anti")
+    todo = todo.select("id", "key", (estimated_tokens(F.col("raw_text"), F.lit("medium")) > 80_000).alias("needs_chunks"), "root", "at")
+    placed = numbered(todo, "place", ["root", "at", "id"]).drop("root", "at")
+    return placed if most is None else placed.where(F.col("place") <= most)
 
 
 def target_style(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(program, style) of programs among nodes (id, kind, name, callable) by edges (source, target, kind).
 
     A program that reaches a transaction call by contains and calls is cics; else one that is callable a subroutine;
-    else one with a step batch; else a subroutine.
+    else one with a step batch; else a subroutine. What reaches a transaction is found backward from all of them, a row a node.
     """
     own = nodes.where("kind = 'program'").select(F.col("id").alias("root"), F.col("name").alias("program"), F.coalesce("callable", F.lit(False)).alias("callable"))
-    reached = closure(edges, own.select("root"), ["contains", "calls"])
-    talks = reached.join(nodes.where("kind = 'txn_call'").select(F.col("id").alias("node")), "node", "left_semi").select("root").distinct().withColumn("talks", F.lit(True))
+    reached = reaching(edges, nodes.where("kind = 'txn_call'").select(F.col("id").alias("node")), ["contains", "calls"])
+    talks = reached.select(F.col("node").alias("root"), F.lit(True).alias("talks"))
     steps = edges.where("kind = 'step_of'").select(F.col("source").alias("root")).distinct().withColumn("steps", F.lit(True))
     style = F.when(F.col("talks"), "cics").when(F.col("callable"), "subroutine").when(F.col("steps"), "batch").otherwise("subroutine")
     return own.join(talks, "root", "left").join(steps, "root", "left").select("program", style.alias("style"))

@@ -59,14 +59,25 @@ def kg_edges(spark: SparkSession, sf: str) -> DataFrame:
     ])
 
 
-def unit_edges(spark: SparkSession, sf: str, acyclic: bool = False) -> DataFrame:
-    """(source, target): supplier to supplier, by each line item's supplier and part; dense, with one large cycle unless ``acyclic``."""
+def unit_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """(source, target): supplier to supplier, by each line item's supplier and part; dense, with one large cycle."""
     n = table(spark, sf, "supplier").agg(F.count("*").alias("n"))
-    e = table(spark, sf, "lineitem").join(F.broadcast(n)).select(F.col("l_suppkey").alias("source"), (F.col("l_partkey") % F.col("n")).alias("target"))
-    e = e.where("source > target" if acyclic else "source <> target").distinct()
+    e = table(spark, sf, "lineitem").join(F.broadcast(n)).select(F.col("l_suppkey").alias("source"), (F.col("l_partkey") % F.col("n")).alias("target")).where("source <> target").distinct()
     return e.select(F.format_string("u%06d", "source").alias("source"), F.format_string("u%06d", "target").alias("target"))
 
 
+def cluster_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """(source, target, ord): all line items as edges within twelve suppliers each, which form cycles of one, two, three and six that need each other in this order.
+
+    Of the last twelve, some are no suppliers.
+    """
+    s, t = F.col("l_suppkey") % 12, F.col("l_partkey") % 12
+    level = lambda x: F.when(x < 1, 0).when(x < 3, 1).when(x < 6, 2).otherwise(3)
+    turned, base = level(s) < level(t), F.col("l_suppkey") - s
+    unit = lambda x: F.format_string("u%06d", base + x)
+    return table(spark, sf, "lineitem").select(unit(F.when(turned, t).otherwise(s)).alias("source"), unit(F.when(turned, s).otherwise(t)).alias("target"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
+
+
 def units(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "supplier").select(F.format_string("u%06d", "s_suppkey").alias("unit_id"))
 
@@ -136,7 +147,12 @@ seams AS (SELECT kind, name, n_programs, n_readers, n_writers, round(o, 3) AS ob
 UNIT_EDGES_SQL = """
 ue AS (SELECT DISTINCT printf('u%06d', l_suppkey) AS source, printf('u%06d', l_partkey % (SELECT count(*) FROM supplier)) AS target FROM lineitem
   WHERE l_suppkey <> l_partkey % (SELECT count(*) FROM supplier)),
-dag AS (SELECT * FROM ue WHERE source > target),
+units AS (SELECT printf('u%06d', s_suppkey) AS unit_id FROM supplier)"""
+_LEVEL = "CASE WHEN {0} < 1 THEN 0 WHEN {0} < 3 THEN 1 WHEN {0} < 6 THEN 2 ELSE 3 END"
+CLUSTER_EDGES_SQL = f"""
+lc AS (SELECT l_suppkey - l_suppkey % 12 AS base, l_suppkey % 12 AS s, l_partkey % 12 AS t, l_orderkey * 10 + l_linenumber AS ord FROM lineitem),
+allce AS (SELECT printf('u%06d', base + CASE WHEN {_LEVEL.format('s')} < {_LEVEL.format('t')} THEN t ELSE s END) AS source, printf('u%06d', base + CASE WHEN {_LEVEL.format('s')} < {_LEVEL.format('t')} THEN s ELSE t END) AS target, ord FROM lc),
+ue AS (SELECT DISTINCT source, target FROM allce WHERE source <> target),
 units AS (SELECT printf('u%06d', s_suppkey) AS unit_id FROM supplier)"""
 CALLS_SQL = """
 calls AS (SELECT printf('u%06d', l_suppkey) AS unit_id, ['sqs', 'sns', 'dynamodb', 's3', 'eventbridge'][(l_orderkey + l_linenumber) % 5 + 1] AS service,

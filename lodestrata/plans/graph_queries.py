@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.tables import cut
 from lodestrata.operators import crud, depgraph, graph, metrics
-from lodestrata.plans.estate import CALLS_SQL, EDGES_SQL, MATRIX_SQL, NODES_SQL, SEAMS_SQL, UNIT_EDGES_SQL, kg_edges, kg_nodes, service_calls, table, unit_edges, units
+from lodestrata.plans.estate import CALLS_SQL, CLUSTER_EDGES_SQL, EDGES_SQL, MATRIX_SQL, NODES_SQL, SEAMS_SQL, UNIT_EDGES_SQL, cluster_edges, kg_edges, kg_nodes, service_calls, table, unit_edges, units
 
 KINDS = ["dataset", "file", "sql_block", "txn", "unknown"]
 _matrix = lambda s, d: crud.crud_matrix(kg_nodes(s, d), kg_edges(s, d))
@@ -38,7 +38,7 @@ def _programs(s, d):
 
 def _waves(s, d, scored=False):
     scores = units(s, d).withColumn("seam_score", (F.substring("unit_id", 2, 9).cast("int") % 7) / 7) if scored else None
-    return depgraph.waves(units(s, d), unit_edges(s, d, acyclic=True), scores)
+    return depgraph.waves(units(s, d), cluster_edges(s, d), scores)
 
 
 def _context_paths(s, d):
@@ -46,6 +46,27 @@ def _context_paths(s, d):
     return depgraph.context_paths(edges, unit_files(s, d)).select("unit_id", F.array_join("paths", ",").alias("paths"))
 
 
+def _condensed_heights(s, d):
+    """Heights of the clusters of units, whose edges are those between clusters."""
+    e = cut(cluster_edges(s, d).select("source", "target").distinct())
+    clusters = cut(graph.strongly_connected(e))
+    return graph.heights(clusters.select(F.col("cluster").alias("id")), depgraph.condensation(e, clusters))
+
+
+def _forest(s, d):
+    """Regions, nations, suppliers and their paragraphs as trees, in the order in which children come before parents."""
+    n, p = table(s, d, "nation"), table(s, d, "supplier")
+    of = lambda form, c: F.format_string(form, c)
+    edge = lambda df, a, b, o: df.select(a.alias("source"), b.alias("target"), F.lit("contains").alias("kind"), o.cast("long").alias("ord"))
+    paragraphs = table(s, d, "lineitem").select("l_suppkey", "l_linenumber").distinct()
+    e = graph.union_all([
+        edge(n, of("r%d", "n_regionkey"), of("n%d", "n_nationkey"), -F.col("n_nationkey")), edge(p, of("n%d", "s_nationkey"), of("s%d", "s_suppkey"), F.col("s_suppkey") % 5),
+        edge(paragraphs, of("s%d", "l_suppkey"), F.format_string("p%d.%d", "l_suppkey", "l_linenumber"), F.col("l_linenumber")),
+    ])
+    ids = graph.union_all([table(s, d, "region").select(of("r%d", "r_regionkey").alias("id")), e.select(F.col("target").alias("id"))])
+    return graph.forest_order(ids, e).select("id", "root", "place", "size")
+
+
 def unit_files(s, d):
     """(unit_id, path, ord): a file a supplier, shared by those of a nation."""
     path = F.format_string("src/%s.py", F.col("s_nationkey").cast("string"))
@@ -91,7 +112,9 @@ QUERIES = {
     "kg_descendants": lambda s, d: graph.closure(kg_edges(s, d), _programs(s, d), ["contains", "reads", "step_of", "dd_of"]),
     "kg_ancestors": lambda s, d: graph.ancestors(kg_edges(s, d), table(s, d, "region").select(F.format_string("dsn:%d", "r_regionkey").alias("root")), ["step_of", "dd_of"]),
     "kg_roots": lambda s, d: graph.roots(kg_nodes(s, d), kg_edges(s, d), "contains").select("id", "kind"),
-    "kg_post_order": lambda s, d: graph.heights(units(s, d).select(F.col("unit_id").alias("id")), unit_edges(s, d, acyclic=True)),
+    "kg_post_order": _condensed_heights,
+    "kg_forest_order": _forest,
+    "kg_reaching": lambda s, d: graph.reaching(kg_edges(s, d), kg_nodes(s, d).where("kind = 'txn_call'").select(F.col("id").alias("node")), ["contains", "calls", "writes"]),
     "centrality": lambda s, d: graph.centrality(kg_nodes(s, d), kg_edges(s, d)),
     "centrality_top": lambda s, d: graph.centrality(kg_nodes(s, d), kg_edges(s, d), 10),
     "call_graph": lambda s, d: graph.call_graph(kg_nodes(s, d), kg_edges(s, d)),
@@ -103,7 +126,8 @@ QUERIES = {
     "import_edges": lambda s, d: depgraph.import_edges(table(s, d, "lineitem").select(F.format_string("u%06d", "l_suppkey").alias("unit_id"), F.when(F.col("l_linenumber") == 1, "").otherwise(F.format_string("u%06d.m%d", F.col("l_partkey") % 150, "l_linenumber")).alias("module"), (F.col("l_quantity") > 25).alias("is_external")), units(s, d)),
     "call_hints": lambda s, d: depgraph.call_hints(table(s, d, "lineitem").select(F.format_string("u%06d", "l_suppkey").alias("caller"), F.format_string("u%06d", F.col("l_partkey") % 150).alias("callee")), units(s, d)),
     "scc": lambda s, d: graph.strongly_connected(unit_edges(s, d)),
-    "condensation": lambda s, d: depgraph.condensation(unit_edges(s, d), graph.strongly_connected(unit_edges(s, d))),
+    "scc_clusters": lambda s, d: graph.strongly_connected(cluster_edges(s, d)),
+    "condensation": lambda s, d: depgraph.condensation(cluster_edges(s, d), graph.strongly_connected(cluster_edges(s, d))),
     "waves": _waves,
     "waves_by_seam": lambda s, d: _waves(s, d, True),
     "acceptance_counts": lambda s, d: depgraph.acceptance(units(s, d), table(s, d, "lineitem").select(F.format_string("u%06d", "l_suppkey").alias("source"), F.when(F.col("l_partkey") % 3 > 0, F.format_string("u%06d", F.col("l_partkey") % 100)).alias("target"))),
@@ -117,8 +141,10 @@ _CLOSE = "r AS (SELECT DISTINCT source AS root, source AS node FROM {e} UNION SE
 _SCC = """plus AS (SELECT DISTINCT source AS root, target AS node FROM ue UNION SELECT p.root, e.target FROM plus p JOIN ue e ON e.source = p.node),
 scc AS (SELECT n.id, CASE WHEN m.least IS NULL THEN n.id ELSE 'cluster-' || m.least END AS cluster FROM (SELECT source AS id FROM ue UNION SELECT target FROM ue) n
   LEFT JOIN (SELECT a.root, least(min(a.node), a.root) AS least FROM plus a JOIN plus b ON a.root = b.node AND a.node = b.root WHERE a.root <> a.node GROUP BY a.root) m ON m.root = n.id)"""
-_LEVELS = """depth AS (SELECT unit_id AS id, 0 AS h FROM units UNION SELECT e.source, d.h + 1 FROM depth d JOIN dag e ON e.target = d.id),
-lv AS (SELECT id, max(h) AS height FROM depth GROUP BY id)"""
+_LEVELS = f"""{_SCC}, cu AS (SELECT unit_id AS id, coalesce(cluster, unit_id) AS cluster FROM units LEFT JOIN scc ON id = unit_id),
+dag AS (SELECT DISTINCT a.cluster AS source, b.cluster AS target FROM ue JOIN cu a ON a.id = ue.source JOIN cu b ON b.id = ue.target WHERE a.cluster <> b.cluster),
+depth AS (SELECT cluster AS id, 0 AS h FROM cu UNION SELECT e.source, d.h + 1 FROM depth d JOIN dag e ON e.target = d.id),
+lv AS (SELECT cu.id, cluster, max(h) AS height FROM depth JOIN cu ON cu.cluster = depth.id GROUP BY cu.id, cluster)"""
 
 ORACLES = {
     "crud_matrix": f"{_W} SELECT {_flags} FROM matrix",
@@ -165,7 +191,14 @@ SELECT kind, name, concat_ws(chr(10), 'Touched by ' || n || ' programs', 'Reader
     "kg_descendants": f"WITH RECURSIVE {NODES_SQL}, {EDGES_SQL}, e AS (SELECT DISTINCT source, target FROM kg_edges WHERE kind IN ('contains', 'reads', 'step_of', 'dd_of')), r AS (SELECT 'prog:' || s_suppkey AS root, 'prog:' || s_suppkey AS node FROM supplier UNION SELECT r.root, e.target FROM r JOIN e ON e.source = r.node) SELECT root, node FROM r WHERE root <> node",
     "kg_ancestors": f"WITH RECURSIVE {NODES_SQL}, {EDGES_SQL}, e AS (SELECT DISTINCT source, target FROM kg_edges WHERE kind IN ('step_of', 'dd_of')), r AS (SELECT 'dsn:' || r_regionkey AS root, 'dsn:' || r_regionkey AS node FROM region UNION SELECT r.root, e.source FROM r JOIN e ON e.target = r.node) SELECT root, node FROM r WHERE root <> node",
     "kg_roots": f"{_G} SELECT id, kind FROM kg_nodes WHERE id NOT IN (SELECT target FROM kg_edges WHERE kind = 'contains')",
-    "kg_post_order": f"WITH RECURSIVE {UNIT_EDGES_SQL}, {_LEVELS} SELECT id, height FROM lv",
+    "kg_post_order": f"""WITH RECURSIVE {CLUSTER_EDGES_SQL}, {_SCC}, dag AS (SELECT DISTINCT a.cluster AS source, b.cluster AS target FROM ue JOIN scc a ON a.id = ue.source JOIN scc b ON b.id = ue.target WHERE a.cluster <> b.cluster),
+depth AS (SELECT cluster AS id, 0 AS h FROM scc UNION SELECT e.source, d.h + 1 FROM depth d JOIN dag e ON e.target = d.id) SELECT id, max(h) AS height FROM depth GROUP BY id""",
+    "kg_forest_order": """WITH p AS (SELECT DISTINCT l_suppkey AS s, l_linenumber AS l FROM lineitem), x AS (SELECT 's' || s_suppkey AS s, 'n' || s_nationkey AS n, s_suppkey % 5 AS o, 'r' || n_regionkey AS r, -n_nationkey AS a FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+every AS (SELECT 0 AS kind, 'r' || r_regionkey AS id, 'r' || r_regionkey AS root, 999 AS a, 999 AS o, '~' AS s, 999 AS l FROM region UNION ALL SELECT 1, 'n' || n_nationkey, 'r' || n_regionkey, -n_nationkey, 999, '~', 999 FROM nation
+  UNION ALL SELECT 2, s, r, a, o, s, 999 FROM x UNION ALL SELECT 3, 'p' || p.s || '.' || l, r, a, o, x.s, l FROM p JOIN x ON x.s = 's' || p.s)
+SELECT id, root, row_number() OVER (PARTITION BY root ORDER BY a, o, s, l) - 1 AS place,
+  CASE kind WHEN 0 THEN count(*) OVER (PARTITION BY root) WHEN 1 THEN count(*) OVER (PARTITION BY root, a) WHEN 2 THEN count(*) OVER (PARTITION BY root, a, o, s) ELSE 1 END AS size FROM every""",
+    "kg_reaching": f"WITH RECURSIVE {NODES_SQL}, {EDGES_SQL}, r AS (SELECT id AS node FROM kg_nodes WHERE kind = 'txn_call' UNION SELECT e.source FROM r JOIN kg_edges e ON e.target = r.node WHERE e.kind IN ('contains', 'calls', 'writes')) SELECT node FROM r",
     "centrality": f"{_G} SELECT n.id, n.name, ((SELECT coalesce(sum(CASE e.kind WHEN 'step_of' THEN 2 WHEN 'contains' THEN 1 ELSE 0 END), 0) FROM kg_edges e WHERE e.source = n.id) + 3 * (SELECT count(*) FROM kg_edges e WHERE e.kind = 'calls' AND e.target = n.id))::BIGINT AS score FROM kg_nodes n WHERE n.kind = 'program'",
     "centrality_top": f"{_G}, c AS (SELECT n.id, n.name, ((SELECT coalesce(sum(CASE e.kind WHEN 'step_of' THEN 2 WHEN 'contains' THEN 1 ELSE 0 END), 0) FROM kg_edges e WHERE e.source = n.id) + 3 * (SELECT count(*) FROM kg_edges e WHERE e.kind = 'calls' AND e.target = n.id))::BIGINT AS score FROM kg_nodes n WHERE n.kind = 'program') SELECT * FROM c ORDER BY score DESC, name LIMIT 10",
     "call_graph": f"""{_G} SELECT source AS program, source, target, kind FROM kg_edges WHERE kind = 'step_of'
@@ -178,9 +211,10 @@ UNION SELECT c.source, f.source, f.target, f.kind FROM kg_edges f JOIN kg_edges
     "import_edges": f"WITH {UNIT_EDGES_SQL} SELECT printf('u%06d', l_suppkey) AS source_unit, printf('u%06d', l_partkey % 150) AS target_unit FROM lineitem WHERE l_linenumber <> 1 AND l_quantity <= 25 AND l_suppkey <> l_partkey % 150 AND l_partkey % 150 IN (SELECT s_suppkey FROM supplier)",
     "call_hints": "SELECT DISTINCT printf('u%06d', l_suppkey) AS caller, printf('u%06d', l_partkey % 150) AS callee FROM lineitem WHERE l_partkey % 150 IN (SELECT s_suppkey FROM supplier)",
     "scc": f"WITH RECURSIVE {UNIT_EDGES_SQL}, {_SCC} SELECT id, cluster FROM scc",
-    "condensation": f"WITH RECURSIVE {UNIT_EDGES_SQL}, {_SCC} SELECT DISTINCT a.cluster AS source, b.cluster AS target FROM ue JOIN scc a ON a.id = ue.source JOIN scc b ON b.id = ue.target WHERE a.cluster <> b.cluster",
-    "waves": f"WITH RECURSIVE {UNIT_EDGES_SQL}, {_LEVELS} SELECT id AS unit_id, id AS cluster, height + 1 AS wave, (row_number() OVER (PARTITION BY height ORDER BY id))::INTEGER AS pos FROM lv",
-    "waves_by_seam": f"WITH RECURSIVE {UNIT_EDGES_SQL}, {_LEVELS} SELECT id AS unit_id, id AS cluster, height + 1 AS wave, (row_number() OVER (PARTITION BY height ORDER BY substr(id, 2)::INTEGER % 7 DESC, id))::INTEGER AS pos FROM lv",
+    "scc_clusters": f"WITH RECURSIVE {CLUSTER_EDGES_SQL}, {_SCC} SELECT id, cluster FROM scc",
+    "condensation": f"WITH RECURSIVE {CLUSTER_EDGES_SQL}, {_SCC} SELECT DISTINCT a.cluster AS source, b.cluster AS target FROM ue JOIN scc a ON a.id = ue.source JOIN scc b ON b.id = ue.target WHERE a.cluster <> b.cluster",
+    "waves": f"WITH RECURSIVE {CLUSTER_EDGES_SQL}, {_LEVELS} SELECT id AS unit_id, cluster, height + 1 AS wave, (row_number() OVER (PARTITION BY height ORDER BY id))::INTEGER AS pos FROM lv",
+    "waves_by_seam": f"WITH RECURSIVE {CLUSTER_EDGES_SQL}, {_LEVELS} SELECT id AS unit_id, cluster, height + 1 AS wave, (row_number() OVER (PARTITION BY height ORDER BY substr(id, 2)::INTEGER % 7 DESC, id))::INTEGER AS pos FROM lv",
     "acceptance_counts": f"WITH {UNIT_EDGES_SQL}, e AS (SELECT printf('u%06d', l_suppkey) AS source, CASE WHEN l_partkey % 3 > 0 THEN printf('u%06d', l_partkey % 100) END AS target FROM lineitem), c AS (SELECT unit_id, (SELECT count(*) FROM e WHERE target = unit_id) AS n_in, (SELECT count(*) FROM e WHERE source = unit_id) AS n_out FROM units) SELECT *, 'Migrate ' || unit_id || ' preserving its public contract. Cross-unit edges: ' || n_in || ' inbound, ' || n_out || ' outbound. All unit tests must pass. No new deprecated APIs. Rubrics green.' AS criteria FROM c",
     "context_paths": f"WITH {UNIT_EDGES_SQL}, p AS (SELECT source AS unit_id, 'src/' || s_nationkey || '.py' AS path, min(target) AS seen FROM ue JOIN supplier ON printf('u%06d', s_suppkey) = target GROUP BY 1, 2) SELECT unit_id, string_agg(path, ',' ORDER BY seen, path) AS paths FROM p GROUP BY 1",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.tables import shared_path
 from lodestrata.operators import business, depgraph, dualrun, graph, metrics
-from lodestrata.plans.estate import CALLS_SQL, EDGES_SQL, NODES_SQL, UNIT_EDGES_SQL, kg_edges, kg_nodes, service_calls, table, unit_edges, units
+from lodestrata.plans.estate import CALLS_SQL, CLUSTER_EDGES_SQL, EDGES_SQL, NODES_SQL, UNIT_EDGES_SQL, cluster_edges, kg_edges, kg_nodes, service_calls, table, units
 from lodestrata.plans.graph_queries import _LEVELS, unit_files
 from lodestrata.plans.text_queries import _FIELDS, _fields, _fixtures
 from lodestrata.sources import files, renders, tree
@@ -62,7 +62,7 @@ def _graph(s, d):
 
 
 def _backlog(s, d):
-    e = unit_edges(s, d, acyclic=True).withColumn("ord", F.substring("target", 2, 9).cast("long"))
+    e = cluster_edges(s, d).where("source <> target").groupBy("source", "target").agg(F.min("ord").alias("ord"))
     level = units(s, d).where("cast(substr(unit_id, 2) as int) % 3 > 0").select("unit_id", F.when(F.substring("unit_id", 7, 1) == "1", "LOW").otherwise("HIGH").alias("level"))
     scores = units(s, d).withColumn("seam_score", (F.substring("unit_id", 2, 9).cast("int") % 7) / 7)
     b = depgraph.backlog(units(s, d), e, unit_files(s, d), level, scores)
@@ -201,9 +201,12 @@ def _filings(s, d):
 
 
 def _planned_below(s, d):
+    """Summaries to be made of all programs and what they contain, bottom-up, without what is done or in the cache."""
     n = kg_nodes(s, d).select("id", F.lit("text").alias("raw_text"), "name", "kind", F.when(F.col("name") == "PARA-2", "done").alias("summary"), F.lit("p").alias("prompt"))
-    roots = s.createDataFrame([("prog:3",), ("prog:4",)], "root string")
-    return metrics.summary_plan(n, n.limit(0).select(F.col("id").alias("key")), 5, roots, kg_edges(s, d)).select("id")
+    key = metrics.cache_key(F.col("id"), F.col("raw_text"), F.col("name"), F.col("kind"), F.col("prompt"))
+    cache = n.where("kind = 'paragraph' and id like '%:5'").select(key.alias("key"))
+    roots = n.where("kind = 'program'").select(F.col("id").alias("root"))
+    return metrics.summary_plan(n, cache, None, roots, kg_edges(s, d)).select("place", "id")
 
 
 QUERIES = {
@@ -295,11 +298,13 @@ g AS (SELECT w.source_unit, r.source_unit AS target_unit, w.resource, count(*) A
 SELECT *, 1::BIGINT AS n FROM i UNION ALL SELECT *, 1 FROM b UNION ALL SELECT source_unit, target_unit, resource, 'invokes', 'derived via shared resource ' || resource, 0.9::DOUBLE, false, n FROM g""",
     "memberships": f"""WITH {CALLS_SQL}, e AS (SELECT * FROM call_edges WHERE NOT ambiguous)
 SELECT resource, source_unit AS unit, 'writer' AS side, count(*) AS n FROM e WHERE kind IN ('queues_to', 'publishes_to', 'writes_to') GROUP BY 1, 2 UNION ALL SELECT resource, source_unit, 'reader', count(*) FROM e WHERE kind IN ('reads_from', 'invokes') GROUP BY 1, 2""",
-    "backlog": f"""WITH RECURSIVE {UNIT_EDGES_SQL}, {_LEVELS}, f AS (SELECT printf('u%06d', s_suppkey) AS unit_id, 'src/' || s_nationkey || '.py' AS path FROM supplier),
-p AS (SELECT source AS unit_id, path, min(target) AS seen FROM dag JOIN f ON f.unit_id = target GROUP BY 1, 2), c AS (SELECT unit_id, string_agg(path, ',' ORDER BY seen, path) AS context_paths FROM p GROUP BY 1)
-SELECT height + 1 AS wave, (row_number() OVER (PARTITION BY height ORDER BY substr(id, 2)::INTEGER % 7 DESC, id))::INTEGER AS pos, id AS unit_id, id AS cluster, CASE WHEN substr(id, 2)::INTEGER % 3 = 0 THEN 'MEDIUM' WHEN id[7] = '1' THEN 'LOW' ELSE 'HIGH' END AS complexity,
-  f.path AS source_paths, coalesce(context_paths, '') AS context_paths, 'Migrate ' || id || ' preserving its public contract. Cross-unit edges: ' || (SELECT count(*) FROM dag WHERE target = id) || ' inbound, ' || (SELECT count(*) FROM dag WHERE source = id)
-  || ' outbound. All unit tests must pass. No new deprecated APIs. Rubrics green.' AS criteria FROM lv JOIN f ON f.unit_id = id LEFT JOIN c ON c.unit_id = id""",
+    "backlog": f"""WITH RECURSIVE {CLUSTER_EDGES_SQL}, {_LEVELS}, f AS (SELECT printf('u%06d', s_suppkey) AS unit_id, 'src/' || s_nationkey || '.py' AS path FROM supplier),
+q AS (SELECT source, target, min(ord) AS ord FROM allce WHERE source <> target GROUP BY 1, 2),
+p AS (SELECT source AS unit_id, path, min(ord) AS seen FROM q JOIN f ON f.unit_id = target GROUP BY 1, 2), c AS (SELECT unit_id, string_agg(path, ',' ORDER BY seen, path) AS context_paths FROM p GROUP BY 1),
+n AS (SELECT unit_id, (SELECT count(*) FROM q WHERE target = unit_id) AS n_in, (SELECT count(*) FROM q WHERE source = unit_id) AS n_out FROM units)
+SELECT height + 1 AS wave, (row_number() OVER (PARTITION BY height ORDER BY substr(id, 2)::INTEGER % 7 DESC, id))::INTEGER AS pos, id AS unit_id, cluster, CASE WHEN substr(id, 2)::INTEGER % 3 = 0 THEN 'MEDIUM' WHEN id[7] = '1' THEN 'LOW' ELSE 'HIGH' END AS complexity,
+  f.path AS source_paths, coalesce(context_paths, '') AS context_paths, 'Migrate ' || id || ' preserving its public contract. Cross-unit edges: ' || n_in || ' inbound, ' || n_out
+  || ' outbound. All unit tests must pass. No new deprecated APIs. Rubrics green.' AS criteria FROM lv JOIN f ON f.unit_id = id JOIN n ON n.unit_id = id LEFT JOIN c ON c.unit_id = id""",
     "dualrun_markdown": f"""WITH {_FIELDS}, t AS (SELECT o_orderkey AS fixture, o_custkey, o_totalprice::DECIMAL(18,2) AS price, o_orderstatus, o_orderpriority FROM orders),
 w AS (SELECT g.fixture, field, list_position(['total', 'status', 'priority', 'key'], field) AS place, CASE field WHEN 'total' THEN price::VARCHAR WHEN 'status' THEN o_orderstatus WHEN 'priority' THEN o_orderpriority ELSE o_custkey::VARCHAR END AS expected,
   CASE WHEN status = 'missing' THEN 'None' WHEN field = 'key' THEN 'n/a' WHEN g.fixture % 7 = 0 THEN (price + 0.005::DECIMAL(18,3))::DECIMAL(18,3)::VARCHAR ELSE (price + 1)::DECIMAL(18,2)::VARCHAR END AS actual, reason FROM g JOIN t USING (fixture) WHERE status IN ('mismatched', 'missing')),
@@ -318,6 +323,7 @@ SELECT program_id, '# Dual-run verdict: ' || program_id || chr(10) || chr(10) ||
 SELECT 'P3' AS program_id, count(*) AS total, count(*) FILTER (ok) AS matched FROM r JOIN m USING (fixture) HAVING count(*) > 0""",
     "filing_queue": """SELECT o_orderkey AS key, 'e' || o_orderkey AS entity, '{}' AS order_, CASE WHEN o_orderkey % 2 = 0 THEN 'X' ELSE 'UPSTREAM' END AS source, row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus ORDER BY o_orderkey) AS place
 FROM orders WHERE o_orderkey % 3 > 0""",
-    "summary_plan_roots": f"""{_G}, c AS (SELECT target AS id FROM kg_edges WHERE kind = 'contains' AND source IN ('prog:3', 'prog:4') UNION SELECT unnest(['prog:3', 'prog:4'])) SELECT c.id FROM c JOIN kg_nodes n ON n.id = c.id WHERE n.name <> 'PARA-2' ORDER BY c.id LIMIT 5""",
+    "summary_plan_roots": f"""{_G}, c AS (SELECT source AS root, 0 AS last, ord, target AS id FROM kg_edges WHERE kind = 'contains' UNION ALL SELECT id, 1, 0, id FROM kg_nodes WHERE kind = 'program')
+SELECT row_number() OVER (ORDER BY root, last, ord, c.id) AS place, c.id FROM c JOIN kg_nodes n ON n.id = c.id WHERE n.name <> 'PARA-2' AND c.id NOT LIKE 'para:%:5'""",
     **{f"chunks_{language}": _chunk_oracle(language) for language in _CODE},
 }

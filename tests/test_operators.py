@@ -2,11 +2,12 @@
 
 import json
 import random
+from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.functions import tables
+from lodestrata.functions import ranking, tables
 from lodestrata.functions.ranking import numbered
 from lodestrata.functions.text import folders, located
 from lodestrata.operators import business, cobol, crud, depgraph, discovery, dualrun, extract, fixed, graph, iac, jcl, metrics, python_code
@@ -14,6 +15,8 @@ from lodestrata.sources import files, renders
 
 NODE, EDGE = "id string, kind string, name string, dd_name string, verb string, start_line int", "source string, target string, kind string, evidence string, ord long, dd_name string"
 
+EDGE_COLUMNS = "source string, target string, kind string, ord long"
+
 
 def rows(df):
     return sorted(tuple(r) for r in df.collect())
@@ -195,9 +198,7 @@ def test_numbers_of_ranges_equal_a_window(spark):
     assert numbered(df.limit(0), "n", [F.col("id")]).collect() == []
 
 
-@pytest.mark.parametrize("edges", [0, 10**6])
-def test_one_task_and_rounds_agree(spark, monkeypatch, edges):
-    monkeypatch.setattr(graph, "ONE_TASK_EDGES", edges)
+def test_components_and_heights_by_rounds(spark):
     pairs = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "c"), ("f", "a"), ("g", "f"), ("h", "h")]
     e = spark.createDataFrame(pairs, "source string, target string")
     assert rows(graph.strongly_connected(e)) == [("a", "cluster-a"), ("b", "cluster-a"), ("c", "cluster-c"), ("d", "cluster-c"), ("e", "cluster-c"), ("f", "f"), ("g", "g")]
@@ -349,3 +350,90 @@ def test_tables_need_a_shared_folder_off_the_machine(spark, monkeypatch):
     df = tables.cut(spark.range(3))
     assert df.count() == 3
     tables.drop(df)
+
+
+def test_reaching_is_one_row_a_node(spark):
+    e = spark.createDataFrame([("a", "b", "calls"), ("b", "a", "calls"), ("b", "t", "calls"), ("c", "u", "contains"), ("d", "e", "calls"), ("e", "d", "calls"), ("x", "t", "other"), ("t", "z", "calls")], "source string, target string, kind string")
+    targets = spark.createDataFrame([("t",), ("u",), ("lone",)], "node string")
+    assert rows(graph.reaching(e, targets, ["calls", "contains"])) == [("a",), ("b",), ("c",), ("lone",), ("t",), ("u",)]
+    assert graph.reaching(e, targets.limit(0)).count() == 0
+
+
+def _walk(nodes, edges):
+    """{id: (root, place)} by a plain walk from each root."""
+    after, below = {}, {t for _, t, _ in edges}
+    for s, t, o in edges:
+        after.setdefault(s, []).append((o, t))
+    out = {}
+    for root in sorted(n for n in nodes if n not in below):
+        done, stack = [], [(root, iter(sorted(after.get(root, []))))]
+        while stack:
+            node, rest = stack[-1]
+            child = next(rest, None)
+            if child is None:
+                done.append(stack.pop()[0])
+            else:
+                stack.append((child[1], iter(sorted(after.get(child[1], [])))))
+        out |= {n: (root, i) for i, n in enumerate(done)}
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_forest_order_is_the_walk(spark, seed):
+    """Random trees with equal orders, one of them a hot root, one a chain, and nodes alone."""
+    rng = random.Random(seed)
+    nodes = [f"n{i}" for i in range(120)]
+    edges = [(nodes[0 if i < 40 else i - 1 if i < 46 else rng.randrange(46, i)], nodes[i], rng.randrange(4)) for i in range(1, 110) if i != 46]
+    e = spark.createDataFrame([(s, t, "contains", o) for s, t, o in edges] + [("n1", "n2", "calls", 0)], EDGE_COLUMNS)
+    got = {r["id"]: r for r in graph.forest_order(spark.createDataFrame([(n,) for n in nodes], "id string"), e).collect()}
+    want = _walk(nodes, edges)
+    assert {n: (r["root"], r["place"]) for n, r in got.items()} == want
+    size = {n: 1 for n in nodes}
+    for s, t, _ in reversed(edges):
+        size[s] += size[t]
+    assert {n: r["size"] for n, r in got.items()} == size
+    assert graph.forest_order(spark.createDataFrame([], "id string"), e.limit(0)).count() == 0
+
+
+def test_forest_order_refuses_what_is_no_forest(spark):
+    ids = spark.createDataFrame([(x,) for x in "abcd"], "id string")
+    of = lambda pairs: spark.createDataFrame([(a, b, "contains", 0) for a, b in pairs], EDGE_COLUMNS)
+    with pytest.raises(ValueError, match="2 parents"):
+        graph.forest_order(ids, of([("a", "c"), ("b", "c")]))
+    with pytest.raises(ValueError, match="cycle"):
+        graph.forest_order(ids, of([("a", "b"), ("c", "d"), ("d", "c")]))
+
+
+def test_summaries_are_planned_bottom_up_under_a_cap(spark):
+    """Paragraphs before their section, sections before their program; the cap counts fresh ones and a later pass goes on."""
+    edges = spark.createDataFrame([("p", "s1", "contains", 1), ("p", "s2", "contains", 0), ("s1", "a", "contains", 5), ("s1", "b", "contains", 4), ("s2", "c", "contains", 0)], EDGE_COLUMNS)
+    nodes = spark.createDataFrame([(i, "text", i.upper(), "k", "told" if i == "b" else None, "h") for i in ("p", "s1", "s2", "a", "b", "c", "alone", "q")], "id string, raw_text string, name string, kind string, summary string, prompt string")
+    none = spark.createDataFrame([], "key string")
+    plan = lambda cache, most=None, roots=None: [r["id"] for r in metrics.summary_plan(nodes, cache, most, roots, edges).orderBy("place").collect()]
+    assert plan(none) == ["alone", "c", "s2", "a", "s1", "p", "q"]
+    assert plan(none, 3) == ["alone", "c", "s2"] and plan(none, 0) == []
+    roots = spark.createDataFrame([("s1",), ("p",)], "root string")
+    assert plan(none, None, roots) == ["c", "s2", "a", "s1", "p"] and plan(none, None, roots.limit(1)) in (["a", "s1"],)
+    done = metrics.summary_plan(nodes, none, 3, None, edges).select("key")
+    assert plan(done, 3) == ["a", "s1", "p"]
+
+
+def test_styles_by_reach(spark):
+    """Transactions through calls and contained nodes, cycles, steps and callable programs."""
+    nodes = spark.createDataFrame([(i, "program", i.upper(), c) for i, c in (("a", False), ("b", True), ("c", None), ("d", False), ("e", True), ("f", False))] + [("x", "paragraph", "X", None), ("t", "txn_call", "T", None)], "id string, kind string, name string, callable boolean")
+    edges = spark.createDataFrame([("a", "x", "contains"), ("x", "t", "calls"), ("b", "a", "calls"), ("c", "s", "step_of"), ("d", "e", "calls"), ("e", "d", "calls"), ("d", "s", "step_of"), ("f", "t", "reads")], "source string, target string, kind string")
+    assert rows(metrics.target_style(nodes, edges)) == [("A", "cics"), ("B", "cics"), ("C", "batch"), ("D", "batch"), ("E", "subroutine"), ("F", "subroutine")]
+
+
+def test_budgets_inside_a_hot_unit(spark):
+    """One unit that holds nearly all rows is many tasks, with the sums of a plain loop."""
+    rng = random.Random(4)
+    data = [("hot" if i % 50 else f"u{i % 3}", i, rng.randrange(9)) for i in range(3000)]
+    df = spark.createDataFrame(data, "g string, i long, v long").repartition(7)
+    got = {(r["g"], r["i"]): r["s"] for r in ranking.running(df, "s", "v", ["i"], ("g",)).collect()}
+    total: dict = {}
+    for g, i, v in data:
+        total[g] = total.get(g, 0) + v
+        assert got[g, i] == total[g]
+    assert len(got) == 3000
+    assert {r["i"]: r["s"] for r in ranking.running(df, "s", "v", ["i"]).collect()} == dict(zip(range(3000), accumulate(v for _, _, v in data)))

@@ -51,18 +51,42 @@ def test_graph_queries_of_all_line_items(spark, con):
     cluster = {a: f"cluster-{name(min(m))}" if len(m) > 1 else name(a) for a, m in same.items()}
     assert max(len(m) for m in same.values()) > 1
     assert {r["id"]: r["cluster"] for r in run("scc").collect()} == {name(a): c for a, c in cluster.items()}
-    assert {(r["source"], r["target"]) for r in run("condensation").collect()} == {(cluster[a], cluster[b]) for a, b in edges if cluster[a] != cluster[b]}
-    height: dict = {}
-    for a in sorted(programs):
-        height[a] = max((1 + height[b] for b in after[a] if b < a), default=0)
-    assert {r["id"]: r["height"] for r in run("kg_post_order").collect()} == {name(a): h for a, h in height.items()}
-    for q in ("waves", "waves_by_seam"):
-        assert {r["unit_id"]: r["wave"] for r in run(q).collect()} == {name(a): h + 1 for a, h in height.items()}
     nation = dict(con.execute("SELECT s_suppkey, s_nationkey FROM supplier").fetchall())
     paths = {name(a): ",".join(dict.fromkeys(f"src/{nation[b]}.py" for b in sorted(after[a]))) for a in programs if after[a]}
     assert {r["unit_id"]: r["paths"] for r in run("context_paths").collect()} == paths
 
 
+def test_plans_of_clusters_of_many_sizes(spark, con):
+    """Against plain Python over all line items: cycles of several sizes in layers, units that are no suppliers left out of the plan."""
+    programs = {s for (s,) in con.execute("SELECT s_suppkey FROM supplier").fetchall()}
+    level = lambda x: (x >= 1) + (x >= 3) + (x >= 6)
+    edges = set()
+    for s, p in con.execute("SELECT l_suppkey, l_partkey FROM lineitem").fetchall():
+        base, a, b = s - s % 12, s % 12, p % 12
+        if level(a) < level(b):
+            a, b = b, a
+        edges.add((base + a, base + b))
+    name = "u{:06d}".format
+    run = lambda q: entry.queries()[q](spark, SF)
+    nodes = {x for a, b in edges if a != b for x in (a, b)}
+    reach = {a: {a} for a in nodes}
+    for _ in range(12):
+        reach = {a: reach[a].union(*(reach[b] for x, b in edges if x == a)) for a in nodes}
+    same = {a: {b for b in reach[a] if a in reach[b]} for a in nodes}
+    cluster = {a: f"cluster-{name(min(m))}" if len(m) > 1 else name(a) for a, m in same.items()}
+    assert {r["id"]: r["cluster"] for r in run("scc_clusters").collect()} == {name(a): c for a, c in cluster.items()}
+    assert len({len(m) for m in same.values()}) > 2
+    between = {(cluster[a], cluster[b]) for a, b in edges if a != b and cluster[a] != cluster[b]}
+    assert {(r["source"], r["target"]) for r in run("condensation").collect()} == between and between
+    known = {cluster.get(a, name(a)) for a in programs}
+    height: dict = {}
+    while len(height) < len(known):
+        height |= {c: max((1 + height[b] for x, b in between if x == c and b in known), default=0) for c in known if all(b in height for x, b in between if x == c and b in known)}
+    for q in ("waves", "waves_by_seam"):
+        assert {r["unit_id"]: (r["cluster"], r["wave"]) for r in run(q).collect()} == {name(a): (cluster.get(a, name(a)), height[cluster.get(a, name(a))] + 1) for a in programs}
+    assert max(height.values()) > 1
+
+
 def test_descendants_of_every_program(spark, con):
     got = {r["root"] for r in entry.queries()["kg_descendants"](spark, SF).select("root").distinct().collect()}
     assert got == {f"prog:{s}" for (s,) in con.execute("SELECT s_suppkey FROM supplier").fetchall()}
