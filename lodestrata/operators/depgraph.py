@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lodestrata.functions.ranking import numbered
@@ -60,13 +60,34 @@ def hint_edges(hints: DataFrame) -> DataFrame:
     return own.select("source_unit", F.lit(None).cast("string").alias("target_unit"), key.alias("resource"), "kind", "evidence", "confidence")
 
 
-def build_graph(units: DataFrame, imports: DataFrame, calls: DataFrame, hints: DataFrame) -> DataFrame:
-    """(source_unit, target_unit, resource, kind, evidence, confidence, ambiguous, n): all edges of the dependency graph.
+#: What is wrong with a hint, in the order in which it is told.
+NO_UNIT, NO_KIND, ORPHAN = "no unit", "no kind", "unit not in the inventory"
+
+
+def checked_hints(hints: DataFrame, units: DataFrame) -> tuple[DataFrame, DataFrame, Observation]:
+    """(good, refused, counts) of manifest hints, in one pass over them.
+
+    Good hints have a unit of the inventory (units: unit_id) and a kind; refused ones come with their ``reason``: malformed, or an
+    orphan whose unit isn't known. ``counts`` has n_hints, n_malformed and n_orphans, once either side has been read through.
+    """
+    known = units.select(F.col("unit_id").alias("source_unit")).distinct().withColumn("_known", F.lit(True))
+    reason = F.when(F.col("source_unit").isNull(), NO_UNIT).when(F.col("kind").isNull(), NO_KIND).when(F.col("_known").isNull(), ORPHAN)
+    counts = Observation()
+    told = hints.join(known, "source_unit", "left").withColumn("reason", reason).select(*hints.columns, "reason")
+    told = cut(told.observe(
+        counts, F.count("*").alias("n_hints"), F.count_if(F.col("reason").isin(NO_UNIT, NO_KIND)).alias("n_malformed"), F.count_if(F.col("reason") == ORPHAN).alias("n_orphans")))
+    return told.where("reason is null").drop("reason"), told.where("reason is not null"), counts
+
+
+def build_graph(units: DataFrame, imports: DataFrame, calls: DataFrame, hints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, orphans): all edges of the dependency graph (source_unit, target_unit, resource, kind, evidence, confidence, ambiguous, n), and the hints that are refused.
 
     units (unit_id); imports (unit_id, module, is_external, evidence); calls (unit_id, service, operation, provider,
     rkind, rname, identifier, evidence); hints as hint_edges takes them. Edges through a shared resource follow from
-    those of calls and hints, ``n`` at once; all others stand for one.
+    those of calls and hints, ``n`` at once; all others stand for one. Hints without a unit or a kind, and those of units that
+    aren't in the inventory, give no edges; they come back with their reason.
     """
+    good, refused, _ = checked_hints(hints, units)
     none = F.lit(None).cast("string")
     first = F.split_part(F.col("module"), F.lit("."), F.lit(1))
     told = imports.where("not is_external").select(F.col("unit_id").alias("source_unit"), first.alias("target_unit"), "evidence").where("target_unit <> ''")
@@ -78,13 +99,13 @@ def build_graph(units: DataFrame, imports: DataFrame, calls: DataFrame, hints: D
         F.when(known, edge_kind(F.col("service"), F.col("operation"))).otherwise("invokes").alias("kind"),
         F.when(known, F.col("evidence")).otherwise(F.concat("evidence", F.lit(" (unresolved)"))).alias("evidence"), F.when(known, 1.0).otherwise(0.3).alias("confidence"), (~known).alias("ambiguous"),
     )
-    direct = cut(of_calls.unionByName(hint_edges(hints).withColumn("ambiguous", F.lit(False))))
+    direct = cut(of_calls.unionByName(hint_edges(good).withColumn("ambiguous", F.lit(False))))
     through = shared_edges(direct)
     through = through.select(
         "source_unit", "target_unit", "resource", F.lit("invokes").alias("kind"), F.concat(F.lit("derived via shared resource "), "resource").alias("evidence"), F.lit(0.9).alias("confidence"),
         F.lit(False).alias("ambiguous"), "n",
     )
-    return told.unionByName(direct).withColumn("n", F.lit(1).cast("long")).unionByName(through)
+    return told.unionByName(direct).withColumn("n", F.lit(1).cast("long")).unionByName(through), refused
 
 
 def import_edges(imports: DataFrame, units: DataFrame) -> DataFrame:

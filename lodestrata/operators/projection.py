@@ -10,6 +10,7 @@ from lodestrata.functions.text import stem
 from lodestrata.operators.extract import access
 from lodestrata.operators.fixed import GRAPH_EDGES, HINT_EDGES
 from lodestrata.operators.graph import edge_rows, node_rows, union_all
+from lodestrata.operators.spans import holding
 
 
 def _mapped(how: Column, kinds: dict[str, str], rest: str) -> Column:
@@ -19,9 +20,9 @@ def _mapped(how: Column, kinds: dict[str, str], rest: str) -> Column:
 def in_functions(calls: DataFrame, functions: DataFrame) -> DataFrame:
     """``calls`` (unit_id, file, line, ord, ...) with the name of the first function (unit_id, file, ord, name, start_line, end_line) that holds each.
 
-    An equi-join by file; a call meets the functions of its own file only.
+    Functions may be nested; a call meets only those around it.
     """
-    near = calls.select("unit_id", "file", "line", "ord").join(functions.withColumnRenamed("ord", "place"), ["unit_id", "file"]).where("line between start_line and end_line")
+    near = holding(calls.select("unit_id", "file", "line", "ord"), functions.select("unit_id", "file", "name", "start_line", "end_line", F.col("ord").alias("place")), ["unit_id", "file"])
     first = near.groupBy("unit_id", "ord").agg(F.min_by("name", "place").alias("function"))
     return calls.join(first, ["unit_id", "ord"], "left")
 

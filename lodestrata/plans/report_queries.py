@@ -224,7 +224,8 @@ QUERIES = {
     "cost_log": _cost_log,
     "pipe_round_trip": _pipes,
     "resources": _resources,
-    "build_graph": _graph,
+    "build_graph": lambda s, d: _graph(s, d)[0],
+    "hint_orphans": lambda s, d: _graph(s, d)[1].select("source_unit", "name", "evidence", "reason"),
     "memberships": lambda s, d: depgraph.memberships(depgraph.resource_edges(service_calls(s, d))),
     "backlog": _backlog,
     "dualrun_markdown": _report,
@@ -292,10 +293,12 @@ SELECT resource, min_by(provider, ord) AS provider, 'queue' AS kind, min_by(name
 c AS (SELECT printf('u%06d', l_suppkey) AS source_unit, NULL AS target_unit, CASE WHEN l_quantity >= 5 THEN 'aws:queue:q' || (l_partkey % 20) END AS resource, CASE WHEN l_quantity < 5 THEN 'invokes' WHEN l_returnflag = 'R' THEN 'reads_from' ELSE 'queues_to' END AS kind,
   'f:' || l_orderkey || ':' || l_linenumber || ' sqs' || CASE WHEN l_quantity < 5 THEN ' (unresolved)' ELSE '' END AS evidence, CASE WHEN l_quantity < 5 THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END AS confidence, l_quantity < 5 AS ambiguous FROM lineitem),
 h AS (SELECT printf('u%06d', n_nationkey) AS source_unit, NULL AS target_unit, 'aws:queue:' || CASE WHEN n_nationkey % 4 > 0 THEN 'q' || n_nationkey ELSE '?' END AS resource, 'reads_from' AS kind, 't' || n_nationkey AS evidence,
-  CASE WHEN n_nationkey % 4 > 0 THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END AS confidence, false AS ambiguous FROM nation WHERE n_nationkey % 5 > 0),
+  CASE WHEN n_nationkey % 4 > 0 THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END AS confidence, false AS ambiguous FROM nation WHERE n_nationkey % 5 > 0 AND n_nationkey IN (SELECT s_suppkey FROM supplier)),
 b AS (SELECT * FROM c UNION ALL SELECT * FROM h),
 g AS (SELECT w.source_unit, r.source_unit AS target_unit, w.resource, count(*) AS n FROM b w JOIN b r ON w.resource = r.resource AND w.source_unit <> r.source_unit WHERE w.kind = 'queues_to' AND r.kind = 'reads_from' GROUP BY 1, 2, 3)
 SELECT *, 1::BIGINT AS n FROM i UNION ALL SELECT *, 1 FROM b UNION ALL SELECT source_unit, target_unit, resource, 'invokes', 'derived via shared resource ' || resource, 0.9::DOUBLE, false, n FROM g""",
+    "hint_orphans": """SELECT CASE WHEN n_nationkey % 5 > 0 THEN printf('u%06d', n_nationkey) END AS source_unit, CASE WHEN n_nationkey % 4 > 0 THEN 'q' || n_nationkey END AS name, 't' || n_nationkey AS evidence,
+  CASE WHEN n_nationkey % 5 > 0 THEN 'unit not in the inventory' ELSE 'no unit' END AS reason FROM nation WHERE n_nationkey % 5 = 0 OR n_nationkey NOT IN (SELECT s_suppkey FROM supplier)""",
     "memberships": f"""WITH {CALLS_SQL}, e AS (SELECT * FROM call_edges WHERE NOT ambiguous)
 SELECT resource, source_unit AS unit, 'writer' AS side, count(*) AS n FROM e WHERE kind IN ('queues_to', 'publishes_to', 'writes_to') GROUP BY 1, 2 UNION ALL SELECT resource, source_unit, 'reader', count(*) FROM e WHERE kind IN ('reads_from', 'invokes') GROUP BY 1, 2""",
     "backlog": f"""WITH RECURSIVE {CLUSTER_EDGES_SQL}, {_LEVELS}, f AS (SELECT printf('u%06d', s_suppkey) AS unit_id, 'src/' || s_nationkey || '.py' AS path FROM supplier),

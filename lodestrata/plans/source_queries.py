@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.tables import cut
 from lodestrata.functions.text import lines
-from lodestrata.operators import cobol, crud, discovery, extract, graph, iac, jcl, metrics, projection, python_code
+from lodestrata.operators import cobol, crud, discovery, extract, graph, iac, jcl, metrics, projection, python_code, spans
 from lodestrata.plans.estate import table
 
 
@@ -199,6 +199,16 @@ def _scripts(s, d, language):
     return extract.sdk_calls_by_regex(files, language).select("path", F.col("line_no").cast("long").alias("line_no"), "kind", "value", "service", "is_external")
 
 
+def _around(s, d):
+    """The part whose span of lines is innermost around each line item, in its supplier's file, and how many spans hold it; spans are nested and overlap."""
+    n = table(s, d, "supplier").agg(F.count("*").alias("n"))
+    own = table(s, d, "part").join(F.broadcast(n)).select((F.col("p_partkey") % F.col("n")).alias("file"), F.col("p_name").alias("name"), (F.col("p_partkey") % 89 * 11).alias("start_line"), (F.col("p_partkey") % 89 * 11 + F.col("p_size") * F.col("p_size")).alias("end_line"))
+    items = table(s, d, "lineitem").select(F.col("l_suppkey").alias("file"), "l_orderkey", "l_linenumber", (F.col("l_orderkey") % 4000).alias("line"))
+    key = ["l_orderkey", "l_linenumber"]
+    count = spans.holding(items, own, ["file"]).groupBy(*key).agg(F.count("*").alias("n"))
+    return spans.innermost(items, own, ["file"], key).join(count, key)
+
+
 def _fences(s, d):
     k = F.col("c_custkey")
     text = F.concat(
@@ -248,6 +258,7 @@ QUERIES = {
     "sdk_regex_java": lambda s, d: _scripts(s, d, "java"),
     "sdk_regex_csharp": lambda s, d: _scripts(s, d, "csharp"),
     "sdk_regex_typescript": lambda s, d: _scripts(s, d, "typescript"),
+    "spans_around": _around,
     "fenced_files": _fences,
     "json_first": _jsons,
 }
@@ -376,6 +387,8 @@ WHERE unit NOT IN (SELECT split_part(path, '/', 1) FROM t WHERE k NOT IN (1, 4))
   unnest([NULL, NULL, 'sns']) AS service, unnest([true, false, NULL]) AS is_external FROM customer""",
     "sdk_regex_typescript": """SELECT 'c' || c_custkey AS path, unnest([1, 2])::BIGINT AS line_no, unnest(['import', 'new']) AS kind, unnest(['./c' || c_custkey, 'DynamoDBDocumentClient']) AS value, unnest([NULL, 'dynamodb']) AS service,
   unnest([false, NULL]) AS is_external FROM customer""",
+    "spans_around": """WITH p AS (SELECT p_partkey % (SELECT count(*) FROM supplier) AS file, p_name AS name, p_partkey % 89 * 11 AS a, p_partkey % 89 * 11 + p_size * p_size AS b FROM part)
+SELECT l_orderkey, l_linenumber, arg_min(name, (-a, b, name)) AS name, count(*) AS n FROM lineitem JOIN p ON file = l_suppkey AND l_orderkey % 4000 BETWEEN a AND b GROUP BY 1, 2""",
     "fenced_files": """SELECT c_custkey AS id, unnest(['a/' || c_custkey || '.py', CASE WHEN c_custkey % 5 = 0 THEN '../up' ELSE 'ok/y' END, 'bare', 'pom.xml', 'c.h']) AS path,
   unnest(['x = 1' || chr(10), 'y' || chr(10), 'z' || chr(10), '<p/>' || chr(10), '/* path=c.h */ int x;' || chr(10)]) AS body, unnest([false, c_custkey % 5 = 0, false, false, false]) AS refused FROM customer""",
     "json_first": """SELECT c_custkey, CASE c_custkey % 4 WHEN 1 THEN '{"k": ' || c_custkey || ', "t": "}\\"{"}' WHEN 3 THEN '{"n": {"k": ' || c_custkey || '}}' END AS j FROM customer""",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import ranking, tables
 from lodestrata.functions.ranking import numbered
 from lodestrata.functions.text import folders, located
-from lodestrata.operators import business, cobol, crud, depgraph, discovery, dualrun, extract, fixed, graph, iac, jcl, metrics, python_code
+from lodestrata.operators import business, cobol, crud, depgraph, discovery, dualrun, extract, fixed, graph, iac, jcl, metrics, python_code, spans
 from lodestrata.sources import files, renders
 
 NODE, EDGE = "id string, kind string, name string, dd_name string, verb string, start_line int", "source string, target string, kind string, evidence string, ord long, dd_name string"
@@ -437,3 +437,27 @@ def test_budgets_inside_a_hot_unit(spark):
         assert got[g, i] == total[g]
     assert len(got) == 3000
     assert {r["i"]: r["s"] for r in ranking.running(df, "s", "v", ["i"]).collect()} == dict(zip(range(3000), accumulate(v for _, _, v in data)))
+
+
+def test_spans_hold_points_as_a_range_join_does(spark):
+    """Nested, overlapping, equal, empty and very long spans, and a file that has nearly all points."""
+    rng = random.Random(6)
+    own = [("f" if i % 9 else "g", i, a := rng.choice((0, 1, 15, 16, 17, 255, 256, rng.randrange(5000))), a + rng.choice((-1, 0, 1, 15, 16, 240, rng.randrange(4000), 2**31 - 6000))) for i in range(150)]
+    at = [("f" if i % 20 else "g", i, rng.choice((0, 15, 16, 4095, 4096, 2**31 - 7000, rng.randrange(9000)))) for i in range(300)]
+    s = spark.createDataFrame(own, "file string, name long, start_line long, end_line long")
+    p = spark.createDataFrame(at, "file string, ord long, line long")
+    want = sorted((o, n) for f, o, x in at for g, n, a, b in own if f == g and a <= x <= b)
+    assert rows(spans.holding(p, s, ["file"]).select("ord", "name")) == want
+    inner = {o: min((-a, b, n) for g, n, a, b in own if f == g and a <= x <= b)[2] for f, o, x in at if any(f == g and a <= x <= b for g, _, a, b in own)}
+    assert {r["ord"]: r["name"] for r in spans.innermost(p, s, ["file"], ["ord"]).collect()} == inner
+    plan = spans.holding(p, s, ["file"])._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_hints_are_checked_in_one_pass(spark):
+    hints = spark.createDataFrame([("a", "q", "aws", "n", "reads_from", "e1", 1.0), (None, "q", "aws", "n", "reads_from", "e2", 1.0), ("a", "q", "aws", "n", None, "e3", 1.0), ("z", "q", "aws", None, "reads_from", "e4", 0.7)],
+                                  "source_unit string, target_kind string, provider string, name string, kind string, evidence string, confidence double")
+    good, refused, counts = depgraph.checked_hints(hints, spark.createDataFrame([("a",), ("a",), ("b",)], "unit_id string"))
+    assert [r["evidence"] for r in good.collect()] == ["e1"]
+    assert rows(refused.select("evidence", "reason")) == [("e2", depgraph.NO_UNIT), ("e3", depgraph.NO_KIND), ("e4", depgraph.ORPHAN)]
+    assert counts.get == {"n_hints": 4, "n_malformed": 2, "n_orphans": 1}
