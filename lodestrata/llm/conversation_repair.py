@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -134,13 +135,21 @@ def _segment() -> Column:
     return F.shiftright("place", SEGMENT_BITS)
 
 
+_SUMMED = "c string, segment long, m array<long>, first string, last string, bad long"
 _FOLDED = "c string, segment long, after array<int>, cost long, illegal long"
+_WALKED = "c string, place long, audits array<string>, exits array<int>"
 _CHAINED = "c string, place long, state int, audit string"
 
 
-def _by_conversation(own: pd.DataFrame) -> Iterator[tuple[str, pd.DataFrame]]:
+def _frame(rows: list, schema: str) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[f.split()[0] for f in schema.split(", ")])
+
+
+def _by_conversation(own: pd.DataFrame) -> Iterator[tuple[str, list]]:
+    """(c, rows) of the turns of a segment, in order, a row being (c, place, initial, code)."""
     own = own.sort_values("place", kind="stable")
-    return own.groupby("c", sort=False)
+    for c, rows in groupby(zip(own["c"], own["place"], own["initial"], own["code"]), key=lambda r: r[0]):
+        yield c, list(rows)
 
 
 def _legal(a: str, b: str) -> bool:
@@ -157,43 +166,52 @@ def repairs(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
     coded = cut(marked.select("c", "place", "initial", code.alias("code"), _segment().alias("segment")), "coded")
 
     def summed(own: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for c, part in _by_conversation(own):
-            initials = part["initial"].tolist()
-            bad = sum(not _legal(a, b) for a, b in zip(initials, initials[1:]))
-            rows.append((c, int(part["segment"].iloc[0]), matrix(part["code"].tolist()), initials[0], initials[-1], bad))
-        return pd.DataFrame(rows, columns=["c", "segment", "m", "first", "last", "bad"])
-
-    def folded(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("segment")
-        togo, rows = list(_AT_END), []
-        for r in reversed(list(own.itertuples(index=False))):
-            rows.append([r.c, r.segment, togo, 0, 0])
-            togo = [min(int(r.m[4 * q + e]) + togo[e] for e in _STATES) for q in _STATES]
-        seams = sum(not _legal(a, b) for a, b in zip(own["last"].iloc[:-1], own["first"].iloc[1:]))
-        rows[0][3:] = [togo[0], int(own["bad"].sum()) + seams]
-        return pd.DataFrame(rows, columns=["c", "segment", "after", "cost", "illegal"])
+        segment, out = int(own["segment"].iloc[0]), []
+        for c, rows in _by_conversation(own):
+            bad = sum(not _legal(a[2], b[2]) for a, b in zip(rows, rows[1:]))
+            out.append((c, segment, matrix([r[3] for r in rows]), rows[0][2], rows[-1][2], bad))
+        return _frame(out, _SUMMED)
+
+    def folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # segments of a conversation come last first; costs are given as differences, which add up
+        now, togo, after = None, _AT_END, None
+        for batch in batches:
+            out = []
+            for c, segment, m, first, last, bad in batch.itertuples(index=False):
+                if c != now:
+                    now, togo, after = c, _AT_END, None
+                before = [min(int(m[4 * q + e]) + togo[e] for e in _STATES) for q in _STATES]
+                seam = after is not None and not _legal(last, after)
+                out.append((c, segment, list(togo), before[0] - togo[0], bad + seam))
+                togo, after = before, first
+            yield _frame(out, _FOLDED)
 
     def walked(own: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
-        after = dict(zip(ends["c"], ends["after"]))
-        rows = []
-        for c, part in _by_conversation(own):
-            got = walks(part["code"].tolist(), tuple(int(x) for x in after[c]))
-            rows.append((c, int(part["place"].iloc[0]), [a for a, _ in got], [q for _, q in got]))
-        return pd.DataFrame(rows, columns=["c", "place", "audits", "exits"])
-
-    def chained(own: pd.DataFrame) -> pd.DataFrame:
-        state, rows = 0, []
-        for r in own.sort_values("place").itertuples(index=False):
-            rows.append([r.c, r.place, state, r.audits[state]])
-            state = int(r.exits[state])
-        rows[-1][3] += "I" * _TAIL[state]
-        return pd.DataFrame(rows, columns=["c", "place", "state", "audit"])
-
-    segments = coded.groupBy("segment").applyInPandas(summed, "c string, segment long, m array<long>, first string, last string, bad long")
-    after = cut(segments.groupBy("c").applyInPandas(folded, _FOLDED), "costs")
-    walked_from = coded.groupBy("segment").cogroup(after.groupBy("segment")).applyInPandas(walked, "c string, place long, audits array<string>, exits array<int>")
-    pieces = cut(walked_from.groupBy("c").applyInPandas(chained, _CHAINED), "pieces")
+        after, out = dict(zip(ends["c"], ends["after"])), []
+        for c, rows in _by_conversation(own):
+            got = walks([r[3] for r in rows], tuple(int(x) for x in after[c]))
+            out.append((c, rows[0][1], [a for a, _ in got], [q for _, q in got]))
+        return _frame(out, _WALKED)
+
+    def chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, held = 0, None  # the last row is held until it is known whether its conversation goes on
+        for batch in batches:
+            out = []
+            for c, place, audits, exits in batch.itertuples(index=False):
+                if held is not None:
+                    out.append((*held[:3], held[3] + "I" * _TAIL[state]) if held[0] != c else held)
+                if held is None or held[0] != c:
+                    state = 0
+                held = (c, place, state, audits[state])
+                state = int(exits[state])
+            yield _frame(out, _CHAINED)
+        if held is not None:
+            yield _frame([(*held[:3], held[3] + "I" * _TAIL[state])], _CHAINED)
+
+    segments = coded.groupBy("segment").applyInPandas(summed, _SUMMED)
+    after = cut(segments.repartition("c").sortWithinPartitions("c", F.desc("segment")).mapInPandas(folded, _FOLDED), "costs")
+    walked_from = coded.groupBy("segment").cogroup(after.groupBy("segment")).applyInPandas(walked, _WALKED)
+    pieces = cut(walked_from.repartition("c").sortWithinPartitions("c", "place").mapInPandas(chained, _CHAINED), "pieces")
     return after.groupBy("c").agg(F.sum("cost").alias("cost"), F.sum("illegal").alias("illegal")), pieces
 
 
