@@ -94,6 +94,34 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is made once however often body has it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def starts(sizes: Column) -> Column:
+    """The sum of the sizes before each of an array of integers, in DataFrame functions.
+
+    A fold that grows an array copies it each step; here one grows an array of runs, and each run's own is as short as
+    there are runs, so n sizes take n ** 1.5 copies.
+    """
+    none = F.expr("cast(array() as array<int>)")
+
+    def of(s: Column) -> Column:
+        run = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(s)))).cast("int")
+
+        def one(done: Column, i: Column) -> Column:
+            first = F.struct(F.coalesce(F.get(done, F.size(done) - 1)["end"], F.lit(0)).alias("end"), none.alias("starts"))
+            grown = F.aggregate(F.slice(s, i * run + 1, run), first, lambda a, x: F.struct((a["end"] + x).cast("int").alias("end"), F.concat(a["starts"], F.array(a["end"])).alias("starts")))
+            return F.concat(done, F.array(grown))
+
+        runs = F.sequence(F.lit(0), F.ceil(F.size(s) / run).cast("int") - 1)
+        folded = F.aggregate(runs, F.expr("cast(array() as array<struct<end: int, starts: array<int>>>)"), one)
+        return F.when(F.size(s) > 0, F.flatten(F.transform(folded, lambda r: r["starts"]))).otherwise(none)
+
+    return let(sizes, of)
+
+
 def word_hash(word: str, seed: int = 0) -> int:
     return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"), seed)
 

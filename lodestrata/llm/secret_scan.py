@@ -2,9 +2,10 @@
 
 A scan finds spans of the three base kinds and of wider candidate kinds (private-key headers, prefixed
 service tokens, web tokens, long random-looking strings). The secret part of each candidate is hashed and
-counted by distinct repositories and owners over the corpus. A value that many owners hold is a copied
-example; one that at most ``few_owners`` hold and that looks random is live-looking. Base spans are
-always reported; the method adds the wider candidates that are live-looking.
+counted by distinct repositories and owners over the corpus. A value that many owners hold, or that few
+owners hold in many repositories, is a copied example; one that at most ``few_owners`` hold in at most
+``few_repositories`` and that looks random is live-looking. Base spans are always reported; the method adds the wider
+candidates that are live-looking.
 
 Base spans that fail the length rules are dropped. Spans count code points, end exclusive. Matching is leftmost and non-overlapping within a kind.
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import cut, let, starts, text_of
 
 # The base kinds' patterns.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -35,24 +36,23 @@ WIDER = {
     "random": r"[A-Za-z0-9+/_-]{32,}",
 }
 KINDS = ("assign", "access", "hex", *WIDER)
-FEW_OWNERS = 2
+#: Owners, and repositories of all owners, that a live-looking value is in at most.
+FEW_OWNERS, FEW_REPOSITORIES = 2, 3
 
 
-def _found(text: Column, pattern: str, kind: int, secret_group: int = 0, always: bool = False) -> Column:
+def _found(text: Column, pattern: str, kind: int, secret_group: int = 0) -> Column:
     """array<struct<start, end, kind, secret>> of all matches: starts follow from the pieces between them."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     secret = F.regexp_extract_all(text, F.lit(pattern), F.lit(secret_group)) if secret_group else whole
     piece = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), secret.alias("secret"))
     none = F.expr("cast(array() as array<struct<start: int, end: int, kind: int, secret: string>>)")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["whole"])
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), x["secret"].alias("secret"))
-        return F.when(x["whole"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans")))
+    def placed(p: Column) -> Column:
+        gap, own = (lambda x: F.length(x["gap"])), (lambda x: F.coalesce(F.length(x["whole"]), F.lit(0)))  # the last piece has a gap only
+        span = lambda x, at: F.struct((at + gap(x)).alias("start"), (at + gap(x) + own(x)).alias("end"), F.lit(kind).alias("kind"), x["secret"].alias("secret"))
+        return F.filter(F.zip_with(p, starts(F.transform(p, lambda x: gap(x) + own(x))), span), lambda s: s["secret"].isNotNull())
 
-    spans = F.aggregate(piece, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
-    return F.when(text.rlike(pattern), spans).otherwise(none)
+    return F.when(text.rlike(pattern), let(piece, placed)).otherwise(none)
 
 
 def _joined(spans: Column) -> Column:
@@ -88,18 +88,19 @@ def ownership(found: DataFrame, repository: Column, owner: Column) -> DataFrame:
     return owned.groupBy("secret").agg(F.sum("n_r").alias("n_repositories"), F.count("*").alias("n_owners"), F.sum("n").alias("n_spans"))
 
 
-def secret_spans(docs: DataFrame, repository: Column, owner: Column, few_owners: int = FEW_OWNERS) -> DataFrame:
+def secret_spans(docs: DataFrame, repository: Column, owner: Column, few_owners: int = FEW_OWNERS, few_repositories: int = FEW_REPOSITORIES) -> DataFrame:
     """Each row of ``docs`` (doc_id, text and what the two expressions need) with its spans and counts of live and copied values."""
     found = cut(
         scan(docs.select("doc_id", text_of().alias("text"), repository.cast("string").alias("repository"), owner.cast("string").alias("owner"))).withColumn("row", F.monotonically_increasing_id()),
         "found")
     counts = ownership(found, F.col("repository"), F.col("owner"))
     each = found.where("size(base) + size(wider) > 0").select("row", F.explode(F.concat("base", "wider")).alias("s")).withColumn("secret", F.sha2("s.secret", 256))
-    judged = each.join(counts, "secret").withColumn("live", (F.col("n_owners") <= few_owners) & _looks_random(F.col("s.secret")))
+    copied = (F.col("n_owners") > few_owners) | (F.col("n_repositories") > few_repositories)
+    judged = each.join(counts, "secret").withColumn("copied", copied).withColumn("live", ~F.col("copied") & _looks_random(F.col("s.secret")))
     by_row = judged.groupBy("row").agg(
         F.collect_list(F.when(F.col("live") & (F.col("s.kind") >= 3), F.struct("s.start", "s.end", "s.kind", "s.secret"))).alias("added"),
         F.count(F.when(F.col("live"), 1)).alias("n_live"),
-        F.count(F.when(F.col("n_owners") > few_owners, 1)).alias("n_copied"),
+        F.count(F.when(F.col("copied"), 1)).alias("n_copied"),
     )
     return found.join(by_row, "row", "left").select(
         "doc_id", "repository", "owner", "base", F.when(F.col("added").isNull(), F.col("base")).otherwise(F.concat("base", "added")).alias("all_spans"),
