@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, text_of
+from .common import shared_path, starts, text_of
 
 #: A typed part: text in ``text``, else a reference and what its token count follows from.
 PART = "struct<type: string, text: string, ref: string, width: int, height: int, seconds: double, pages: int>"
@@ -87,19 +87,18 @@ def format_conversations(turns: DataFrame) -> DataFrame:
         own = F.transform(t["pieces"], lambda p: F.struct(p["piece"].alias("piece"), (p["text"] & (t["role"] == "assistant")).alias("loss")))
         return F.concat(fixed(head(t)), own, fixed(tail))
 
-    def place(acc: Column, p: Column) -> Column:
-        end = acc["at"] + F.length(p["piece"])
-        span = F.when(p["loss"], F.array(F.struct(acc["at"].alias("start"), end.alias("end")))).otherwise(F.slice(acc["spans"], 1, 0))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], span).alias("spans"))
+    def mask(pieces: Column) -> Column:
+        span = lambda p, at: F.struct(at.alias("start"), (at + F.length(p["piece"])).alias("end"), p["loss"].alias("loss"))
+        laid_out = F.zip_with(pieces, starts(F.transform(pieces, lambda p: F.length(p["piece"]))), span)
+        return F.transform(F.filter(laid_out, lambda s: s["loss"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
-    none = F.expr("cast(array() as array<struct<start: int, end: int>>)")
     numbered = F.flatten(F.transform("turns", lambda t, i: F.transform(t["refs"], lambda r: F.struct(i.alias("turn"), r["type"].alias("type"), r["ref"].alias("ref"), r["tokens"].alias("tokens")))))
     placed = F.transform(numbered, lambda r, i: F.struct(i.alias("position"), r["turn"].alias("turn"), r["type"].alias("type"), r["ref"].alias("ref"), r["tokens"].alias("tokens")))
     flat = whole.select("conv_id", F.flatten(F.transform("turns", laid)).alias("pieces"), placed.alias("attachments"))
     return flat.select(
         "conv_id",
         F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("formatted"),
-        F.aggregate("pieces", F.struct(F.lit(0).alias("at"), none.alias("spans")), place, lambda acc: acc["spans"]).alias("loss_mask"),
+        mask(F.col("pieces")).alias("loss_mask"),
         "attachments",
         F.aggregate("attachments", F.lit(0).cast("long"), lambda n, a: n + a["tokens"]).alias("n_tokens_attached"),
     )
