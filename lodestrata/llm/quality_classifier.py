@@ -190,7 +190,9 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     """Models for ``good`` (quality) and ``toxic``, from docs (doc_id, text, lang, source) and labels (doc_id, quality, toxic)."""
     spark = docs.sparkSession
     small_batches(spark)
+    docs = docs.select("doc_id", "text", "lang", "source")
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min("quality").alias("good"), F.max("toxic").alias("toxic"))
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")
     least = lambda df, n: df.orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id").limit(n)
     some = cut(least(known, labelled), "labelled")
     rest = docs.where("doc_id is not null").select("doc_id").join(F.broadcast(some.select("doc_id")), "doc_id", "left_anti")
