@@ -2,9 +2,10 @@
 
 Each document is measured and tested by the base rule and by soft rules. A host (for ``documents``, the
 source) has a count of documents and of those that fail any rule; a beta prior is fitted to all hosts'
-rates by moments, and a host's rate is shrunk to (failures + a) / (documents + a + b). Host verdicts are
-joined back: in a host whose shrunk rate is above ``host_limit``, documents that fail a soft rule go too.
-A document that fails no rule is always kept.
+rates by moments, and a host's rate is shrunk to (failures + a) / (documents + a + b). A host is bad if that
+lies above the prior's mean by more than ``margin`` of the prior's standard deviations, so verdicts act however alike hosts
+are; what noise explains is shrunk away before. Host verdicts are joined back: in a bad host, documents that fail a soft
+rule go too. A document that fails no rule is always kept.
 
 Defined results: a null text has no words and fails the base rule; rows without a host form a host of
 their own; repeated rows count each, and rows of equal text and host have one verdict; an empty table gives
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 from .common import cut, fresh, small_batches, text_of, words_of
 
 LEAST_WORDS, MOST_REPEATED = 50, 50
-HOST_LIMIT = 0.5
+#: The prior's standard deviations above its mean from which on a host's shrunk rate is bad.
+MARGIN = 0.25
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 # The symbols that are counted.
 SYMBOLS = "#*$%&|<>"
@@ -71,8 +73,8 @@ def soft_failed() -> Column:
     return (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 12 * n) | (10 * F.col("n_symbols") > F.col("word_chars")) | (10 * F.col("n_dup_lines") > 3 * n)
 
 
-def host_rates(tested: DataFrame) -> DataFrame:
-    """(host, n_docs, n_failed, rate): failure rates shrunk by a beta prior fitted to all hosts by moments."""
+def host_rates(tested: DataFrame, margin: float = MARGIN) -> DataFrame:
+    """(host, n_docs, n_failed, rate, bad): failure rates shrunk by a beta prior fitted to all hosts by moments, and the verdicts."""
     hosts = tested.groupBy("host").agg(F.count("*").alias("n_docs"), F.count(F.when(F.col("base_failed") | F.col("soft_failed"), 1)).alias("n_failed"))
     hosts = cut(hosts, "hosts")
     raw = F.col("n_failed") / F.col("n_docs")
@@ -82,16 +84,18 @@ def host_rates(tested: DataFrame) -> DataFrame:
     spread = max((m["var"] or 0.0) - mean * (1 - mean) * (m["inverse"] or 0.0), mean * (1 - mean) / 1000)
     strength = max(mean * (1 - mean) / spread - 1, 1.0)
     a, b = mean * strength, (1 - mean) * strength
-    return hosts.withColumn("rate", (F.col("n_failed") + F.lit(a)) / (F.col("n_docs") + F.lit(a + b)))
+    limit = mean + margin * (mean * (1 - mean) / (strength + 1)) ** 0.5
+    rated = hosts.withColumn("rate", (F.col("n_failed") + F.lit(a)) / (F.col("n_docs") + F.lit(a + b)))
+    return rated.withColumn("bad", F.col("rate") > limit)
 
 
-def judge(docs: DataFrame, host: Column, host_limit: float = HOST_LIMIT) -> DataFrame:
-    """(doc_id, measures, base_failed, soft_failed, host, rate, kept) per row of ``docs`` (doc_id, text, ...)."""
+def judge(docs: DataFrame, host: Column, margin: float = MARGIN) -> DataFrame:
+    """(doc_id, measures, base_failed, soft_failed, host, rate, bad, kept) per row of ``docs`` (doc_id, text, ...)."""
     small_batches(docs.sparkSession)
     tested = cut(measured(docs, host).withColumn("base_failed", base_failed()).withColumn("soft_failed", soft_failed()), "tested")
-    rates = host_rates(tested).select(F.col("host").alias("_host"), "rate")
+    rates = host_rates(tested, margin).select(F.col("host").alias("_host"), "rate", "bad")
     joined = tested.join(rates, F.col("host").eqNullSafe(F.col("_host"))).drop("_host")
-    return joined.withColumn("kept", ~F.col("base_failed") & ~(F.col("soft_failed") & (F.col("rate") > host_limit)))
+    return joined.withColumn("kept", ~F.col("base_failed") & ~(F.col("soft_failed") & F.col("bad")))
 
 
 def keep_good(docs: DataFrame, host: Column | None = None) -> DataFrame:

@@ -73,7 +73,7 @@ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR soft_failed) AS bad FROM f GROUP BY source),
 s AS (SELECT least(greatest(avg(bad / n), 0.001), 0.999) AS mean, var_pop(bad / n) AS var, avg(1.0 / n) AS inverse FROM h),
 e AS (SELECT mean, greatest(mean * (1 - mean) / greatest(var - mean * (1 - mean) * inverse, mean * (1 - mean) / 1000) - 1, 1) AS strength FROM s),
-v AS (SELECT source, (bad + mean * strength) / (n + strength) AS rate FROM h, e)
-SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (soft_failed AND rate > 0.5) AS kept
+v AS (SELECT source, (bad + mean * strength) / (n + strength) > mean + 0.25::DOUBLE * sqrt(mean * (1 - mean) / (strength + 1)) AS bad_host FROM h, e)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (soft_failed AND bad_host) AS kept
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source""",
 }
