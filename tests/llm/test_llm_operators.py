@@ -36,7 +36,7 @@ def empty(df):
     return df.limit(0)
 
 
-@pytest.mark.parametrize("name", ["op6_chat_format", "op7_host_quality", "op10_warc"])
+@pytest.mark.parametrize("name", ["op6_chat_format", "op7_host_quality", "op10_warc", "op11_substring_dedup", "op12_spelling_variants", "op13_conversation_repair"])
 def test_queries_equal_oracles(spark, name):
     con = duckdb.connect()
     for t in ("documents", "pages", "conversations"):
