@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.ranking import numbered
+from lodestrata.functions.tables import cut
 from lodestrata.operators.graph import program_members
 
 FLAGS = ("create_", "read_", "update_", "delete_", "touches_only")
@@ -97,6 +98,10 @@ def programs_touching(matrix: DataFrame, kind: str | None = None, name: str | No
     return matrix.select("kind", "name", "program").distinct()
 
 
+#: Resources that a text grid has columns for.
+MOST_COLUMNS = 10_000
+
+
 def readers_of(matrix: DataFrame) -> DataFrame:
     return matrix.where("read_").select("kind", "name", "program")
 
@@ -115,10 +120,13 @@ def kind_grid(matrix: DataFrame, kinds: list[str]) -> DataFrame:
 def crud_grid(matrix: DataFrame, resources: DataFrame | None = None) -> DataFrame:
     """(line_no, line): the padded text grid, a header and a line a program, a column a resource (kind, name), of all if none are given.
 
-    A line has as many cells as there are resources, so it is for a chosen set of them; the number of resources is
-    the one thing that a task must hold.
+    A line has as many cells as there are resources, so it is for a chosen set of them: more than MOST_COLUMNS are refused,
+    as the header is sent to all tasks; ``kind_grid`` is the form for any number.
     """
-    chosen = resources_of(matrix) if resources is None else resources.select("kind", "name").distinct()
+    chosen = cut(resources_of(matrix) if resources is None else resources.select("kind", "name").distinct())
+    n = chosen.count()
+    if n > MOST_COLUMNS:
+        raise ValueError(f"a grid of {n} columns; {MOST_COLUMNS} at most")
     shown = F.concat_ws(":", "kind", "name")
     head = chosen.agg(F.array_sort(F.collect_list(F.struct("kind", "name", shown.alias("shown")))).alias("r"), (F.coalesce(F.max(F.length(shown)), F.lit(10)) + 2).alias("w"))
     pad = lambda c, w: F.concat(c, F.repeat(F.lit(" "), F.greatest(F.lit(0), w - F.length(c))))

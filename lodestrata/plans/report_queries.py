@@ -162,6 +162,14 @@ def _artifacts(s, d):
     return graph.union_all([s.read.text(f"{path}/{p}").agg(F.count("*").alias("n")).select(F.lit(p).alias("part"), "n", F.lit(again).alias("again")) for p in parts])
 
 
+def _exported(s, d, part, schema=None):
+    """What an export writes of one part, read back."""
+    path = _round(s, "export")
+    n, e = _drawn(s, d)
+    renders.export_graph(n, e, units(s, d), path)
+    return s.read.text(f"{path}/{part}") if schema is None else s.read.schema(schema).json(f"{path}/{part}")
+
+
 _CODE = {
     "python": ("def f%d():", "def f%d():"), "node": ("class F%d {", "async function f%d() {"), "typescript": ("export async function f%d() {", "class F%d {"), "java": ("  public class F%d {", "  static interface F%d {"),
     "csharp": ("  internal struct F%d {", "  public record F%d {"), "go": ("func F%d() {", "func F%d() {"),
@@ -217,6 +225,8 @@ QUERIES = {
     "unit_graph_dot": _unit_graph,
     "unit_graph_mermaid": lambda s, d: _unit_graph(s, d, "mermaid"),
     "kg_artifacts": _artifacts,
+    "kg_artifact_lines": lambda s, d: _exported(s, d, "graphs/dataflow.mmd").select(F.col("value").alias("line")),
+    "kg_artifact_nodes": lambda s, d: _exported(s, d, "kg/nodes", "id string, kind string, name string, attributes map<string,string>").select("id", "kind", "name", F.try_element_at("attributes", F.lit("verb")).alias("verb")),
     "kg_snapshot": _snapshot,
     "source_files": _sources,
     "fixture_fields": _fixture_fields,
@@ -330,3 +340,5 @@ FROM orders WHERE o_orderkey % 3 > 0""",
 SELECT row_number() OVER (ORDER BY root, last, ord, c.id) AS place, c.id FROM c JOIN kg_nodes n ON n.id = c.id WHERE n.name <> 'PARA-2' AND c.id NOT LIKE 'para:%:5'""",
     **{f"chunks_{language}": _chunk_oracle(language) for language in _CODE},
 }
+ORACLES["kg_artifact_lines"] = ORACLES["data_flow_mermaid"].replace(_LIFTED, f"{_LIFTED}, every AS (", 1) + ") SELECT unnest(string_split(line, chr(10))) AS line FROM every"
+ORACLES["kg_artifact_nodes"] = f"{_G} SELECT id, kind, name, verb FROM kg_nodes"
