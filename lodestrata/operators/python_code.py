@@ -6,6 +6,7 @@ import ast
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,6 +80,35 @@ def _parsed(batch: pd.DataFrame) -> Iterator[tuple[str, ast.AST | None]]:
             yield path, None
 
 
+def _facts_of(path: str, tree: ast.AST | None) -> list[tuple]:
+    if tree is None:
+        return [(path, 0, 0, 0, "warning", None, "unparseable", None)]
+    own: list[tuple] = []
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Import):
+            own += [(node.lineno, node.lineno, "import", None, a.name, None) for a in node.names]
+        elif isinstance(node, ast.ImportFrom):
+            own.append((node.lineno, node.lineno, "import", None, "." * node.level + (node.module or ""), None))
+    own += [(n.lineno, n.end_lineno, "function", None, n.name, None) for n in tree.body if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]
+    bound = Bindings(tree)
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Call) and _factory(node) is None and (service := bound.service(node)):
+            own.append((node.lineno, node.lineno, "call", service, node.func.attr, _resource(node)))
+    return [(path, i, *row) for i, row in enumerate(own)]
+
+
+class PythonFacts:
+    """The parser as an Arrow table function, ``python_facts(TABLE(files) PARTITION BY path)`` in SQL, for tables with path and text."""
+
+    returns = FACTS
+
+    def eval(self, files: pa.Table) -> Iterator[pa.Table]:
+        rows = [row for path, tree in _parsed({c: files.column(c).to_pylist() for c in ("path", "text")}) for row in _facts_of(path, tree)]
+        types = {"string": pa.string(), "int": pa.int32()}
+        fields = [pa.field(n, types[t]) for n, t in (c.split() for c in FACTS.split(", "))]
+        yield pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)], schema=pa.schema(fields))
+
+
 def python_facts(files: DataFrame) -> DataFrame:
     """FACTS by parsing: imports with their leading dots, functions of the module, and SDK calls through bound names.
 
@@ -88,24 +118,7 @@ def python_facts(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows: list[tuple] = []
-            for path, tree in _parsed(batch):
-                if tree is None:
-                    rows.append((path, 0, 0, 0, "warning", None, "unparseable", None))
-                    continue
-                own: list[tuple] = []
-                for node in ast.walk(tree):
-                    if isinstance(node, ast.Import):
-                        own += [(node.lineno, node.lineno, "import", None, a.name, None) for a in node.names]
-                    elif isinstance(node, ast.ImportFrom):
-                        own.append((node.lineno, node.lineno, "import", None, "." * node.level + (node.module or ""), None))
-                own += [(n.lineno, n.end_lineno, "function", None, n.name, None) for n in tree.body if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]
-                bound = Bindings(tree)
-                for node in ast.walk(tree):
-                    if isinstance(node, ast.Call) and _factory(node) is None and (service := bound.service(node)):
-                        own.append((node.lineno, node.lineno, "call", service, node.func.attr, _resource(node)))
-                rows += [(path, i, *row) for i, row in enumerate(own)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in FACTS.split(", ")])
+            yield pd.DataFrame([row for path, tree in _parsed(batch) for row in _facts_of(path, tree)], columns=[c.split()[0] for c in FACTS.split(", ")])
 
     return files.select("path", "text").mapInPandas(run, FACTS)
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestrata.plans import graph_queries, report_queries, source_queries, stream_queries, text_queries, tree_queries
+from lodestrata.plans import graph_queries, pack_queries, report_queries, source_queries, stream_queries, text_queries, tree_queries
 
-MODULES = (graph_queries, text_queries, source_queries, report_queries, tree_queries, stream_queries)
+MODULES = (graph_queries, text_queries, source_queries, report_queries, tree_queries, stream_queries, pack_queries)
 
 
 def queries() -> dict:

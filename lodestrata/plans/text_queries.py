@@ -65,8 +65,16 @@ def _txns(s, d):
     return table(s, d, "orders").select(F.col("o_custkey").alias("cust"), F.date_format("o_orderdate", "yyyy-MM").alias("period"), F.col("o_totalprice").cast("decimal(18,2)").alias("amount"))
 
 
+def _periods(s, d):
+    """(cust, period): every month in which a customer has orders, and for those without any the month 1996-01."""
+    asked = table(s, d, "customer").select(F.col("c_custkey").alias("cust")).join(_txns(s, d).select("cust", "period").distinct(), "cust", "left")
+    return asked.select("cust", F.coalesce("period", F.lit("1996-01")).alias("period"))
+
+
 def _accounts(s, d):
-    c = table(s, d, "customer").select(F.col("c_custkey").alias("cust"), F.lit("1996-01").alias("period"), F.col("c_acctbal").cast("decimal(18,2)").alias("balance"), (F.col("c_custkey") % 1100 / 1000).cast("decimal(9,3)").alias("rate"))
+    """Customers with what they ordered in their last month."""
+    last = _periods(s, d).groupBy("cust").agg(F.max("period").alias("period"))
+    c = table(s, d, "customer").join(last, F.col("cust") == F.col("c_custkey")).select("cust", "period", F.col("c_acctbal").cast("decimal(18,2)").alias("balance"), (F.col("c_custkey") % 1100 / 1000).cast("decimal(9,3)").alias("rate"))
     return c.join(business.transaction_totals(c.select("cust", "period"), _txns(s, d)).select("cust", "total"), "cust")
 
 
@@ -174,7 +182,7 @@ QUERIES = {
     "fenced_files": lambda s, d: extract.fenced_files(table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("text\n```python path=a/"), F.col("c_custkey").cast("string"), F.lit(".py\nx = 1\n```\nmore\n```\n# path="), F.when(F.col("c_custkey") % 5 == 0, "../up").otherwise("ok"), F.lit("\ny\n```\n")).alias("text"))),
     "pipe_records": lambda s, d: table(s, d, "customer").select(F.concat_ws("|", F.col("c_custkey").cast("string"), F.concat(F.lit(" "), "c_name"), F.when(F.col("c_custkey") % 3 == 0, " ").otherwise(F.col("c_acctbal").cast("decimal(18,2)").cast("string"))).alias("v")).select(*pipe_fields(F.col("v"), [("id", 10), ("name", 12), ("bal", None)])).withColumn("bal", F.col("bal").cast("double")),
     "fixed_width": lambda s, d: table(s, d, "customer").select(F.concat(F.lpad(F.col("c_custkey").cast("string"), 8, "0"), F.rpad("c_name", 20, " "), F.lpad(F.abs(F.round(F.col("c_acctbal") * 100)).cast("long").cast("string"), 9, "0")).alias("v")).select(*fixed_fields(F.col("v"), [("id", 8, None), ("name", 20, None), ("bal", 9, 2)], 108)).withColumn("bal", F.col("bal").cast("double")),
-    "txn_total": lambda s, d: business.transaction_totals(table(s, d, "customer").select(F.col("c_custkey").alias("cust"), F.lit("1996-01").alias("period")), _txns(s, d)).withColumn("total", F.col("total").cast("double")),
+    "txn_total": lambda s, d: business.transaction_totals(_periods(s, d), _txns(s, d)).withColumn("total", F.col("total").cast("double")),
     "interest": lambda s, d: _accounts(s, d).select("cust", business.interest(F.col("balance"), F.col("rate")).cast("double").alias("interest")),
     "statement": lambda s, d: business.statements(_accounts(s, d)).withColumn("statement", F.col("statement").cast("double")),
     "gross_pay": lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(business.gross_pay(F.col("l_quantity"), F.lit(22.5)), 2).alias("pay")),
@@ -206,7 +214,8 @@ vv AS (SELECT *, errored = 0 AND mismatched = 0 AND total > 0 AS passed, errored
 _RES = """rf AS (SELECT page_id % 20 AS unit, CASE WHEN page_id % 7 = 0 THEN 'function_app.py' ELSE 'm' || page_id || '.py' END AS path, page_id % 4 AS k, html FROM pages)"""
 _J = "j AS (SELECT l_suppkey AS s, l_linenumber AS n, min(l_partkey) AS lo, max(l_partkey) AS hi, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_linenumber) AS k FROM lineitem GROUP BY 1, 2)"
 _C = "c AS (SELECT l_suppkey AS s, l_linenumber AS n, max(l_partkey) AS p, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_linenumber) AS k, lead(l_linenumber) OVER (PARTITION BY l_suppkey ORDER BY l_linenumber) AS nx FROM lineitem GROUP BY 1, 2)"
-_ACC = """t AS (SELECT o_custkey AS cust, sum(o_totalprice::DECIMAL(18,2)) AS total FROM orders WHERE strftime(o_orderdate, '%Y-%m') = '1996-01' GROUP BY 1),
+_ACC = """p AS (SELECT o_custkey AS cust, strftime(o_orderdate, '%Y-%m') AS period, sum(o_totalprice::DECIMAL(18,2)) AS total FROM orders GROUP BY 1, 2),
+t AS (SELECT cust, arg_max(total, period) AS total FROM p GROUP BY cust),
 a AS (SELECT c_custkey AS cust, c_acctbal::DECIMAL(18,2) AS balance, (c_custkey % 1100)::DECIMAL(18,3) / 1000 AS rate, coalesce(total, 0) AS total FROM customer LEFT JOIN t ON cust = c_custkey),
 i AS (SELECT *, CASE WHEN balance >= 0 AND rate <= 1 THEN floor((balance * 100)::BIGINT * (cust % 1100) / 1000.0) / 100 END AS interest FROM a)"""
 
@@ -288,7 +297,7 @@ SELECT unit, tag || '.' || metric AS metric, sum(tokens)::BIGINT AS tokens FROM
     "fenced_files": "SELECT c_custkey AS id, 'a/' || c_custkey || '.py' AS path, 'x = 1' || chr(10) AS body, false AS refused FROM customer UNION ALL SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN '../up' ELSE 'ok' END, 'y' || chr(10), c_custkey % 5 = 0 FROM customer",
     "pipe_records": "SELECT c_custkey::VARCHAR AS id, substr(c_name, 1, 12) AS name, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE c_acctbal::DECIMAL(18,2) END::DOUBLE AS bal FROM customer",
     "fixed_width": "SELECT lpad(c_custkey::VARCHAR, 8, '0') AS id, substr(c_name, 1, 20) AS name, (abs(round(c_acctbal * 100)) / 100)::DOUBLE AS bal FROM customer",
-    "txn_total": f"WITH {_ACC} SELECT cust, '1996-01' AS period, total::DOUBLE AS total FROM a",
+    "txn_total": f"WITH {_ACC} SELECT c_custkey AS cust, coalesce(period, '1996-01') AS period, coalesce(p.total, 0)::DOUBLE AS total FROM customer LEFT JOIN p ON p.cust = c_custkey",
     "interest": f"WITH {_ACC} SELECT cust, interest::DOUBLE AS interest FROM i",
     "statement": f"WITH {_ACC} SELECT cust, (balance::DOUBLE + interest + total::DOUBLE)::DECIMAL(18,2)::DOUBLE AS statement FROM i WHERE interest IS NOT NULL",
     "gross_pay": "SELECT l_orderkey, l_linenumber, round((l_quantity * 22.5 + CASE WHEN l_quantity * 22.5 > 1000 THEN 50 ELSE 0 END)::DOUBLE, 2) AS pay FROM lineitem",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import ranking, tables
 from lodestrata.functions.ranking import numbered
 from lodestrata.functions.text import folders, located
-from lodestrata.operators import business, cobol, crud, depgraph, discovery, dualrun, extract, fixed, graph, iac, jcl, metrics, python_code, spans
+from lodestrata.operators import business, cobol, crud, depgraph, discovery, dualrun, extract, fixed, graph, iac, jcl, metrics, packs, python_code, spans
 from lodestrata.sources import files, renders
 
 NODE, EDGE = "id string, kind string, name string, dd_name string, verb string, start_line int", "source string, target string, kind string, evidence string, ord long, dd_name string"
@@ -461,3 +461,22 @@ def test_hints_are_checked_in_one_pass(spark):
     assert [r["evidence"] for r in good.collect()] == ["e1"]
     assert rows(refused.select("evidence", "reason")) == [("e2", depgraph.NO_UNIT), ("e3", depgraph.NO_KIND), ("e4", depgraph.ORPHAN)]
     assert counts.get == {"n_hints": 4, "n_malformed": 2, "n_orphans": 1}
+
+
+def test_rule_packs_are_told_apart(spark):
+    own = packs.RulePack("test-only", (("sqs", "queue-x"),), {"python": (("a", 3),)}, (("sqs", "q", None, {"reads": ("get",)}),))
+    assert packs.register(own) is own and packs.register(own) is own and packs.pack("test-only") is own
+    try:
+        with pytest.raises(ValueError, match="already"):
+            packs.register(packs.RulePack("test-only"))
+        calls = spark.createDataFrame([("sqs", "get"), ("sqs", "put"), ("s3", "get")], "service string, operation string")
+        assert rows(packs.targets(own, calls).select("service", "operation", "target_kind").na.fill("-")) == [("s3", "get", "-"), ("sqs", "get", "queue-x"), ("sqs", "put", "queue-x")]
+        assert rows(packs.accesses(own, calls).na.fill("-")) == [("s3", "get", "-", "-"), ("sqs", "get", "q", "reads"), ("sqs", "put", "-", "-")]
+        files = spark.createDataFrame([("u", "python", "aa b"), ("v", "cobol", "aaa")], "unit string, language string, text string")
+        assert rows(packs.complexities(own, files)) == [("u", 6, "MEDIUM"), ("v", 1, "LOW")]
+    finally:
+        packs._PACKS.pop("test-only")
+    assert packs.FUNCTIONS.install(spark) == ["python_facts"]
+    spark.createDataFrame([("a.py", "import os"), ("b.py", "def (")], "path string, text string").createOrReplaceTempView("pack_files")
+    got = spark.sql("SELECT path, kind, value FROM python_facts(TABLE(pack_files) PARTITION BY path)")
+    assert rows(got) == [("a.py", "import", "os"), ("b.py", "warning", "unparseable")]
