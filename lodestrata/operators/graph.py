@@ -254,6 +254,23 @@ def centrality(nodes: DataFrame, edges: DataFrame, top: int | None = None) -> Da
     return scored if top is None else scored.orderBy(F.col("score").desc(), "name").limit(top)
 
 
+def resolved_calls(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``edges`` with calls of external programs led to the program of that name (in any case, of several the least id), where the graph has it.
+
+    With them, centrality's incoming calls count what extractors can only name.
+    """
+    named = nodes.where("kind = 'program'").groupBy(F.upper("name").alias("called")).agg(F.min("id").alias("program"))
+    to = nodes.where("kind = 'external_call'").select(F.col("id").alias("target"), F.upper("name").alias("called")).join(named, "called").select("target", "program")
+    led = edges.join(to, "target", "left").withColumn("target", F.when(F.col("kind") == "calls", F.coalesce("program", "target")).otherwise(F.col("target")))
+    return led.select(*edges.columns)
+
+
+def program_level_facts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(program, kind, n): reads and writes that hang under a program itself, which the matrix, made of paragraphs' facts, doesn't have."""
+    own = nodes.where("kind = 'program'").select(F.col("id").alias("source"), F.col("name").alias("program"))
+    return edges.where("kind in ('reads', 'writes')").join(own, "source").groupBy("program", "kind").agg(F.count("*").alias("n"))
+
+
 def call_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(program, source, target, kind): control-flow edges by the program that contains their source."""
     own = program_members(nodes, edges)

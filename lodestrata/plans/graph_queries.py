@@ -67,6 +67,24 @@ def _forest(s, d):
     return graph.forest_order(ids, e).select("id", "root", "place", "size")
 
 
+def _named_calls(s, d):
+    """(nodes, edges): suppliers as programs; line items as calls of external programs by name, some of which there are, and as reads of paragraphs and of programs themselves."""
+    i, p = table(s, d, "lineitem"), table(s, d, "supplier")
+    of = lambda form, *c: F.format_string(form, *c)
+    node = lambda df, id, kind, name: df.select(id.alias("id"), F.lit(kind).alias("kind"), name.alias("name")).distinct()
+    external = of("ext:%d:%d", "l_suppkey", F.col("l_partkey") % 150)
+    nodes = node(p, of("prog:%d", "s_suppkey"), "program", of("PGM%d", "s_suppkey")).unionByName(node(i, external, "external_call", of("pgm%d", F.col("l_partkey") % 150)))
+    para = F.when(F.col("l_linenumber") % 3 == 0, of("prog:%d", "l_suppkey")).otherwise(of("para:%d:%d", "l_suppkey", "l_linenumber"))
+    edge = lambda df, source, target, kind: df.select(source.alias("source"), target.alias("target"), kind.alias("kind"))
+    calls = edge(i, of("para:%d:%d", "l_suppkey", "l_linenumber"), external, F.lit("calls"))
+    return nodes, calls.unionByName(edge(i, para, of("res:%d", "l_partkey"), F.when(F.col("l_returnflag") == "R", "reads").otherwise("writes")))
+
+
+def _resolved_centrality(s, d):
+    nodes, edges = _named_calls(s, d)
+    return graph.centrality(nodes, graph.resolved_calls(nodes, edges))
+
+
 def unit_files(s, d):
     """(unit_id, path, ord): a file a supplier, shared by those of a nation."""
     path = F.format_string("src/%s.py", F.col("s_nationkey").cast("string"))
@@ -117,6 +135,8 @@ QUERIES = {
     "kg_reaching": lambda s, d: graph.reaching(kg_edges(s, d), kg_nodes(s, d).where("kind = 'txn_call'").select(F.col("id").alias("node")), ["contains", "calls", "writes"]),
     "centrality": lambda s, d: graph.centrality(kg_nodes(s, d), kg_edges(s, d)),
     "centrality_top": lambda s, d: graph.centrality(kg_nodes(s, d), kg_edges(s, d), 10),
+    "centrality_resolved": _resolved_centrality,
+    "program_level_facts": lambda s, d: graph.program_level_facts(*_named_calls(s, d)),
     "call_graph": lambda s, d: graph.call_graph(kg_nodes(s, d), kg_edges(s, d)),
     "dataflow": lambda s, d: graph.dataflow(kg_nodes(s, d), kg_edges(s, d)),
     "edge_kind": lambda s, d: depgraph.resource_edges(service_calls(s, d)).groupBy("source_unit", "kind").agg(F.count("*").alias("n")),
@@ -201,6 +221,8 @@ SELECT id, root, row_number() OVER (PARTITION BY root ORDER BY a, o, s, l) - 1 A
     "kg_reaching": f"WITH RECURSIVE {NODES_SQL}, {EDGES_SQL}, r AS (SELECT id AS node FROM kg_nodes WHERE kind = 'txn_call' UNION SELECT e.source FROM r JOIN kg_edges e ON e.target = r.node WHERE e.kind IN ('contains', 'calls', 'writes')) SELECT node FROM r",
     "centrality": f"{_G} SELECT n.id, n.name, ((SELECT coalesce(sum(CASE e.kind WHEN 'step_of' THEN 2 WHEN 'contains' THEN 1 ELSE 0 END), 0) FROM kg_edges e WHERE e.source = n.id) + 3 * (SELECT count(*) FROM kg_edges e WHERE e.kind = 'calls' AND e.target = n.id))::BIGINT AS score FROM kg_nodes n WHERE n.kind = 'program'",
     "centrality_top": f"{_G}, c AS (SELECT n.id, n.name, ((SELECT coalesce(sum(CASE e.kind WHEN 'step_of' THEN 2 WHEN 'contains' THEN 1 ELSE 0 END), 0) FROM kg_edges e WHERE e.source = n.id) + 3 * (SELECT count(*) FROM kg_edges e WHERE e.kind = 'calls' AND e.target = n.id))::BIGINT AS score FROM kg_nodes n WHERE n.kind = 'program') SELECT * FROM c ORDER BY score DESC, name LIMIT 10",
+    "centrality_resolved": "SELECT 'prog:' || s_suppkey AS id, 'PGM' || s_suppkey AS name, (3 * (SELECT count(*) FROM lineitem WHERE l_partkey % 150 = s_suppkey))::BIGINT AS score FROM supplier",
+    "program_level_facts": "SELECT 'PGM' || l_suppkey AS program, CASE WHEN l_returnflag = 'R' THEN 'reads' ELSE 'writes' END AS kind, count(*) AS n FROM lineitem WHERE l_linenumber % 3 = 0 GROUP BY 1, 2",
     "call_graph": f"""{_G} SELECT source AS program, source, target, kind FROM kg_edges WHERE kind = 'step_of'
 UNION SELECT c.source, f.source, f.target, f.kind FROM kg_edges f JOIN kg_edges c ON c.kind = 'contains' AND c.target = f.source WHERE f.kind = 'calls'""",
     "dataflow": f"{_G} SELECT c.source AS program, f.target, max(f.kind) AS kind FROM kg_edges f JOIN kg_edges c ON c.kind = 'contains' AND c.target = f.source WHERE f.kind IN ('reads', 'writes') GROUP BY 1, 2",
