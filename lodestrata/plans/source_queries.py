@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.functions.tables import cut
-from lodestrata.functions.text import lines
 from lodestrata.operators import cobol, crud, discovery, extract, graph, iac, jcl, metrics, projection, python_code, spans
 from lodestrata.plans.estate import table
 

@@ -179,7 +179,6 @@ QUERIES = {
     "usage": lambda s, d: table(s, d, "events").select("event_id", *(c.alias(n) for n, c in zip(("i", "o", "t"), extract.usage(F.format_string('{"%s": %d, "completion_tokens": %d}', _nth(F.col("event_id"), "input_tokens", "prompt_tokens"), "user_id", F.col("user_id") * 2))))),
     "summary_parse": lambda s, d: table(s, d, "customer").select("c_custkey", *(c.alias(n.lower().replace(" ", "_")) for n, c in extract.structured_summary(F.concat(F.lit("noise\nPurpose: "), "c_name", F.lit("\nInputs: a\nb\nKey invariants:\n- x\n- "), F.col("c_custkey").cast("string"))).items())),
     "key_values": lambda s, d: table(s, d, "customer").select("c_custkey", extract.key_values(F.concat(F.lit("A=old\nA="), "c_name", F.lit("\n\nB=x=y\n"), F.when(F.col("c_custkey") % 4 == 0, "oops").otherwise(""))).alias("m")).select("c_custkey", F.col("m")["A"].alias("a"), F.col("m")["B"].alias("b")),
-    "fenced_files": lambda s, d: extract.fenced_files(table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("text\n```python path=a/"), F.col("c_custkey").cast("string"), F.lit(".py\nx = 1\n```\nmore\n```\n# path="), F.when(F.col("c_custkey") % 5 == 0, "../up").otherwise("ok"), F.lit("\ny\n```\n")).alias("text"))),
     "pipe_records": lambda s, d: table(s, d, "customer").select(F.concat_ws("|", F.col("c_custkey").cast("string"), F.concat(F.lit(" "), "c_name"), F.when(F.col("c_custkey") % 3 == 0, " ").otherwise(F.col("c_acctbal").cast("decimal(18,2)").cast("string"))).alias("v")).select(*pipe_fields(F.col("v"), [("id", 10), ("name", 12), ("bal", None)])).withColumn("bal", F.col("bal").cast("double")),
     "fixed_width": lambda s, d: table(s, d, "customer").select(F.concat(F.lpad(F.col("c_custkey").cast("string"), 8, "0"), F.rpad("c_name", 20, " "), F.lpad(F.abs(F.round(F.col("c_acctbal") * 100)).cast("long").cast("string"), 9, "0")).alias("v")).select(*fixed_fields(F.col("v"), [("id", 8, None), ("name", 20, None), ("bal", 9, 2)], 108)).withColumn("bal", F.col("bal").cast("double")),
     "txn_total": lambda s, d: business.transaction_totals(_periods(s, d), _txns(s, d)).withColumn("total", F.col("total").cast("double")),
@@ -294,7 +293,6 @@ m AS (SELECT unit, tag, unnest(['input_tokens', 'output_tokens', 'total_tokens']
 SELECT unit, tag || '.' || metric AS metric, sum(tokens)::BIGINT AS tokens FROM m WHERE tokens <> 0 GROUP BY 1, 2""",
     "summary_parse": "SELECT c_custkey, c_name AS purpose, 'a' || chr(10) || 'b' AS inputs, '' AS outputs, '' AS side_effects, '- x' || chr(10) || '- ' || c_custkey AS key_invariants FROM customer",
     "key_values": "SELECT c_custkey, CASE WHEN c_custkey % 4 > 0 THEN c_name END AS a, CASE WHEN c_custkey % 4 > 0 THEN 'x=y' END AS b FROM customer",
-    "fenced_files": "SELECT c_custkey AS id, 'a/' || c_custkey || '.py' AS path, 'x = 1' || chr(10) AS body, false AS refused FROM customer UNION ALL SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN '../up' ELSE 'ok' END, 'y' || chr(10), c_custkey % 5 = 0 FROM customer",
     "pipe_records": "SELECT c_custkey::VARCHAR AS id, substr(c_name, 1, 12) AS name, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE c_acctbal::DECIMAL(18,2) END::DOUBLE AS bal FROM customer",
     "fixed_width": "SELECT lpad(c_custkey::VARCHAR, 8, '0') AS id, substr(c_name, 1, 20) AS name, (abs(round(c_acctbal * 100)) / 100)::DOUBLE AS bal FROM customer",
     "txn_total": f"WITH {_ACC} SELECT c_custkey AS cust, coalesce(period, '1996-01') AS period, coalesce(p.total, 0)::DOUBLE AS total FROM customer LEFT JOIN p ON p.cust = c_custkey",
