@@ -480,3 +480,21 @@ def test_rule_packs_are_told_apart(spark):
     spark.createDataFrame([("a.py", "import os"), ("b.py", "def (")], "path string, text string").createOrReplaceTempView("pack_files")
     got = spark.sql("SELECT path, kind, value FROM python_facts(TABLE(pack_files) PARTITION BY path)")
     assert rows(got) == [("a.py", "import", "os"), ("b.py", "warning", "unparseable")]
+
+
+def test_layers_are_counted_in_batches(spark, monkeypatch):
+    """A chain of many layers takes few rounds, batches of few edges give the same, and what reaches a cycle is left."""
+    n = 60
+    chain = [(f"n{i + 1}", f"n{i}") for i in range(n)] + [(f"n{i}", "n0") for i in range(2, n, 3)]
+    edges = spark.createDataFrame(chain, "source string, target string")
+    nodes = spark.createDataFrame([(f"n{i}",) for i in range(n + 1)], "id string")
+    written = []
+    cut = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(1) or cut(df))
+    want = {f"n{i}": i for i in range(n + 1)}
+    assert {r["id"]: r["height"] for r in graph.heights(nodes, edges).collect()} == want
+    assert len(written) < 15
+    monkeypatch.setattr(graph, "BATCH_EDGES", 40)
+    assert {r["id"]: r["height"] for r in graph.heights(nodes, edges).collect()} == want
+    placed, left = graph.layered(nodes, edges.union(spark.createDataFrame([("n50", "n52")], edges.schema)))
+    assert {r["id"] for r in left.collect()} == {f"n{i}" for i in range(50, n + 1)} and placed.count() == 50

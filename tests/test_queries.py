@@ -59,22 +59,26 @@ def test_graph_queries_of_all_line_items(spark, con):
 def test_plans_of_clusters_of_many_sizes(spark, con):
     """Against plain Python over all line items: cycles of several sizes in layers, units that are no suppliers left out of the plan."""
     programs = {s for (s,) in con.execute("SELECT s_suppkey FROM supplier").fetchall()}
-    level = lambda x: (x >= 1) + (x >= 3) + (x >= 6)
-    edges = set()
-    for s, p in con.execute("SELECT l_suppkey, l_partkey FROM lineitem").fetchall():
-        base, a, b = s - s % 12, s % 12, p % 12
-        if level(a) < level(b):
-            a, b = b, a
-        edges.add((base + a, base + b))
+    group = lambda x: x // 12 * 4 + (x % 12 >= 1) + (x % 12 >= 3) + (x % 12 >= 6)
+    turned = lambda a, b: (b, a) if group(a) < group(b) else (a, b)
+    items = con.execute("SELECT l_suppkey, l_partkey FROM lineitem").fetchall()
+    near = {turned(s, s - s % 12 + p % 12) for s, p in items}
+    edges = near | {turned(s, p % len(programs)) for s, p in items}
+    # no pair of units that line items name is left out
+    assert {frozenset((s, p % len(programs))) for s, p in items} <= {frozenset(e) for e in edges}
     name = "u{:06d}".format
     run = lambda q: entry.queries()[q](spark, SF)
-    nodes = {x for a, b in edges if a != b for x in (a, b)}
-    reach = {a: {a} for a in nodes}
-    for _ in range(12):
-        reach = {a: reach[a].union(*(reach[b] for x, b in edges if x == a)) for a in nodes}
-    same = {a: {b for b in reach[a] if a in reach[b]} for a in nodes}
-    cluster = {a: f"cluster-{name(min(m))}" if len(m) > 1 else name(a) for a, m in same.items()}
-    assert {r["id"]: r["cluster"] for r in run("scc_clusters").collect()} == {name(a): c for a, c in cluster.items()}
+
+    def components(edges):
+        nodes = {x for a, b in edges if a != b for x in (a, b)}
+        reach = {a: {a} for a in nodes}
+        for _ in range(12):
+            reach = {a: reach[a].union(*(reach[b] for x, b in edges if x == a)) for a in nodes}
+        same = {a: {b for b in reach[a] if a in reach[b]} for a in nodes}
+        return same, {a: f"cluster-{name(min(m))}" if len(m) > 1 else name(a) for a, m in same.items()}
+
+    assert {r["id"]: r["cluster"] for r in run("scc_clusters").collect()} == {name(a): c for a, c in components(near)[1].items()}
+    same, cluster = components(edges)
     assert len({len(m) for m in same.values()}) > 2
     between = {(cluster[a], cluster[b]) for a, b in edges if a != b and cluster[a] != cluster[b]}
     assert {(r["source"], r["target"]) for r in run("condensation").collect()} == between and between
