@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.functions.tables import dealt
 from lodestrata.operators.fixed import FACTORIES, FACTORY_MODULES, NAMING_ARGUMENTS, RESOURCE_KINDS
 from lodestrata.operators.graph import closure
 
@@ -32,9 +33,9 @@ def _factory(call: ast.AST | None) -> str | None:
 class Bindings:
     """Services of names: those that factories, methods of bound names, and chains on either give, in the order of the source."""
 
-    def __init__(self, tree: ast.AST):
+    def __init__(self, nodes: Iterable[ast.AST]):
         self.known: dict[str, str] = {}
-        for node in ast.walk(tree):
+        for node in nodes:
             match node:
                 case ast.Assign(targets=[ast.Name(id=name)], value=value) | ast.AnnAssign(target=ast.Name(id=name), value=value):
                     found = _factory(value) or (self.service(value) if isinstance(value, ast.Call) else None)
@@ -84,14 +85,15 @@ def _facts_of(path: str, tree: ast.AST | None) -> list[tuple]:
     if tree is None:
         return [(path, 0, 0, 0, "warning", None, "unparseable", None)]
     own: list[tuple] = []
-    for node in ast.walk(tree):
+    nodes = list(ast.walk(tree))
+    for node in nodes:
         if isinstance(node, ast.Import):
             own += [(node.lineno, node.lineno, "import", None, a.name, None) for a in node.names]
         elif isinstance(node, ast.ImportFrom):
             own.append((node.lineno, node.lineno, "import", None, "." * node.level + (node.module or ""), None))
     own += [(n.lineno, n.end_lineno, "function", None, n.name, None) for n in tree.body if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]
-    bound = Bindings(tree)
-    for node in ast.walk(tree):
+    bound = Bindings(nodes)
+    for node in nodes:
         if isinstance(node, ast.Call) and _factory(node) is None and (service := bound.service(node)):
             own.append((node.lineno, node.lineno, "call", service, node.func.attr, _resource(node)))
     return [(path, i, *row) for i, row in enumerate(own)]
@@ -120,7 +122,7 @@ def python_facts(files: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame([row for path, tree in _parsed(batch) for row in _facts_of(path, tree)], columns=[c.split()[0] for c in FACTS.split(", ")])
 
-    return files.select("path", "text").mapInPandas(run, FACTS)
+    return dealt(files.select("path", "text"), "path").mapInPandas(run, FACTS)
 
 
 def resource_kind(service: Column) -> Column:
@@ -138,7 +140,7 @@ def imported_modules(files: DataFrame) -> DataFrame:
                 rows += [(path, m) for n in ast.walk(tree or ast.Module([], [])) if isinstance(n, _BRANCHES) for m in _modules(n, folder)]
             yield pd.DataFrame(rows, columns=["path", "module"])
 
-    return files.select("path", "text").mapInPandas(run, "path string, module string").where("module <> ''").distinct()
+    return dealt(files.select("path", "text"), "path").mapInPandas(run, "path string, module string").where("module <> ''").distinct()
 
 
 def import_links(files: DataFrame) -> DataFrame:
