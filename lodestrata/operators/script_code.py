@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.functions.tables import dealt
 from lodestrata.functions.text import located
 from lodestrata.operators.extract import client_service, external_module
 
@@ -65,7 +66,7 @@ def sdk_calls(files: DataFrame, language: str) -> DataFrame:
     """
     before, statements, after = TOKENS.get(language, TOKENS["script"])
     pattern = "|".join([*before, *(p for _, p in statements), *after])
-    found = located(files, pattern, {f"v{i}": i + 1 for i in range(len(statements))})
+    found = located(dealt(files.select("path", "text"), "path"), pattern, {f"v{i}": i + 1 for i in range(len(statements))})
     kind = F.coalesce(*(F.when(F.col(f"v{i}") != "", k) for i, (k, _) in enumerate(statements)))
     value = F.coalesce(*(F.nullif(f"v{i}", F.lit("")) for i in range(len(statements))))
     f = found.select("path", "line_no", kind.alias("kind"), value.alias("value")).where("kind is not null")
