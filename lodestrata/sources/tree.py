@@ -18,8 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from lodestrata.functions.tables import dealt
+
 #: Bytes of files that a task reads, what opening a file counts as, and bytes of text that are handed over at once.
 PART_BYTES, OPEN_BYTES, BATCH_BYTES = 32 << 20, 64 << 10, 4 << 20
+#: Parts beyond which opening a file counts as less, so that many small files are not many thousands of tasks.
+MANY_PARTS = 1000
 _SCHEMA = pa.schema([("path", pa.string()), ("size", pa.int64()), ("text", pa.string())])
 
 
@@ -51,15 +55,16 @@ class TreeReader(DataSourceReader):
         store, base = _opened(self.root)
         found = store.get_file_info(fs.FileSelector(base, recursive=True))
         files = sorted((posixpath.relpath(f.path, base), f.size) for f in found if f.type == fs.FileType.File)
+        files = [(name, size) for name, size in files if not self.suffixes or posixpath.splitext(name)[1].lower() in self.suffixes]
+        parts = sum(size + OPEN_BYTES for _, size in files) / self.most
+        opening = OPEN_BYTES if parts <= MANY_PARTS else int(OPEN_BYTES * MANY_PARTS / parts)
         out, held = [], self.most
         for name, size in files:
-            if self.suffixes and posixpath.splitext(name)[1].lower() not in self.suffixes:
-                continue
-            if held + size > self.most:
+            if not out or held + size > self.most:
                 out.append(Files([]))
                 held = 0
             out[-1].names.append(name)
-            held += size + OPEN_BYTES
+            held += size + opening
         return out or [Files([])]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
@@ -139,6 +144,6 @@ def read_tree(spark: SparkSession, root: str, suffixes: list[str] | None = None,
 
 
 def write_tree(files: DataFrame, root: str) -> None:
-    """``files`` (path below the root, text or binary content) as files below ``root``; the last one stands where paths repeat in a task, any one where they do across tasks."""
+    """``files`` (path below the root, text or binary content) as files below ``root``, dealt to tasks by their paths; where paths repeat, one stands."""
     files.sparkSession.dataSource.register(TreeSource)
-    files.write.format("tree").mode("append").save(root)
+    dealt(files, "path").write.format("tree").mode("append").save(root)

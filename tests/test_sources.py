@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from lodestrata.operators import extract, script_code
+from lodestrata.operators import extract, python_code, script_code
 from lodestrata.sources import log, tree
 
 
@@ -113,3 +114,19 @@ def test_tokens_of_very_long_texts(spark):
 def test_patterns_go_over_lines(spark):
     df = spark.createDataFrame([("p", "\nimport {\n A\n} from 'x';\nnew\n SQSClient(\n)")], "path string, text string")
     assert {tuple(r) for r in extract.sdk_calls_by_regex(df, "node").collect()} == {("p", 1, "import", "x", None, True), ("p", 5, "new", "SQSClient", "sqs", None)}
+
+
+def test_many_small_files_are_not_many_tasks(tmp_path, monkeypatch):
+    for i in range(300):
+        (tmp_path / f"n{i}.py").write_text("x" * (i % 7))
+    monkeypatch.setattr(tree, "MANY_PARTS", 10)
+    parts = tree.TreeReader({"path": str(tmp_path), "partBytes": "100000"}).partitions()
+    assert len(parts) <= 11
+    assert sorted(n for p in parts for n in p.names) == sorted(f"n{i}.py" for i in range(300))
+
+
+def test_rows_of_one_small_file_are_dealt_to_many_tasks(spark):
+    rows = spark.createDataFrame([(f"m{i}.py", f"import m{i}\n") for i in range(64)], "path string, text string").coalesce(1)
+    tasks = lambda df: df.select(F.spark_partition_id().alias("t")).distinct().count()
+    assert tasks(python_code.python_facts(rows)) > 4
+    assert tasks(script_code.sdk_calls(rows.withColumn("text", F.lit("import './a'")), "node")) > 1
