@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.operators.graph import dangling_edges
 from lodestrata.sources.log import append_lines
 from lodestrata.sources.tree import read_tree
 
@@ -65,16 +64,18 @@ def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 def validated(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     rest = [c for c in edges.columns if c not in ("source", "target", "kind", "evidence")]
     once = edges.groupBy("source", "target", "kind", "evidence").agg(F.min_by(F.struct(*rest), "ord").alias("r")).select("source", "target", "kind", "evidence", "r.*")
-    loose = dangling_edges(nodes, once.select("source", "target", "kind")).head()
+    ends = edges.select(F.col("source").alias("id")).distinct().union(edges.select("target").distinct()).distinct()
+    lost = ends.join(nodes.select("id"), "id", "left_anti").head()
+    loose = None if lost is None else edges.where((F.col("source") == lost["id"]) | (F.col("target") == lost["id"])).head()
     if loose is not None:
         raise KeyError(f"an end of {loose['source']} -> {loose['target']} is no node")
     return nodes, once.select(*edges.columns)
 
 
 def write_snapshot(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """The graph as two JSON tables: lines of nodes and of edges, distributed as they are."""
-    nodes.write.mode("overwrite").json(f"{path}/nodes")
-    edges.write.mode("overwrite").json(f"{path}/edges")
+    """The graph as two JSON tables, compressed: lines of nodes and of edges, distributed as they are."""
+    nodes.write.mode("overwrite").option("compression", "gzip").json(f"{path}/nodes")
+    edges.write.mode("overwrite").option("compression", "gzip").json(f"{path}/edges")
 
 
 def read_snapshot_tables(spark: SparkSession, path: str, node_schema: str, edge_schema: str) -> tuple[DataFrame, DataFrame]:
@@ -84,8 +85,8 @@ def read_snapshot_tables(spark: SparkSession, path: str, node_schema: str, edge_
 
 
 def write_checkpoint(runs: DataFrame, path: str) -> None:
-    """Whole-run documents (CHECKPOINT), a line each."""
-    runs.write.mode("overwrite").json(path)
+    """Whole-run documents (CHECKPOINT), a line each, compressed."""
+    runs.write.mode("overwrite").option("compression", "gzip").json(path)
 
 
 def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
@@ -107,10 +108,12 @@ def cost_reports(checkpoints: DataFrame, budgets: DataFrame) -> tuple[DataFrame,
     unit = lambda u: F.struct(u["unit_id"].alias("unit_id"), u["wave"].alias("wave"), u["status"].alias("status"), F.round(u["cost_usd"], 6).alias("cost_usd"), u["tokens"].alias("tokens"))
     units = F.flatten(F.transform("waves", lambda w: F.transform(w["unit_results"], unit)))
     both = checkpoints.join(budgets, "run_id").withColumn("units", units)
+    # the history needs the number of units alone, so they don't go through its join
+    counted = checkpoints.select("run_id", "updated_at", "cartridge_id", F.size(units).alias("units")).join(budgets, "run_id")
     spent = F.struct(*(F.col(c) for c in budgets.columns if c != "run_id")).alias("budget")
     reports = both.select("run_id", "cartridge_id", "repo_root", "workdir", "started_at", F.col("updated_at").alias("finished_at"), "stage", spent, "units")
-    log = both.select(
-        "run_id", F.col("updated_at").alias("finished_at"), "cartridge_id", F.size("units").alias("units"), "calls", "input_tokens", "output_tokens", F.round("used_usd", 6).alias("used_usd"),
+    log = counted.select(
+        "run_id", F.col("updated_at").alias("finished_at"), "cartridge_id", "units", "calls", "input_tokens", "output_tokens", F.round("used_usd", 6).alias("used_usd"),
         F.round("max_usd", 2).alias("max_usd"), "halted",
     )
     return reports, log

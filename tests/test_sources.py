@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.operators import extract, python_code, script_code
-from lodestrata.sources import log, tree
+from lodestrata.sources import files, log, tree
 
 
 def test_tree_reads_all_names(spark, tmp_path):
@@ -130,3 +130,15 @@ def test_rows_of_one_small_file_are_dealt_to_many_tasks(spark):
     tasks = lambda df: df.select(F.spark_partition_id().alias("t")).distinct().count()
     assert tasks(python_code.python_facts(rows)) > 4
     assert tasks(script_code.sdk_calls(rows.withColumn("text", F.lit("import './a'")), "node")) > 1
+
+
+def test_snapshots_are_compressed_and_loose_ends_named(spark, tmp_path):
+    nodes = spark.createDataFrame([("a",), ("b",)], "id string")
+    edges = spark.createDataFrame([("a", "b", "k", None, 1), ("a", "b", "k", None, 2)], "source string, target string, kind string, evidence string, ord long")
+    files.write_snapshot(nodes, edges, str(tmp_path / "g"))
+    assert {p.suffix for p in (tmp_path / "g").rglob("part-*")} == {".gz"}
+    read = lambda: files.read_snapshot_tables(spark, str(tmp_path / "g"), "id string", edges.schema.simpleString()[7:-1])[1].collect()
+    assert [tuple(r) for r in read()] == [("a", "b", "k", None, 1)]
+    files.write_snapshot(nodes.where("id = 'a'"), edges, str(tmp_path / "g"))
+    with pytest.raises(KeyError, match="a -> b"):
+        read()
