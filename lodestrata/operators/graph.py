@@ -344,10 +344,11 @@ def program_members(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return closure(edges, programs, ["contains"], include_root=True).select(F.col("root").alias("program"), "node")
 
 
-def dataflow(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(program, target, kind): reads and writes lifted to programs; a write beats a read."""
+def dataflow(nodes: DataFrame, edges: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """(program, target, kind): reads and writes lifted to programs; a write beats a read. ``members`` are those of program_members, where they are there."""
     flow = edges.where(F.col("kind").isin("reads", "writes")).groupBy("source", "target").agg(F.max("kind").alias("kind"))
-    lifted = flow.join(program_members(nodes, edges).withColumnRenamed("node", "source"), "source")
+    members = program_members(nodes, edges) if members is None else members
+    lifted = flow.join(members.withColumnRenamed("node", "source"), "source")
     return lifted.groupBy("program", "target").agg(F.max("kind").alias("kind"))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.functions.tables import cut
 from lodestrata.operators.fixed import EDGE_STYLES, NODE_SHAPES, UNIT_EDGE_COLOURS
 from lodestrata.operators.graph import dataflow, program_members, union_all
 
@@ -75,10 +76,10 @@ def _frame(df: DataFrame, head: str, tail: str) -> DataFrame:
     return df.sparkSession.createDataFrame([(0, "", "", head), (9, "", "", tail)], "section int, owner string, ord string, line string")
 
 
-def call_graph(nodes: DataFrame, edges: DataFrame, form: str = "dot") -> DataFrame:
+def call_graph(nodes: DataFrame, edges: DataFrame, form: str = "dot", members: DataFrame | None = None) -> DataFrame:
     """(section, owner, ord, line): programs as clusters of what they contain, jobs, steps and call targets outside of them, control-flow edges."""
     dot = form == "dot"
-    inside = program_members(nodes, edges).where("program <> node")
+    inside = (program_members(nodes, edges) if members is None else members).where("program <> node")
     names = nodes.where("kind = 'program'").select(F.col("id").alias("program"), F.col("name").alias("owner"))
     kids = nodes.where(F.col("kind").isin(*CALL_NODES)).join(inside.withColumnRenamed("node", "id"), "id").join(names, "program")
     flow = edges.where(F.col("kind").isin(*CALL_EDGES)).groupBy("source", "target", "kind").agg(F.min("ord").alias("ord"))
@@ -103,11 +104,11 @@ def call_graph(nodes: DataFrame, edges: DataFrame, form: str = "dot") -> DataFra
     ])
 
 
-def data_flow(nodes: DataFrame, edges: DataFrame, form: str = "dot") -> DataFrame:
+def data_flow(nodes: DataFrame, edges: DataFrame, form: str = "dot", lifted: DataFrame | None = None) -> DataFrame:
     """(section, owner, ord, line): programs and what they read or write, lifted from their paragraphs; in DOT also steps, their datasets and redefinitions."""
     shown = nodes.where((F.col("kind") == "program") | F.col("kind").isin(*DATA_NODES))
     data = nodes.where(F.col("kind").isin(*DATA_NODES)).select(F.col("id").alias("target"))
-    flow = dataflow(nodes, edges).join(data, "target", "left_semi").select(F.col("program").alias("source"), "target", "kind")
+    flow = (dataflow(nodes, edges) if lifted is None else lifted).join(data, "target", "left_semi").select(F.col("program").alias("source"), "target", "kind")
     ends = F.concat_ws(">", "source", "target", "kind")
     if form == "mermaid":
         around = F.when(F.col("kind") == "dataset_ref", F.array(F.lit('[("'), F.lit('")]'))).when(F.col("kind") == "program", F.array(F.lit('["<b>'), F.lit('</b>"]'))).otherwise(F.array(F.lit('["'), F.lit('"]')))
@@ -161,6 +162,8 @@ def document(lines: DataFrame) -> DataFrame:
 def write_lines(lines: DataFrame, path: str) -> None:
     """Lines in files whose names follow the order of places, range-partitioned, for graphs of any size."""
     places = ("section", "owner", "ord")
+    # written once: ranges are sampled from what is then dealt
+    lines = cut(lines)
     lines.repartitionByRange(*places).sortWithinPartitions(*places).select(F.col("line").alias("value")).write.mode("overwrite").text(path)
 
 
@@ -173,9 +176,14 @@ def export_graph(nodes: DataFrame, edges: DataFrame, units: DataFrame, path: str
     fs = done.getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.exists(done):
         return []
+    # all parts ask the same tables, members and flow
+    nodes, edges = cut(nodes), cut(edges)
+    members = cut(program_members(nodes, edges))
+    lifted = cut(dataflow(nodes, edges, members))
     write_snapshot(nodes, edges, f"{path}/kg")
     units.write.mode("overwrite").json(f"{path}/units")
-    renders = {"call_graph.dot": call_graph(nodes, edges), "call_graph.mmd": call_graph(nodes, edges, "mermaid"), "dataflow.dot": data_flow(nodes, edges), "dataflow.mmd": data_flow(nodes, edges, "mermaid")}
+    renders = {f"call_graph.{end}": call_graph(nodes, edges, form, members) for end, form in (("dot", "dot"), ("mmd", "mermaid"))}
+    renders |= {f"dataflow.{end}": data_flow(nodes, edges, form, lifted) for end, form in (("dot", "dot"), ("mmd", "mermaid"))}
     for name, lines in renders.items():
         write_lines(lines, f"{path}/graphs/{name}")
     fs.create(done).close()

@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.operators import extract, python_code, script_code
-from lodestrata.sources import files, log, tree
+from lodestrata.operators import extract, graph, python_code, script_code
+from lodestrata.sources import files, log, renders, tree
 
 
 def test_tree_reads_all_names(spark, tmp_path):
@@ -142,3 +142,14 @@ def test_snapshots_are_compressed_and_loose_ends_named(spark, tmp_path):
     files.write_snapshot(nodes.where("id = 'a'"), edges, str(tmp_path / "g"))
     with pytest.raises(KeyError, match="a -> b"):
         read()
+
+
+def test_an_export_asks_members_once(spark, tmp_path, monkeypatch):
+    nodes = spark.createDataFrame([("p", "program", "P", {}), ("q", "paragraph", "Q", {}), ("f", "file", "F", {})], "id string, kind string, name string, attributes map<string,string>")
+    edges = spark.createDataFrame([("p", "q", "contains", None, 1), ("q", "f", "reads", None, 2)], "source string, target string, kind string, evidence string, ord long")
+    asked, real = [], graph.program_members
+    for module in (graph, renders):
+        monkeypatch.setattr(module, "program_members", lambda n, e: asked.append(1) or real(n, e))
+    renders.export_graph(nodes, edges, nodes.select(F.col("id").alias("unit_id")), f"file://{tmp_path}/x")
+    assert len(asked) == 1
+    assert any("p -->|reads| f" in r["value"] for r in spark.read.text(f"file://{tmp_path}/x/graphs/dataflow.mmd").collect())
