@@ -203,9 +203,7 @@ def _around(s, d):
     n = table(s, d, "supplier").agg(F.count("*").alias("n"))
     own = table(s, d, "part").join(F.broadcast(n)).select((F.col("p_partkey") % F.col("n")).alias("file"), F.col("p_name").alias("name"), (F.col("p_partkey") % 89 * 11).alias("start_line"), (F.col("p_partkey") % 89 * 11 + F.col("p_size") * F.col("p_size")).alias("end_line"))
     items = table(s, d, "lineitem").select(F.col("l_suppkey").alias("file"), "l_orderkey", "l_linenumber", (F.col("l_orderkey") % 4000).alias("line"))
-    key = ["l_orderkey", "l_linenumber"]
-    count = spans.holding(items, own, ["file"]).groupBy(*key).agg(F.count("*").alias("n"))
-    return spans.innermost(items, own, ["file"], key).join(count, key)
+    return spans.around(items, own, ["file"], ["l_orderkey", "l_linenumber"])
 
 
 def _fences(s, d):

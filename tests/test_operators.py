@@ -454,6 +454,35 @@ def test_spans_hold_points_as_a_range_join_does(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_points_around_are_dealt_once(spark):
+    """What is around a point, by key, of which some are told twice; no row is made for each span around it."""
+    rng = random.Random(7)
+    own = [("f" if i % 9 else "g", i, a := rng.choice((0, 1, 255, 256, 257, rng.randrange(5000))), a + rng.choice((-1, 0, 1, 255, rng.randrange(4000), 2**31 - 6000))) for i in range(150)]
+    at = [("f" if i % 20 else "g", i // 2 if i < 40 else i, rng.choice((0, 255, 256, 4095, 2**31 - 7000, rng.randrange(9000)))) for i in range(300)] + [("h", 900, 5), ("f", 901, None)]
+    s = spark.createDataFrame(own, "file string, name long, start_line long, end_line long")
+    p = spark.createDataFrame(at, "file string, ord long, line long")
+    want = {}
+    for f, o, x in at:
+        for g, n, a, b in own:
+            if f == g and x is not None and a <= x <= b:
+                want.setdefault(o, []).append((-a, b, n))
+    got = spans.around(p, s, ["file"], ["ord"])
+    assert rows(got.select("ord", "name", "n")) == sorted((o, min(w)[2], len(w)) for o, w in want.items())
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spans.around(p, s, ["file"], ["ord"])
+        df.collect()
+        made, plans = 0, [df._jdf.queryExecution().executedPlan()]
+        while plans:
+            plan = plans.pop()
+            if plan.nodeName().endswith("Join") and any(a.name() == "ord" for a in (plan.output().apply(i) for i in range(plan.output().size()))):
+                made = max(made, plan.metrics().apply("numOutputRows").value())
+            plans += [plan.children().apply(i) for i in range(plan.children().size())]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert 0 < made <= len(at)
+
+
 def test_hints_are_checked_in_one_pass(spark):
     hints = spark.createDataFrame([("a", "q", "aws", "n", "reads_from", "e1", 1.0), (None, "q", "aws", "n", "reads_from", "e2", 1.0), ("a", "q", "aws", "n", None, "e3", 1.0), ("z", "q", "aws", None, "reads_from", "e4", 0.7)],
                                   "source_unit string, target_kind string, provider string, name string, kind string, evidence string, confidence double")
