@@ -19,9 +19,10 @@ def dd_lookup(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return bound.groupBy(F.upper("dd_name").alias("dd")).agg(F.max_by("dataset", F.struct("ord", "source")).alias("dataset"))
 
 
-def symbol() -> Column:
-    letters = F.concat(*(F.when(F.col(c), x).otherwise("") for c, x in zip(FLAGS, "CRUD")))
-    return F.coalesce(F.when(letters != "", letters), F.when(F.col("touches_only"), "*"), F.lit("?"))
+def symbol(of: str = "") -> Column:
+    """The letters of the flags, whose columns end in ``of``."""
+    letters = F.concat(*(F.when(F.col(f"{c}{of}"), x).otherwise("") for c, x in zip(FLAGS, "CRUD")))
+    return F.coalesce(F.when(letters != "", letters), F.when(F.col(f"touches_only{of}"), "*"), F.lit("?"))
 
 
 def _resources(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -43,17 +44,13 @@ def _resources(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return own.unionByName(found.select("target", F.lit("dataset").alias("rkind"), "rname", F.lit(False).alias("own")))
 
 
-def _evidence() -> Column:
-    return F.transform(F.array_sort(F.flatten(F.collect_list("told"))), lambda x: x["evidence"]).alias("evidence")
-
-
 def crud_matrix(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(program, kind, name, flags, n_evidence, evidence, symbol). A read gives R, a write C and U; only paragraphs' edges count.
 
     nodes: (id, kind, name, dd_name, verb, start_line); edges: (source, target, kind, evidence, ord, dd_name). Edges are
     combined by (source, target, kind) before anything is joined, so the large side of every later join is the number
-    of distinct pairs, not of facts; evidence is held once an edge, by ``ord``. Rows that only job control touches
-    follow by an anti-join.
+    of distinct pairs, not of facts; evidence is held once an edge, by ``ord``. What job control touches counts where
+    nothing reads or writes it; both are told apart in one aggregate, so that reads and writes are joined once.
     """
     told = F.array_compact(F.collect_list(F.when(F.col("evidence").isNotNull(), F.struct("ord", "evidence"))))
     flow = edges.where(F.col("kind").isin("reads", "writes")).groupBy("source", "target", "kind").agg(F.count("*").alias("n"), told.alias("told"))
@@ -61,21 +58,27 @@ def crud_matrix(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     inside = program_members(nodes, edges).join(nodes.where("kind = 'paragraph'").select(F.col("id").alias("node")), "node").join(names, "program")
     rows = flow.join(inside.select("pname", F.col("node").alias("source")), "source").join(_resources(nodes, edges), "target")
     name = F.when(F.col("own"), F.concat_ws(":", "pname", "rname")).otherwise(F.col("rname"))
-    used = rows.groupBy(F.col("pname").alias("program"), F.col("rkind").alias("kind"), name.alias("name")).agg(
-        F.bool_or(F.col("kind") == "writes").alias("create_"), F.bool_or(F.col("kind") == "reads").alias("read_"), F.sum("n").alias("n_evidence"), _evidence()
-    )
-    no = F.lit(False)
-    used = used.select("program", "kind", "name", "create_", "read_", F.col("create_").alias("update_"), no.alias("delete_"), no.alias("touches_only"), "n_evidence", "evidence")
+    used = rows.select(F.col("pname").alias("program"), F.col("rkind").alias("kind"), name.alias("name"), (F.col("kind") == "writes").alias("w"), F.lit(True).alias("used"), "n", "told")
     steps = edges.where("kind = 'step_of'").select(F.col("source").alias("program"), F.col("target").alias("step")).join(names, "program")
     bound = edges.where("kind = 'dd_of'").select(F.col("source").alias("step"), F.col("target").alias("id"), F.array(F.struct("ord", "evidence")).alias("told"))
     datasets = nodes.where("kind = 'dataset_ref'").select("id", F.col("name").alias("rname"))
-    each = steps.join(bound, "step").join(datasets, "id").withColumn("told", F.filter("told", lambda x: x["evidence"].isNotNull()))
-    touched = each.groupBy(F.col("pname").alias("program"), F.col("rname").alias("name")).agg(F.count("*").alias("n_evidence"), _evidence())
-    touched = touched.withColumn("kind", F.lit("dataset")).join(used.select("program", "kind", "name"), ["program", "kind", "name"], "left_anti")
-    touched = touched.select(
-        "program", "kind", "name", no.alias("create_"), no.alias("read_"), no.alias("update_"), no.alias("delete_"), F.lit(True).alias("touches_only"), "n_evidence", "evidence"
+    touched = steps.join(bound, "step").join(datasets, "id").select(
+        F.col("pname").alias("program"), F.lit("dataset").alias("kind"), F.col("rname").alias("name"), F.lit(False).alias("w"), F.lit(False).alias("used"), F.lit(1).cast("long").alias("n"),
+        F.filter("told", lambda x: x["evidence"].isNotNull()).alias("told"))
+    evidence = lambda cond: F.transform(F.array_sort(F.flatten(F.collect_list(F.when(cond, F.col("told"))))), lambda x: x["evidence"])
+    both = used.unionByName(touched).groupBy("program", "kind", "name").agg(
+        F.bool_or("w").alias("c"), F.bool_or(F.col("used") & ~F.col("w")).alias("r"), F.sum(F.when(F.col("used"), F.col("n"))).alias("n_used"),
+        F.sum(F.when(~F.col("used"), F.col("n"))).alias("n_touched"), evidence(F.col("used")).alias("e_used"), evidence(~F.col("used")).alias("e_touched"),
     )
-    return used.unionByName(touched).withColumn("symbol", symbol())
+    # a missing name is no other's equal: what is touched there stays beside what is used
+    is_used, unnamed = F.col("n_used").isNotNull(), F.col("program").isNull() | F.col("name").isNull()
+    both = both.withColumn("of", F.explode(F.when(unnamed & is_used & F.col("n_touched").isNotNull(), F.array(F.lit(True), F.lit(False))).otherwise(F.array(is_used))))
+    of = F.col("of")
+    creates = of & F.col("c")
+    return both.select(
+        "program", "kind", "name", creates.alias("create_"), (of & F.col("r")).alias("read_"), creates.alias("update_"), F.lit(False).alias("delete_"), (~of).alias("touches_only"),
+        F.when(of, F.col("n_used")).otherwise(F.col("n_touched")).alias("n_evidence"), F.when(of, F.col("e_used")).otherwise(F.col("e_touched")).alias("evidence"),
+    ).withColumn("symbol", symbol())
 
 
 def programs_of(matrix: DataFrame) -> DataFrame:
@@ -112,9 +115,10 @@ def writers_of(matrix: DataFrame) -> DataFrame:
 
 def kind_grid(matrix: DataFrame, kinds: list[str]) -> DataFrame:
     """A row a program, a column a resource kind: the merged symbol, ``.`` where there is none."""
-    merged = matrix.groupBy("program", "kind").agg(*(F.bool_or(c).alias(c) for c in FLAGS))
-    grid = merged.withColumn("symbol", symbol()).groupBy("program").pivot("kind", kinds).agg(F.first("symbol"))
-    return grid.na.fill(".", kinds)
+    here = lambda k: F.col("kind") == k
+    flags = (F.bool_or(F.when(here(k), F.col(c))).alias(f"{c}{i}") for i, k in enumerate(kinds) for c in FLAGS)
+    merged = matrix.groupBy("program").agg(*flags, *(F.count_if(here(k)).alias(f"n{i}") for i, k in enumerate(kinds)))
+    return merged.select("program", *(F.when(F.col(f"n{i}") > 0, symbol(str(i))).otherwise(".").alias(k) for i, k in enumerate(kinds)))
 
 
 def crud_grid(matrix: DataFrame, resources: DataFrame | None = None) -> DataFrame:
@@ -148,12 +152,13 @@ def seams(matrix: DataFrame, min_programs: int = 1) -> DataFrame:
     """(kind, name, n_programs, n_readers, n_writers, scores, total, rank): 0.4 observable + 0.4 funnel + 0.2 asymmetry.
 
     The funnel is relative to the most programs that touch any resource, taken before the filter. That
-    maximum is a one-row aggregate.
+    maximum is a one-row aggregate. A program is a row a resource before it is counted, and the counts are written once, as
+    they are asked twice.
     """
-    n = matrix.groupBy("kind", "name").agg(
-        F.count_distinct("program").alias("n_programs"), F.count_distinct(F.when(F.col("read_"), F.col("program"))).alias("n_readers"),
-        F.count_distinct(F.when(F.expr("create_ or update_ or delete_"), F.col("program"))).alias("n_writers"),
-    )
+    writes = F.expr("create_ or update_ or delete_")
+    each = matrix.groupBy("program", "kind", "name").agg(F.bool_or("read_").alias("r"), F.bool_or(writes).alias("w"))
+    named = F.col("program").isNotNull()
+    n = cut(each.groupBy("kind", "name").agg(F.count("program").alias("n_programs"), F.count_if(named & F.col("r")).alias("n_readers"), F.count_if(named & F.col("w")).alias("n_writers")))
     most = n.agg(F.coalesce(F.max("n_programs"), F.lit(1)).alias("most"))
     r, w = F.col("n_readers"), F.col("n_writers")
     asymmetry = F.when((r == 0) & (w == 0), 0.0).otherwise(F.abs(r - w) / F.greatest(r, w))

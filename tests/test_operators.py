@@ -42,6 +42,31 @@ def test_crud_matrix_resolves_files_to_datasets(spark):
     assert text[0] == "program".ljust(24) + "dataset:PROD.CUSTOMERS  " + "file:CUST-OUT".ljust(24) and text[1] == "ARCHIVER".ljust(24) + "*".ljust(24) + ".".ljust(24)
 
 
+def _operators(df):
+    """Names of the operators of the plan before it is run."""
+    found, plans = [], [df._jdf.queryExecution().optimizedPlan()]
+    while plans:
+        plan = plans.pop()
+        found.append(plan.nodeName())
+        plans += [plan.children().apply(i) for i in range(plan.children().size())]
+    return found
+
+
+def test_facts_are_joined_once(spark):
+    """What a step touches counts where nothing reads or writes it, by evidence too; neither the matrix nor what follows makes reads and writes twice."""
+    n, e = two_programs(spark, [("A", "s", "step_of", None, 6, None), ("L", "s", "step_of", None, 7, None)])
+    m = crud.crud_matrix(n, e)
+    got = {(r["program"], r["kind"]): (r["symbol"], r["n_evidence"], r["evidence"]) for r in m.where("kind = 'dataset'").collect()}
+    assert got == {("LOADER", "dataset"): ("CU", 1, ["w"]), ("REPORTER", "dataset"): ("R", 1, ["r"]), ("ARCHIVER", "dataset"): ("*", 2, [])}
+    joins = _operators(m).count("Join")
+    assert _operators(crud.seam_rank(crud.seams(m))).count("Join") <= 2
+    assert _operators(crud.kind_grid(m, ["dataset", "file"])).count("Join") == joins
+    assert joins < 12 and "LeftAnti" not in m._jdf.queryExecution().optimizedPlan().toString() and _operators(crud.seams(m)).count("Expand") == 0
+    # a program without a name isn't known to be the one that reads
+    lost = n.withColumn("name", F.when(F.col("kind") != "program", F.col("name")))
+    assert rows(crud.crud_matrix(lost, e).where("kind = 'dataset'").select("symbol", "n_evidence")) == [("*", 4), ("CRU", 2)]
+
+
 def test_seam_scores(spark):
     m = spark.createDataFrame([("A", "dataset", "SHARED", False, True, False), ("B", "dataset", "SHARED", True, False, False), ("A", "file", "PRIVATE", False, True, False)], "program string, kind string, name string, create_ boolean, read_ boolean, touches_only boolean").withColumns({"update_": F.col("create_"), "delete_": F.lit(False)})
     got = {(r["name"]): (r["total_score"], r["rank"]) for r in crud.seam_rank(crud.seams(m)).collect()}
