@@ -517,6 +517,23 @@ def test_hints_are_checked_in_one_pass(spark):
     assert counts.get == {"n_hints": 4, "n_malformed": 2, "n_orphans": 1}
 
 
+def test_products_of_units_are_made_in_blocks(spark, monkeypatch):
+    """A resource of all units, some of few, units that read only or write only; the sum of each pair is made in its block, without a row a resource."""
+    monkeypatch.setattr(depgraph, "BLOCK_UNITS", 400)
+    monkeypatch.setattr(depgraph, "BLOCK_ROWS", 1000)
+    rng = random.Random(8)
+    facts = [(f"u{u}", f"aws:sqs:{k}", rng.choice(("writes_to", "queues_to", "reads_from", "invokes")) if u % 5 else "reads_from", False) for u in range(1500) for k in ("?", "b") for _ in range(2)]
+    facts += [(f"u{rng.randrange(1510)}", f"aws:s3:n{rng.randrange(300)}", rng.choice(("writes_to", "reads_from")), rng.random() < 0.1) for _ in range(2000)] + [("u1", None, "invokes", False)]
+    e = spark.createDataFrame(facts, "source_unit string, resource string, kind string, ambiguous boolean")
+    for drop in (False, True):
+        want = depgraph.shared_edges(e, drop).groupBy("source_unit", "target_unit").agg(F.sum("n").alias("n"))
+        got = depgraph.derived_edges(e, drop)
+        assert "FlatMapGroupsInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
+        assert got.count() == want.count() > 0
+        assert got.exceptAll(want).isEmpty()
+    assert depgraph.derived_edges(e.where("false")).isEmpty()
+
+
 def test_rule_packs_are_told_apart(spark):
     own = packs.RulePack("test-only", (("sqs", "queue-x"),), {"python": (("a", 3),)}, (("sqs", "q", None, {"reads": ("get",)}),))
     assert packs.register(own) is own and packs.register(own) is own and packs.pack("test-only") is own
