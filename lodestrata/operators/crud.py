@@ -152,13 +152,15 @@ def seams(matrix: DataFrame, min_programs: int = 1) -> DataFrame:
     """(kind, name, n_programs, n_readers, n_writers, scores, total, rank): 0.4 observable + 0.4 funnel + 0.2 asymmetry.
 
     The funnel is relative to the most programs that touch any resource, taken before the filter. That
-    maximum is a one-row aggregate. A program is a row a resource before it is counted, and the counts are written once, as
-    they are asked twice.
+    maximum is a one-row aggregate. The matrix has a row a program and resource, so rows are counted, and held a row a
+    resource; only for resources without a name, of which a program may have two, programs are told apart first. The
+    counts are written once, as they are asked twice.
     """
-    writes = F.expr("create_ or update_ or delete_")
-    each = matrix.groupBy("program", "kind", "name").agg(F.bool_or("read_").alias("r"), F.bool_or(writes).alias("w"))
-    named = F.col("program").isNotNull()
-    n = cut(each.groupBy("kind", "name").agg(F.count("program").alias("n_programs"), F.count_if(named & F.col("r")).alias("n_readers"), F.count_if(named & F.col("w")).alias("n_writers")))
+    counted, lost = ("n_programs", "n_readers", "n_writers"), F.col("name").isNull()
+    known = F.col("program").isNotNull()
+    each = matrix.groupBy("kind", "name", F.when(lost, F.col("program")).alias("apart")).agg(
+        F.count("program").alias("n_programs"), F.count_if(known & F.col("read_")).alias("n_readers"), F.count_if(known & F.expr("create_ or update_ or delete_")).alias("n_writers"))
+    n = cut(each.groupBy("kind", "name").agg(*(F.sum(F.when(lost, F.least(F.col(c), F.lit(1))).otherwise(F.col(c))).alias(c) for c in counted)))
     most = n.agg(F.coalesce(F.max("n_programs"), F.lit(1)).alias("most"))
     r, w = F.col("n_readers"), F.col("n_writers")
     asymmetry = F.when((r == 0) & (w == 0), 0.0).otherwise(F.abs(r - w) / F.greatest(r, w))

@@ -65,6 +65,10 @@ def test_facts_are_joined_once(spark):
     # a program without a name isn't known to be the one that reads
     lost = n.withColumn("name", F.when(F.col("kind") != "program", F.col("name")))
     assert rows(crud.crud_matrix(lost, e).where("kind = 'dataset'").select("symbol", "n_evidence")) == [("*", 4), ("CRU", 2)]
+    # a dataset without a name, which a program writes and touches, has it once
+    bare = crud.crud_matrix(n.withColumn("name", F.when(F.col("kind") != "dataset_ref", F.col("name"))), e.unionByName(spark.createDataFrame([("lp", "d", "writes", "x", 8, None)], EDGE)))
+    assert rows(bare.where("kind = 'dataset' and program = 'LOADER'").select("symbol")) == [("*",), ("CU",)]
+    assert rows(crud.seams(bare).where("name is null").select("n_programs", "n_readers", "n_writers")) == [(3, 1, 1)]
 
 
 def test_seam_scores(spark):
