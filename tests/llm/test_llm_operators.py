@@ -656,3 +656,21 @@ def test_line_classes_where_the_first_has_no_id(spark):
     line = "one two three four five six"
     got = line_dedup.by_document(line_dedup.judged_lines(spark.createDataFrame([(1, None, line), (2, 7, line), (3, 9, line)], "row long, doc_id long, text string"))).collect()
     assert {(r["row"], r["class_id"], tuple(r["removed"])) for r in got} == {(1, None, ()), (2, None, (0,)), (3, None, (0,))}
+
+
+def test_near_copies_are_counted_without_a_row_for_each_pair(spark):
+    """Lines of one star: all pairs are linked, few are joined; nothing runs in Python."""
+    rng = random.Random(3)
+    base = [f"{'abcdefghij'[i % 10] * (3 + i % 9)}{i}" for i in range(60)]
+    rows = [(i, " ".join(base)) for i in range(5)]
+    rows += [(10 + i, " ".join(w if k != i % 60 and (i < 60 or rng.random() > 0.07) else f"q{rng.randrange(10 ** 6)}" for k, w in enumerate(base))) for i in range(120)]
+    docs = spark.createDataFrame([(i, i, t) for i, t in rows], "row long, doc_id long, text string")
+    lines = docs.select(F.xxhash64("text").alias("id"), F.col("text").alias("line"))
+    sets = {t: set(t.split()) for _, t in rows}
+    degree = {t: sum(u != t and len(a & b) * 5 >= len(a | b) * 4 for u, b in sets.items()) for t, a in sets.items()}
+    links, stars = line_dedup.linked(lines)
+    assert links.count() * 10 < sum(degree.values()) / 2 and stars.count() > 60
+    judged = line_dedup.judged_lines(docs)
+    assert {r["doc_id"]: r["links"] for r in judged.collect()} == {i: degree[t] for i, t in rows}
+    assert line_dedup.line_links(lines).count() == sum(degree.values()) / 2
+    assert not re.search("Python|Arrow|Pandas", judged._jdf.queryExecution().toString())
