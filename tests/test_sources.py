@@ -35,6 +35,24 @@ def test_tree_is_dealt_by_bytes(spark, tmp_path):
     assert df.count() == 60 and df.rdd.getNumPartitions() == len(parts)
 
 
+def test_a_large_tree_is_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """Wide and deep folders, of which each task lists a few names only; the driver is given no file."""
+    names = [f"w{i}/_{i}.py" for i in range(40)] + ["/".join(["d"] * n) + f"/f{n}.PY" for n in range(1, 9)] + [f"w{i}/n.txt" for i in range(5)] + ["top.py"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text(n)
+    (tmp_path / "empty/er").mkdir(parents=True)
+    reader = tree.TreeReader({"path": str(tmp_path), "suffixes": ".py"})
+    assert sorted(r["path"] for r in tree.listed(spark, reader).collect()) == sorted(n for n in names if not n.endswith(".txt"))
+    monkeypatch.setattr(tree, "LISTED", 10)
+    monkeypatch.setattr(tree.TreeReader, "partitions", None)
+    for walked in (0, 3, 50_000):
+        # workers have their own module: the bound goes with the reader
+        monkeypatch.setattr(tree, "WALKED", walked)
+        got = [(r["path"], r["size"], r["text"]) for r in tree.read_tree(spark, str(tmp_path), [".py"]).collect()]
+        assert sorted(got) == sorted((n, len(n), n) for n in names if not n.endswith(".txt"))
+
+
 def test_tree_writes_again_and_refuses_paths_outside(spark, tmp_path):
     df = spark.createDataFrame([("a/_b.py", "1"), ("c", "2")], "path string, text string")
     for _ in range(2):
