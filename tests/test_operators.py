@@ -573,3 +573,25 @@ def test_layers_are_counted_in_batches(spark, monkeypatch):
     assert {r["id"]: r["height"] for r in graph.heights(nodes, edges).collect()} == want
     placed, left = graph.layered(nodes, edges.union(spark.createDataFrame([("n50", "n52")], edges.schema)))
     assert {r["id"] for r in left.collect()} == {f"n{i}" for i in range(50, n + 1)} and placed.count() == 50
+
+
+def test_layers_and_clusters_are_counted_by_codes(spark, monkeypatch):
+    """Edges are written anew only when a part of them is closed, not in each round; what tasks exchange of them is numbers, and results are those of names."""
+    monkeypatch.setattr(graph, "BATCH_EDGES", 20)
+    monkeypatch.setattr(graph, "OPEN_SHARE", 0.5, raising=False)
+    written, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(dict(df.dtypes)) or cut(df))
+    n = 40
+    dense = [(f"n{i:02d}", f"n{j:02d}") for i in range(n) for j in range(i)]
+    e = spark.createDataFrame(dense, "source string, target string")
+    assert {r["id"]: r["height"] for r in graph.heights(spark.createDataFrame([(f"n{i:02d}",) for i in range(n)], "id string"), e).collect()} == {f"n{i:02d}": i for i in range(n)}
+    rounds = sum(set(w) == {"id", "height"} for w in written)
+    assert rounds > 3 and sum(set(w) == {"source", "target"} for w in written) < rounds
+    written.clear()
+    # cycles of two in a chain, a loop of one node, a null end
+    pairs = [(f"c{i}", f"d{i}") for i in range(4)] + [(f"d{i}", f"c{i}") for i in range(4)] + [(f"c{i + 1}", f"d{i}") for i in range(3)] + [("e", "c3"), ("f", "f"), ("g", None)]
+    e = spark.createDataFrame(pairs, "source string, target string")
+    assert rows(graph.strongly_connected(e)) == sorted([(f"{x}{i}", f"cluster-c{i}") for i in range(4) for x in "cd"] + [("e", "e")])
+    assert all(w[c] == "bigint" for w in written for c in ("source", "target") if c in w)
+    u = spark.createDataFrame([(x,) for x in ("c0", "d0", "c3", "e", "f", "h")], "unit_id string")
+    assert rows(depgraph.waves(u, e)) == [("c0", "cluster-c0", 1, 1), ("c3", "cluster-c3", 1, 2), ("d0", "cluster-c0", 1, 3), ("e", "e", 2, 1), ("f", "f", 1, 4), ("h", "h", 1, 5)]
