@@ -595,3 +595,16 @@ def test_layers_and_clusters_are_counted_by_codes(spark, monkeypatch):
     assert all(w[c] == "bigint" for w in written for c in ("source", "target") if c in w)
     u = spark.createDataFrame([(x,) for x in ("c0", "d0", "c3", "e", "f", "h")], "unit_id string")
     assert rows(depgraph.waves(u, e)) == [("c0", "cluster-c0", 1, 1), ("c3", "cluster-c3", 1, 2), ("d0", "cluster-c0", 1, 3), ("e", "e", 2, 1), ("f", "f", 1, 4), ("h", "h", 1, 5)]
+
+
+def test_rows_through_a_wide_resource_are_many_tasks(spark, monkeypatch):
+    """The rows of one resource of all units are dealt to several tasks, and are those of a plain join."""
+    monkeypatch.setattr(depgraph, "PAIRS", 400, raising=False)
+    facts = [(f"u{u}", "r", ("writes_to", "reads_from")[u % 2 if u % 5 else k]) for u in range(150) for k in range(2)] + [("u1", "few", "writes_to"), ("u2", "few", "invokes"), ("u3", "read", "invokes"), ("u4", None, "invokes")]
+    e = spark.createDataFrame(facts, "source_unit string, resource string, kind string").withColumn("ambiguous", F.lit(False))
+    got = depgraph.shared_edges(e)
+    w, r = e.where("kind = 'writes_to'"), e.where("kind <> 'writes_to'").withColumnRenamed("source_unit", "target_unit")
+    want = w.join(r, "resource").where("source_unit <> target_unit").groupBy("source_unit", "target_unit", "resource").agg(F.count("*").alias("n"))
+    assert got.count() == want.count() > 5000 and got.exceptAll(want).isEmpty()
+    tasks = [x["n"] for x in got.where("resource = 'r'").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(tasks) > 4 and max(tasks) < sum(tasks) / 2
