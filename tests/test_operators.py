@@ -608,3 +608,32 @@ def test_rows_through_a_wide_resource_are_many_tasks(spark, monkeypatch):
     assert got.count() == want.count() > 5000 and got.exceptAll(want).isEmpty()
     tasks = [x["n"] for x in got.where("resource = 'r'").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert len(tasks) > 4 and max(tasks) < sum(tasks) / 2
+
+
+def test_blocks_of_many_units_are_added_up_in_squares(spark, monkeypatch):
+    """A writer or reader of a wide resource is dealt to few blocks, and a block of more units than a square's is whole."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(depgraph, "BLOCK_UNITS", 6)
+    monkeypatch.setattr(depgraph, "BLOCK_ROWS", 20)
+    rng = random.Random(5)
+    side = lambda k: [(f"u{u}", r, rng.randrange(1, 4)) for u in range(40) for r in "xyz" if r == "x" or u % 3 == k]
+    w, r, pairs = side(0), side(1), [("u1", "u2", 5), ("u1", "v", 7), ("u39", "u0", 1)]
+    cells = [(u, None, k, n) for u, k, n in w] + [(None, u, k, n) for u, k, n in r] + [(s, t, None, n) for s, t, n in pairs]
+    batch = pa.RecordBatch.from_arrays([pa.array([c[i] for c in cells], pa.int64() if i == 3 else pa.string()) for i in range(4)], names=["source_unit", "target_unit", "resource", "n"])
+    want = Counter({(s, t): n for s, t, n in pairs})
+    for s, k, n in w:
+        for t, q, m in r:
+            want[s, t] += n * m * (k == q and s != t)
+    got = [(x["source_unit"], x["target_unit"], x["n"]) for out in depgraph._products(iter([batch])) for x in out.to_pylist()]
+    assert sorted(got) == sorted((s, t, n) for (s, t), n in want.items() if n)
+    monkeypatch.undo()
+    monkeypatch.setattr(depgraph, "BLOCK_UNITS", 8)
+    e = spark.createDataFrame([(f"u{u}", "r", k) for u in range(400) for k in ("writes_to", "reads_from")], "source_unit string, resource string, kind string").withColumn("ambiguous", F.lit(False))
+    # 50 squares a side, but 8 blocks, so that each of 800 rows is dealt 8 times
+    seen, unions = [], depgraph.union_all
+    monkeypatch.setattr(depgraph, "union_all", lambda parts: seen.append(unions(parts)) or unions(parts))
+    assert depgraph.derived_edges(e).count() == 400 * 399
+    assert seen[0].count() == 800 * 8
